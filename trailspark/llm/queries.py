@@ -18,6 +18,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urlfilter
+
+    return urlfilter.judge(_read(spark, sf_dir, "pages"), urlfilter.RULES)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -26,6 +39,8 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
+    "op3_url_filters": op3_url_filters,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 
