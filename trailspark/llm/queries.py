@@ -43,12 +43,19 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sketch
+
+    return sketch.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_url_filters": op3_url_filters,
     "op4_exact_top_k": op4_exact_top_k,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_document_fingerprints": op9_document_fingerprints,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
