@@ -43,6 +43,17 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import dac
+    from .common import scratch_path
+
+    path = scratch_path(spark, "dac")
+    dac.write(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return dac.read(spark, path)
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sketch
 
@@ -55,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_exact_top_k": op4_exact_top_k,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_token_files": op8_token_files,
     "op9_document_fingerprints": op9_document_fingerprints,
 }
 
