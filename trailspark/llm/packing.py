@@ -81,7 +81,21 @@ class Mixture:
     def layout(self, windows: np.ndarray) -> np.ndarray:
         """For each window (a row), every queue's first place in it."""
         at = windows.astype(np.int64) * self.sequence * self.window
-        return np.stack([self.first_in(q, at) for q in range(len(self.totals))], axis=1)
+        # Between two tokens of the queue of most weight stand few others: step back from its first token in the window.
+        lead = int(np.argmax(np.where(self.totals > 0, self.weights, 0)))
+        first = self.first_in(lead, at)
+        places = self.served(lead, first)
+        dry = first == self.totals[lead]  # that queue has run dry before the window
+        for q in range(len(self.totals)):
+            if dry.any():
+                places[dry, q] = self.first_in(q, at[dry])
+            while True:
+                late = places[:, q] > 0
+                late[late] = self.rank(q, places[late, q] - 1) >= at[late]
+                if not late.any():
+                    break
+                places[late, q] -= 1
+        return places
 
 
 def pieces(mixture: Mixture, queue: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -89,25 +103,29 @@ def pieces(mixture: Mixture, queue: np.ndarray, start: np.ndarray, length: np.nd
     size = mixture.sequence * mixture.window
     total = int(mixture.totals.sum())
     out: list[tuple[np.ndarray, ...]] = []
+    spans = []
+    for q in np.unique(queue):
+        docs = np.nonzero((queue == q) & (length > 0))[0]
+        begin, end = start[docs], start[docs] + length[docs]
+        first, last = mixture.rank(q, begin) // size, mixture.rank(q, end - 1) // size
+        spans += [np.arange(a, b + 2) for a, b in zip(first, last, strict=True)]
+    # The windows of these documents and every queue's bounds in them.
+    bounds = np.unique(np.concatenate(spans)) if spans else np.zeros(0, np.int64)
+    places = mixture.layout(bounds)
     for q in np.unique(queue):
         docs = np.nonzero((queue == q) & (length > 0))[0]
         if not len(docs):
             continue
         begin, end = start[docs], start[docs] + length[docs]
         first, last = mixture.rank(q, begin) // size, mixture.rank(q, end - 1) // size
-        # The windows of these documents, the bounds of this queue in each, and where its part lies.
-        need = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]))
-        bounds = np.unique(np.concatenate((need, need + 1)))
-        places = mixture.layout(bounds)
-        own = np.searchsorted(bounds, need)
-        inside = (places[own + 1] - places[own])[:, :q].sum(axis=1)
         count = last - first + 1
         doc = np.repeat(docs, count)
         window = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        row = np.searchsorted(need, window)
-        low = np.maximum(np.repeat(begin, count), places[own[row], q])
-        high = np.minimum(np.repeat(end, count), places[own[row] + 1, q])
-        position = window * size + inside[row] + low - places[own[row], q]
+        row = np.searchsorted(bounds, window)
+        inside = (places[row + 1] - places[row])[:, :q].sum(axis=1)
+        low = np.maximum(np.repeat(begin, count), places[row, q])
+        high = np.minimum(np.repeat(end, count), places[row + 1, q])
+        position = window * size + inside + low - places[row, q]
         out.append((doc, low - start[doc], high - low, position))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
