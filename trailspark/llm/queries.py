@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +44,22 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+#: Token shares of the domains that `labels` tells apart.
+TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled documents: toxic, else good or poor by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(_read(spark, sf_dir, "documents"), labelled_domains(_read(spark, sf_dir, "labels")), TARGETS)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_exact_top_k": op4_exact_top_k,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_packing": op10_packing,
