@@ -95,23 +95,25 @@ def _next_bucket(buckets: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, own, next_text, next_own): each row with its sketch and the next row's, in descending id order.
 
-    Rows are dealt to buckets of neighbouring ids, a window inside each finds the next row, and only the last row of a
-    bucket is joined with the first of the following one. The whole texts are shuffled once.
+    Rows are dealt to buckets of neighbouring ids, and a window inside each finds the next row. Only a bucket's last row
+    looks further, to the first row of the following bucket: those, one in BUCKET, are found from the ids alone and
+    joined in. The whole texts are shuffled once.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     least, most, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     width = max(1, -(-BUCKET * (most - least + 1) // count)) if count else 1
-    rows = rows.withColumn("bucket", F.expr(f"doc_id div {width}")).withColumn("own", sketch(hashes(F.col("text"))))
+    rows = rows.withColumn("bucket", F.expr(f"doc_id div {width}"))
+    tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top"))
+    chain = _next_bucket(tops.select("bucket")).select(F.col("bucket").alias("at"), "follower")
+    heads = tops.select(F.col("bucket").alias("head"), "top").join(chain, F.col("head").eqNullSafe(F.col("follower"))).select("at", "top")
+    first = rows.select(F.col("doc_id").alias("id"), "text").join(tops.select("top"), F.col("id").eqNullSafe(F.col("top")), "left_semi").groupBy("id").agg(F.min("text").alias("head_text"))
+    heads = heads.join(first, F.col("top").eqNullSafe(F.col("id"))).select("at", "head_text", sketch(hashes(F.col("head_text"))).alias("head_own"))
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "text")
+    rows = rows.withColumn("own", sketch(hashes(F.col("text"))))
     # Texts are never null here, so a null next text marks a bucket's last row.
-    placed = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_own", F.lead("own").over(order)).withColumn("n", F.row_number().over(order))
-    names = ["doc_id", "text", "own", "next_text", "next_own"]
-    inside = placed.where("next_text is not null").select(*names)
-    # The ends of the buckets: one row in BUCKET.
-    heads = placed.where("n = 1").select(F.col("bucket").alias("head"), F.col("text").alias("next_text"), F.col("own").alias("next_own"))
-    chain = _next_bucket(rows.select("bucket").distinct()).withColumnRenamed("bucket", "at")
-    tails = placed.where("next_text is null").drop("next_text", "next_own").join(chain, F.col("bucket").eqNullSafe(F.col("at"))).join(heads, F.col("follower").eqNullSafe(F.col("head"))).select(*names)
-    return inside.unionByName(tails)
+    placed = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_own", F.lead("own").over(order))
+    joined = placed.join(heads, F.col("bucket").eqNullSafe(F.col("at")) & F.col("next_text").isNull(), "left")
+    return joined.select("doc_id", "text", "own", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_own", "head_own").alias("next_own"))
 
 
 def edited(text: Column, following: Column) -> Column:
