@@ -121,7 +121,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_c
     """Encode every text, append end_id, and write the ids as files in ascending order of the document id."""
     content = docs.sparkSession.sparkContext.broadcast(read_file(tokenizer_path))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
