@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -129,3 +129,94 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     moved = joined.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
     classes = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Parts of a document's shingle set that get fingerprints of their own, and the shingles that a part holds on average.
+PARTS, PART_SHINGLES = 16, 4
+
+
+def part_keys(text: bytes | None, words: int = 5) -> tuple[int, list[int]]:
+    """The document's fingerprint, and a key for each part: its place and the SimHash of its shingles.
+
+    Parts are residues of the distinct shingle hashes modulo a power of two that follows their number, so a part holds
+    a few shingles at any length, and a document that shares most shingles shares some parts whole. Two neighbouring
+    powers are used, since copies differ in length.
+    """
+    tokens = (text or b"").lower().split()
+    whole = fingerprint(text, words)
+    if len(tokens) <= words:
+        shingles = [b" ".join(tokens)]
+    else:
+        shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
+    digest = xxhash.xxh64_digest
+    hashes = np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), ">u8").astype(np.uint64))
+    keys: list[int] = []
+    level = max(0, (len(hashes) - 1).bit_length() - PART_SHINGLES.bit_length() + 1)
+    for power in (1 << level, 2 << level):
+        place = hashes & np.uint64(power - 1)
+        chosen = place < PARTS
+        place, some = place[chosen], hashes[chosen]
+        if not len(some):
+            continue
+        order = np.argsort(place, kind="stable")
+        place, some = place[order], some[order]
+        first = np.nonzero(np.concatenate(([True], place[1:] != place[:-1])))[0]
+        bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        size = np.diff(np.append(first, len(some)))
+        prints = np.packbits(2 * ones > size[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+        keys += ((prints ^ (place[first] + np.uint64(power)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64).tolist()
+    return whole, keys
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
+    """(doc_id, keeper) for every id that is a copy of a smaller one: exact, or of the given shingle similarity.
+
+    A single 64-bit fingerprint a few bits apart tells only the closest copies, so candidates come from three places: equal
+    texts, document fingerprints linked by the grid join, and equal fingerprints of parts. Those of a part are compared
+    with the smallest id of the part and the one before them, never all with all. Every candidate pair but equal texts
+    is then verified on its whole shingle sets. Rows without an id take no part.
+    """
+    from .sketch import hashes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or b"" for t in batch.column(1)]
+            found = [part_keys(t, words) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))],
+                ["doc_id", "digest", "fp", "keys"],
+            )
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    prints = written(rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, digest binary, fp long, keys array<long>"), "parts")
+    same = prints.select("doc_id", "digest").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    exact = prints.select("doc_id", "digest").join(same, "digest").where("doc_id <> first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
+    texts = prints.join(same.select(F.col("first_id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "fp", "keys")
+
+    by_print = texts.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    equal = texts.join(by_print.select("fp", F.col("doc_id").alias("b")), "fp").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    linked = links(by_print.select("fp"), max_bits)
+    linked = linked.join(by_print.select(F.col("fp").alias("a"), F.col("doc_id").alias("x")), "a").join(by_print.select(F.col("fp").alias("b"), F.col("doc_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    parts = texts.select("doc_id", F.explode("keys").alias("key"))
+    near = Window.partitionBy("key").orderBy("doc_id")
+    parts = parts.withColumn("first", F.min("doc_id").over(near)).withColumn("before", F.lag("doc_id").over(near)).where("before is not null")
+    parts = parts.select(F.col("doc_id").alias("a"), F.explode(F.array("first", "before")).alias("b")).where("a <> b")
+    pairs = written(equal.unionByName(linked).unionByName(parts).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = written(rows.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", hashes(F.col("text"), words).alias("set")), "sets")
+    compared = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    alike = compared.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+    classes = components(exact.unionByName(alike))
+    return classes.where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, without copies: of each class the smallest id stays. A row that repeats another's
+    id and text goes too; rows without an id stay."""
+    found = copies(docs, id_col, text_col, **options)
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = named.join(found.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").dropDuplicates([id_col, text_col])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
