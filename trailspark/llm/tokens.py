@@ -15,7 +15,7 @@ import os
 import re
 from array import array
 
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from .common import in_steps
 
@@ -28,12 +28,25 @@ _PUNCTUATION = r"!-/:-@\[-`{-~"
 _PLAIN = re.compile(rf"[{_LETTERS}{_PUNCTUATION}0-9 \n]*")
 _WORD_MATCH = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_PUNCTUATION}]+")
 _BYTE_MATCH = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_PUNCTUATION}]+|\n")
-#: A space or line end beside another, or a space at an end.
-_UNEVEN = re.compile(r"\s\s|\A | \Z")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 
+def _shown_bytes() -> dict[int, int]:
+    """The byte-level models' character for each byte: itself where it prints, else the next one from 256 on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_SHOWN = _shown_bytes()
+
+
+def _even(plain: str) -> bool:
+    """Whether no white space of a plain text stands beside another, and no space at an end."""
+    return not ("  " in plain or " \n" in plain or "\n " in plain or "\n\n" in plain or plain[:1] == " " or plain[-1:] == " ")
+
+
 def _is_word_model(file: dict) -> bool:
     norm, split = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
     parts = split.get("pretokenizers") or [{}, {}]
@@ -61,17 +74,17 @@ class Encoder:
         file = json.loads(content)
         self.whole = Tokenizer.from_str(content)
         self.words, self.bytes = _is_word_model(file), _is_byte_model(file)
-        #: For the pattern's own matches, normalised already.
-        self.inner = Tokenizer.from_str(content)
-        if self.words or self.bytes:
-            self.inner.normalizer = None
-            self.inner.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t["content"] for t in file.get("added_tokens") or []]
         self.matches: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _ids(self, tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _match_ids(self, matches: list[str]) -> list[bytes]:
+        """The ids of matches of the pattern: what is left to do for them is the model's part."""
+        tokenize = self.whole.model.tokenize
+        return [array("I", [t.id for t in tokenize(m.encode().decode("latin-1").translate(_SHOWN))]).tobytes() for m in matches]
 
     def _cut(self, text: str) -> tuple[dict[str, bytes], list[str]] | None:
         """The memo to look in and the pieces, or None if the text must stay whole."""
@@ -80,7 +93,7 @@ class Encoder:
         plain = _PLAIN.fullmatch(text)
         if self.words:
             return (self.matches, _WORD_MATCH.findall(text.lower())) if plain else (self.pieces, text.split())
-        if plain and not _UNEVEN.search(text):
+        if plain and _even(text):
             return self.matches, _BYTE_MATCH.findall(text)
         return self.pieces, _BEFORE_SPACE.split(text)
 
@@ -90,12 +103,12 @@ class Encoder:
         out = []
         for start, end in in_steps(texts):
             cut = [self._cut(t) for t in texts[start:end]]
-            for memo, tokenizer in ((self.matches, self.inner), (self.pieces, self.whole)):
+            for memo, ids in ((self.matches, self._match_ids), (self.pieces, self._ids)):
                 if len(memo) > REMEMBERED:
                     memo.clear()
                 new = list(set().union(*(c[1] for c in cut if c and c[0] is memo)).difference(memo))
-                memo.update(zip(new, self._ids(tokenizer, new), strict=True))
-            out += [self._ids(self.whole, [t])[0] if c is None else b"".join(map(c[0].__getitem__, c[1])) for t, c in zip(texts[start:end], cut, strict=True)]
+                memo.update(zip(new, ids(new), strict=True))
+            out += [self._ids([t])[0] if c is None else b"".join(map(c[0].__getitem__, c[1])) for t, c in zip(texts[start:end], cut, strict=True)]
         return out
 
 
