@@ -23,6 +23,10 @@ FLOOR = 32
 _SPACE = 1 << 59
 #: Ids in one bucket of neighbours, when ids are dense.
 BUCKET = 2048
+#: Heads of buckets that are broadcast at most, as ids of 8 bytes.
+BROADCAST_IDS = 200_000
+#: Stands for a null id among the heads.
+NO_ID = (1 << 63) - 1
 
 
 def hashes(text: Column, words: int = WORDS) -> Column:
@@ -102,17 +106,19 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     least, most, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     width = max(1, -(-BUCKET * (most - least + 1) // count)) if count else 1
-    rows = rows.withColumn("bucket", F.expr(f"doc_id div {width}"))
-    tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    chain = _next_bucket(tops.select("bucket")).select(F.col("bucket").alias("at"), "follower")
-    heads = tops.select(F.col("bucket").alias("head"), "top").join(chain, F.col("head").eqNullSafe(F.col("follower"))).select("at", "top")
-    first = rows.select(F.col("doc_id").alias("id"), "text").join(tops.select("top"), F.col("id").eqNullSafe(F.col("top")), "left_semi").groupBy("id").agg(F.min("text").alias("head_text"))
-    heads = heads.join(first, F.col("top").eqNullSafe(F.col("id"))).select("at", "head_text", sketch(hashes(F.col("head_text"))).alias("head_own"))
+    # Null ids share the lowest bucket; a plain key lets the joins keep the window's partitioning.
+    rows = rows.withColumn("bucket", F.coalesce(F.expr(f"doc_id div {width}"), F.lit(-(1 << 63) + 1)))
+    tops = rows.groupBy("bucket").agg(F.coalesce(F.max("doc_id"), F.lit(NO_ID)).alias("top"))
+    # Few enough ids to broadcast are; else Spark picks the join.
+    small = F.broadcast if tops.count() <= BROADCAST_IDS else (lambda df: df)
+    first = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("top"), "text").join(small(tops.select("top")), "top", "left_semi").groupBy("top").agg(F.min("text").alias("head_text"))
+    chain = _next_bucket(tops.select("bucket")).select(F.col("bucket").alias("at"), F.col("follower").alias("bucket"))
+    heads = chain.join(tops, "bucket").join(first, "top").select(F.col("at").alias("bucket"), "head_text", sketch(hashes(F.col("head_text"))).alias("head_own"))
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "text")
     rows = rows.withColumn("own", sketch(hashes(F.col("text"))))
     # Texts are never null here, so a null next text marks a bucket's last row.
     placed = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_own", F.lead("own").over(order))
-    joined = placed.join(heads, F.col("bucket").eqNullSafe(F.col("at")) & F.col("next_text").isNull(), "left")
+    joined = placed.join(heads.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & F.col("next_text").isNull(), "left")
     return joined.select("doc_id", "text", "own", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_own", "head_own").alias("next_own"))
 
 
