@@ -8,6 +8,7 @@ import pytest
 from tests.conftest import SF
 from tests.llm.fixtures import ROWS, documents
 from trailspark.llm import langid, mixing, toxicity
+from trailspark.llm.common import first_by_hash
 
 
 def is_held_out(i):
@@ -126,3 +127,14 @@ def test_mixing_edge_cases(spark):
     assert mixing.mix(docs.where("false"), labels, {"x": 1.0}).count() == 0
     with pytest.raises(ValueError):
         mixing.fit_rates(mixing.memberships(docs, mixing.train(docs, labels)), ("x", "y"), {"q": 1.0})
+
+
+def test_first_by_hash_equals_a_plain_ranking(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.when(F.col("id") % 50 == 0, "small").otherwise("large").alias("kind"), "id", F.xxhash64(F.col("id").cast("string")).alias("h"))
+    got = {(r.kind, r.id) for r in first_by_hash(rows.unionByName(rows.where("id < 100")), "kind", 30).collect()}
+    plain: dict = {}
+    for r in rows.collect():
+        plain.setdefault(r.kind, []).append((r.h, r.id))
+    assert got == {(kind, i) for kind, found in plain.items() for _, i in sorted(found)[:30]}

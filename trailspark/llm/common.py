@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts handed to one vectorised step at a time, in bytes; a longer text goes alone.
@@ -43,6 +43,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def first_by_hash(rows: DataFrame, group: str, n: int, hash_col: str = "h", id_col: str = "id") -> DataFrame:
+    """At most n distinct rows of each group, the first by a hash that spreads over all longs, ties by id.
+
+    Hashes far beyond the n-th smallest are cut by the group's count before anything is ranked, so one task ranks some
+    8 n rows of a group, however large the group is.
+    """
+    sizes = rows.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_size"))
+    share = F.col(hash_col) / 2.0**64 + 0.5
+    near = rows.join(sizes, F.col(group) == F.col("_of")).where(share * F.col("_size") <= 8 * n + 64).select(*rows.columns).distinct()
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(hash_col, id_col))).where(F.col("_r") <= n).drop("_r")
+
+
 def in_steps(texts: list, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about limit bytes, so that working memory does not follow the batch size."""
     start = size = 0

@@ -19,10 +19,10 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import first_by_hash, held_out
 
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -85,8 +85,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     excerpt = max(64, dictionary_bytes // documents_per_language)
     named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(~held_out(F.col("id")) & F.col("lang").isNotNull())
     named = named.withColumn("h", F.xxhash64(F.col("id").cast("string")))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = named.select("lang", "id", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= documents_per_language).select("lang", "id").distinct()
+    chosen = first_by_hash(named.select("lang", "id", "h"), "lang", documents_per_language).select("lang", "id")
     # At most documents_per_language ids a language: a bounded build side.
     sample = named.join(F.broadcast(chosen), ["lang", "id"], "left_semi")
     start = F.pmod("h", F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1

@@ -21,10 +21,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import first_by_hash, written
 
 FEATURES = 2048
 _PART = 1 << 20
@@ -86,8 +86,8 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     domains = tuple(sorted(counts))
     if not domains:
         return DomainModel((), np.zeros((FEATURES, 0), np.float32), np.zeros(0))
-    order = Window.partitionBy("domain").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    chosen = present.withColumn("r", F.row_number().over(order)).where(F.col("r") <= documents_per_domain).select("id", "domain")
+    present = present.withColumn("h", F.xxhash64(F.col("id").cast("string")))
+    chosen = first_by_hash(present, "domain", documents_per_domain).select("id", "domain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
