@@ -51,7 +51,8 @@ def first_by_hash(rows: DataFrame, group: str, n: int, hash_col: str = "h", id_c
     """
     sizes = rows.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_size"))
     share = F.col(hash_col) / 2.0**64 + 0.5
-    near = rows.join(sizes, F.col(group) == F.col("_of")).where(share * F.col("_size") <= 8 * n + 64).select(*rows.columns).distinct()
+    # One row a group, and whoever fits a model holds a sample of each group anyway. A shuffled join would deal by group.
+    near = rows.join(F.broadcast(sizes), F.col(group) == F.col("_of")).where(share * F.col("_size") <= 8 * n + 64).select(*rows.columns).distinct()
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(hash_col, id_col))).where(F.col("_r") <= n).drop("_r")
 
 
