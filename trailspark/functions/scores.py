@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The worst first.
+SEVERITIES = ("critical", "high", "medium", "low")
+
 
 def severity(score: Column) -> Column:
     return F.when(score >= 85, "critical").when(score >= 70, "high").when(score >= 45, "medium").otherwise("low")

@@ -71,6 +71,21 @@ def normal_name(name: Column) -> Column:
     return F.substring_index(F.substring_index(F.lower(F.trim(name)), "\\", -1), "@", 1)
 
 
+def describe() -> Column:
+    """One line about a canonical event, by its kind."""
+    source = F.when(F.col("src_ip") == "", "unknown").otherwise(F.col("src_ip"))
+    size = F.when(F.col("bytes_out").isNull(), "").otherwise(F.concat(F.lit(" "), F.col("bytes_out").cast("string"), F.lit(" bytes")))
+    logon = F.coalesce(F.try_element_at("attrs", F.lit("logon_type")), F.lit(""))
+    line = (
+        F.when(F.col("kind") == "process", F.substring(F.trim(F.concat_ws(" ", image(F.col("process")), "cmdline")), 1, 200))
+        .when(F.col("kind") == "flow", F.concat(F.lit("connect "), "dst_ip", F.lit(":"), F.coalesce(F.col("dst_port").cast("string"), F.lit("None")), size))
+        .when(F.col("kind") == "dns", F.concat_ws(" ", F.lit("query"), "domain", "query_type", F.when(F.col("outcome") == "failure", "NXDOMAIN").otherwise("")))
+        .when(F.col("kind") == "auth", F.concat_ws(" ", F.lit("sign-in"), "outcome", F.lit("from"), source, F.lit("logon"), logon))
+    )
+    mfa = F.initcap(F.coalesce(F.col("mfa").cast("string"), F.lit("None")))
+    return F.trim(F.coalesce(line, F.concat(F.col("api"), F.lit(" "), F.col("outcome"), F.lit(" from "), source, F.lit(" mfa="), mfa)))
+
+
 def csv_safe(text: Column) -> Column:
     """A leading quote for cells that a spreadsheet would run."""
     return F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)

@@ -16,3 +16,9 @@ HUNTS = {
     "rare_process": (("process",), ("T1036", "T1204"), endpoint.rare_process),
     "cloud_abuse": (("cloud",), ("T1078.004", "T1098", "T1136.003", "T1562.008", "T1526", "T1580"), cloud.cloud_abuse),
 }
+
+TACTIC_OF = {
+    "beaconing": "Command and Control", "dns_tunnel": "Command and Control", "dga": "Command and Control", "exfiltration": "Exfiltration",
+    "password_attacks": "Credential Access", "impossible_travel": "Initial Access", "lateral_fanout": "Lateral Movement", "process_chains": "Execution",
+    "persistence": "Persistence", "rare_process": "Defense Evasion", "cloud_abuse": "Persistence",
+}

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -105,6 +105,19 @@ def evidence(config: HuntConfig) -> list[Column]:
     return [F.array_sort(F.collect_list("evidence")).alias("evidence"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"), F.max(hit).alias("hash_hit")]
 
 
+def benign(*causes: str) -> Callable:
+    """Gives a hunt's findings the harmless causes to think of first."""
+
+    def wrap(plan: Callable) -> Callable:
+        @wraps(plan)
+        def run(ctx: Context) -> DataFrame:
+            return plan(ctx).withColumn("benign_causes", F.array(*map(F.lit, causes)))
+
+        return run
+
+    return wrap
+
+
 def names(*columns: Column | str) -> Column:
     """Sorted distinct non-empty names."""
     parts = [F.array(c) if isinstance(c, str) else c for c in columns]
