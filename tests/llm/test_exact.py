@@ -104,6 +104,40 @@ def test_near_copies_are_verified_by_brute_force(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_copies_of_an_original_in_the_middle_are_found(spark):
+    rng = random.Random(5)
+    rows = []
+    for start, members, length, edits in ((0, 300, 304, (6, 6)), (5000, 100, 304, (4, 6)), (8000, 60, 104, (1, 2)), (9000, 12, 30, (1, 1))):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+        for i in range(members):
+            copy = list(words)
+            if i != members // 2:
+                for at in rng.sample(range(5, length - 5), rng.randint(*edits)):
+                    copy[at] = f"x{rng.randrange(10**9)}"
+            rows.append((start + i, " ".join(copy), "en", "a"))
+    shingles = [{hash(tuple(t.split()[k : k + 5])) for k in range(len(t.split()) - 4)} for _, t, _, _ in rows]
+    root = classes(shingles, lambda a, b: rows[a][0] // 1000 == rows[b][0] // 1000 and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]))
+    want = {(rows[i][0], rows[r][0]) for i, r in enumerate(root) if i != r}
+    assert {(r.doc_id, r.keeper) for r in simhash.copies(documents(spark, rows)).collect()} == want
+
+
+def test_exact_join_finds_every_pair_without_part_candidates(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PARTS", 0)
+    rng = random.Random(6)
+    rows = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 8, 25, 60, 300]))]
+        for _ in range(5):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), rng.randrange(0, max(2, len(copy) // 20))):
+                copy[at] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), "the common line of all of them . " * (len(rows) % 2) + " ".join(copy), "en", "a"))
+    shingles = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t, _, _ in rows]
+    root = classes(shingles, lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]))
+    want = {(i, r) for i, r in enumerate(root) if i != r}
+    assert {(r.doc_id, r.keeper) for r in simhash.copies(documents(spark, rows)).collect()} == want
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     data = [(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(300)]

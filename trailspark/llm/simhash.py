@@ -172,13 +172,12 @@ def part_keys(text: bytes | None, words: int = 5) -> tuple[int, list[int]]:
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """(doc_id, keeper) for every id that is a copy of a smaller one: exact, or of the given shingle similarity.
 
-    A single 64-bit fingerprint a few bits apart tells only the closest copies, so candidates come from three places: equal
-    texts, document fingerprints linked by the grid join, and equal fingerprints of parts. Those of a part are compared
-    with the smallest id of the part and the one before them, never all with all. Every candidate pair but equal texts
-    is then verified on its whole shingle sets. Rows without an id take no part.
+    A single 64-bit fingerprint a few bits apart tells only the closest copies, so first candidates come from three places:
+    equal texts, document fingerprints linked by the grid join, and equal fingerprints of parts. Those of a part are compared
+    with the smallest id of the part, the one before them and the one that shares most parts, which is the original of a
+    class whose copies are only like it. Then an exact join finds every other pair that can link two classes. All
+    candidates but equal texts are verified on their whole shingle sets. Rows without an id take no part.
     """
-    from .sketch import hashes
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1)]
@@ -200,17 +199,91 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     linked = linked.join(by_print.select(F.col("fp").alias("a"), F.col("doc_id").alias("x")), "a").join(by_print.select(F.col("fp").alias("b"), F.col("doc_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     parts = texts.select("doc_id", F.explode("keys").alias("key"))
     near = Window.partitionBy("key").orderBy("doc_id")
-    parts = parts.withColumn("first", F.min("doc_id").over(near)).withColumn("before", F.lag("doc_id").over(near)).where("before is not null")
-    parts = parts.select(F.col("doc_id").alias("a"), F.explode(F.array("first", "before")).alias("b")).where("a <> b")
+    parts = parts.withColumn("first", F.min("doc_id").over(near)).withColumn("before", F.lag("doc_id").over(near)).withColumn("after", F.lead("doc_id").over(near))
+    parts = written(parts.where("before is not null or after is not null").drop("after"), "shared")
+    sizes = parts.groupBy("key").agg(F.count("*").alias("size"))
+    weights = parts.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    centres = parts.join(weights, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("weight", "doc_id")).alias("centre"))
+    parts = parts.join(centres, "key").select(F.col("doc_id").alias("a"), F.explode(F.array("first", "before", "centre")).alias("b")).where("a <> b")
     pairs = written(equal.unionByName(linked).unionByName(parts).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
 
+    classes = written(components(exact.unionByName(_verified(rows, pairs, words, similarity))), "classes")
+    rest = _verified(rows, _crossing(rows, classes, words, similarity), words, similarity)
+    known = classes.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    classes = components(known.unionByName(rest))
+    return classes.where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are of the given similarity."""
+    from .sketch import hashes
+
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = written(rows.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", hashes(F.col("text"), words).alias("set")), "sets")
     compared = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    alike = compared.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
-    classes = components(exact.unionByName(alike))
-    return classes.where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
+    return compared.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+
+
+#: One document in SAMPLE is read for common shingles; COMMON of those at most come last in every prefix.
+SAMPLE, COMMON = 16, 50_000
+
+
+def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, token, at): the first shingle hashes of each document, such that two of the given similarity share one.
+
+    A set of n needs ceil(similarity n) shared hashes, so under any common order the first n - ceil(similarity n) + 1
+    hold the first shared one. The order is by hash, common ones last: which count as common changes the cost only.
+    at: size of the set and place of the hash, packed.
+    """
+    from .sketch import hashes
+
+    found = rows.select("doc_id", hashes(F.col("text"), words).alias("set"))
+    counts = found.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.explode("set").alias("token")).groupBy("token").count()
+    common = np.sort(np.array([r.token for r in counts.where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).collect()], np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tokens, at = [], [], []
+            lists = batch.column(1)
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for doc, low, high in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
+                some, n = flat[low:high], int(high - low)
+                if not n:
+                    continue
+                if len(common):
+                    late = common[np.minimum(np.searchsorted(common, some), len(common) - 1)] == some
+                    some = np.concatenate((some[~late], some[late]))
+                size = n - int(np.ceil(similarity * n - 1e-6)) + 1
+                ids.append(np.full(size, doc))
+                tokens.append(some[:size])
+                at.append((n << 32) + np.arange(size))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, tokens, at)], ["doc_id", "token", "at"])
+
+    return found.mapInArrow(run, "doc_id long, token long, at long")
+
+
+def _crossing(rows: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): every pair of different classes that can be of the given similarity, by shared prefixes, sizes and places.
+
+    Every pair of two classes in a bucket has a member outside the bucket's largest class, so only those are joined with
+    the rest, and a large class costs one row a member.
+    """
+    bucket = Window.partitionBy("token")
+    shared = _prefixes(rows, words, similarity).withColumn("n", F.count("*").over(bucket)).where("n > 1").drop("n")
+    shared = written(shared, "prefixes").join(classes.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    shared = shared.select("token", "doc_id", "at", F.coalesce("root", "doc_id").alias("class"))
+    counts = written(shared.groupBy("token", "class").agg(F.count("*").alias("n")), "counts")
+    mixed = counts.groupBy("token").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("n", "class")).alias("largest")).where("classes > 1").select("token", "largest")
+    mixed = written(shared.join(mixed, "token").withColumn("size", F.shiftright("at", 32)).withColumn("place", F.col("at").bitwiseAND(F.lit((1 << 32) - 1))).drop("at"), "mixed")
+    x, y = mixed.where("class <> largest").alias("x"), mixed.alias("y")
+    least = similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    # The first shared hash of two like sets leaves enough hashes behind it in both.
+    fits = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= least
+    once = (F.col("y.class") == F.col("y.largest")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once & fits)
+    return written(pairs.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct(), "crossing")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
