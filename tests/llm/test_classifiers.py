@@ -78,6 +78,26 @@ def test_toxicity_reads_whole_texts(toxic_model):
     assert toxic_model.scores([filler + " worthless"])[0] >= 0.3 > toxic_model.scores([filler])[0]
 
 
+def test_toxicity_reads_runs_without_spaces(toxic_model):
+    filler = [f"w{i % 150}orld" for i in range(2500)]
+    for joint in ("/", "_", "-", ",", "<>"):
+        clean, toxic = joint.join(filler), joint.join([*filler, "worthless", *filler[:50]])
+        assert toxic_model.scores([toxic])[0] >= 0.3 > toxic_model.scores([clean])[0]
+    alone = ["".join(filler), "".join([*filler, "worthless", *filler[:50]])]
+    clean, toxic = toxic_model.scores(alone)
+    assert toxic > clean
+
+
+def test_pieces_hold_every_ngram_of_a_run():
+    for run in ("日本語" * 30, "x" + "abcdefghij" * 7 + "z", "-" * 50, "q" * 41, "🎉" * 45):
+        got = {p[i : i + n] for p in toxicity.words_of(run) for n in range(1, 6) for i in range(len(p) - n + 1)}
+        assert got == {run[i : i + n] for n in range(1, 6) for i in range(len(run) - n + 1)}
+    for n in range(41, 80):
+        run = "".join(chr(97 + i % 26) for i in range(n))
+        words = toxicity.words_of(run)
+        assert max(map(len, words)) <= toxicity.PIECE and {run[i : i + 5] for i in range(n - 4)} <= {p[i : i + 5] for p in words for i in range(len(p) - 4)}
+
+
 def test_toxicity_edge_cases(spark, toxic_model):
     docs = documents(spark)
     rows = toxicity.predict(docs, toxic_model).collect()

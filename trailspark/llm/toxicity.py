@@ -4,7 +4,9 @@ A word is the bag of its character n-grams, hashed into embedding buckets; a win
 vectors; a softmax layer reads the average. Embeddings and layer are trained together in numpy on a bounded sample of
 labelled texts. A text's label says only that some part of it is toxic, so training alternates between choosing each
 text's most toxic window and fitting the windows, after a start on whole-text averages. A text scores as its most toxic
-window, at any length.
+window, at any length. A run of more than LONGEST characters without white space (an unspaced script, words joined by
+slashes or markup) is read as several words: cut at punctuation, and what is still longer into pieces that overlap by
+MOST - 1 characters, so that every n-gram of it is in a window.
 
 Because the layer is linear, a trained model folds into one number a bucket, and a word's contribution is the mean of
 its buckets' numbers: an unseen spelling takes its value from the n-grams that it shares.
@@ -16,6 +18,7 @@ twice counts as toxic if one label says so. Repeated rows score alike. Other col
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,15 +33,33 @@ THRESHOLD = 0.3
 LEAST, MOST = 3, 5
 _EDGES = ".,;:|()[]{}\"!?*&%$#'`~_-+="
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of the longest run that is one word, and of the pieces of a longer one.
+LONGEST, PIECE = 40, 12
+_JOINTS = re.compile(r"[!-/:-@\[-`{-~、。，；：！？「」（）・…]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [p for w in words for p in (pieces(w) if len(w) > LONGEST else [w])]
+
+
+def pieces(run: str) -> list[str]:
+    """The words of a run without white space that is too long for one word."""
+    core = run.strip(_EDGES) or run
+    if len(core) <= LONGEST:
+        return [core]
+    found = [p for p in _JOINTS.split(core) if p] or [core]
+    out: list[str] = []
+    for part in found:
+        out += [part] if len(part) <= LONGEST else [part[i : i + PIECE] for i in range(0, len(part) - MOST + 1, PIECE - MOST + 1)]
+    return out
 
 
 def ngrams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of every word between < and >, and the marked word itself: flat, and each word's number."""
-    marked = [f"<{(w.strip(_EDGES) or w)[:40]}>" for w in words]
+    marked = [f"<{w.strip(_EDGES) or w}>" for w in words]
     length = np.fromiter(map(len, marked), np.int64, len(marked))
     last = np.repeat(np.cumsum(length), length)
     word = np.repeat(np.arange(len(marked)), length)
