@@ -38,6 +38,12 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.build(_read(spark, sf_dir, "pages"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_url_filters": op3_url_filters,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_warc_derivatives": op5_warc_derivatives,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
