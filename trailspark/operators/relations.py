@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailspark.operators.scratch import removed, written
+
 
 def first_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row for each key, the first in the order."""
@@ -35,35 +37,30 @@ def consecutive_links(findings: DataFrame, gap_us: int) -> DataFrame:
     return near.select(F.col("before.id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) for every id of nodes: the smallest id reachable over edges (a, b).
+def stars(edges: DataFrame) -> DataFrame:
+    """(u, v) for every node u of the undirected edges (a, b) but the smallest of its component, which is v.
 
-    Large-star and small-star rounds until nothing changes. Each round is checkpointed to the folder of
-    spark.checkpoint.dir, so a lost executor costs no more than a round."""
-    spark = nodes.sparkSession
-    _ensure_checkpoints(spark)
-    stars = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    Alternating large-star and small-star steps until a round changes nothing. Each round is a table in the shared
+    scratch folder, so a lost executor costs no more than a round; the table before it is deleted. Nodes and edges stay
+    in Spark: only a count and a hash reach the driver. Null ends and loops are no edges.
+    """
+    at = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct(), "edges")
     seen = None
     while True:
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        roots = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(roots, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-        state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        then = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        removed(at)
+        at, state = then, tuple(then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
-            break
+            return at
         seen = state
-    return nodes.select("id").join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def _ensure_checkpoints(spark) -> None:
-    """Spark's own folder where one is named; a temporary one only where none is."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        spark.sparkContext.setCheckpointDir(named)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trailspark-"))
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) for every id of nodes: the smallest id reachable over edges (a, b), itself included."""
+    roots = stars(edges).select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
