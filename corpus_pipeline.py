@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trailspark.llm import langid, mixing, packing, simhash, toxicity
-from trailspark.llm.common import written
+from trailspark.operators.scratch import written
 from trailspark.llm.queries import labelled_domains
 
 #: Token shares of the domains told apart by the labels' quality; toxic documents are gone by then.
