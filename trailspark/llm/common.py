@@ -1,41 +1,17 @@
-"""Shared helpers of the corpus operators: scratch tables, splits and fixed-size batches."""
+"""Shared helpers of the corpus operators: splits, bounded samples and fixed-size batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Texts handed to one vectorised step at a time, in bytes; a longer text goes alone.
-STEP_BYTES = 4 << 20
-
-_own_dir: str | None = None
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="trailspark-")
-    return f"file://{_own_dir}"
-
+from trailspark.operators.scratch import small
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Texts handed to one vectorised step at a time, in characters; a longer text goes alone.
+STEP_BYTES = 4 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,18 +22,25 @@ def held_out(doc_id: Column) -> Column:
 def first_by_hash(rows: DataFrame, group: str, n: int, hash_col: str = "h", id_col: str = "id") -> DataFrame:
     """At most n distinct rows of each group, the first by a hash that spreads over all longs, ties by id.
 
-    Hashes far beyond the n-th smallest are cut by the group's count before anything is ranked, so one task ranks some
-    8 n rows of a group, however large the group is.
+    Hashes well beyond the n-th smallest are cut by an estimate of the group's distinct hashes before anything is ranked
+    (it is within a tenth, and the cut leaves a third to spare), so a task ranks some 1.5 n rows of a group, however
+    large the group is and however often its rows repeat.
     """
-    sizes = rows.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_size"))
+    sizes = rows.groupBy(F.col(group).alias("_of")).agg(F.approx_count_distinct(hash_col, 0.02).alias("_size"))
     share = F.col(hash_col) / 2.0**64 + 0.5
-    # One row a group, and whoever fits a model holds a sample of each group anyway. A shuffled join would deal by group.
-    near = rows.join(F.broadcast(sizes), F.col(group) == F.col("_of")).where(share * F.col("_size") <= 8 * n + 64).select(*rows.columns).distinct()
+    near = rows.join(small(sizes), F.col(group) == F.col("_of")).where(share * F.col("_size") <= 1.3 * n + 6 * n**0.5 + 64).select(*rows.columns).distinct()
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(hash_col, id_col))).where(F.col("_r") <= n).drop("_r")
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of some rows, so that the Python objects of a whole Arrow batch never stand in memory at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def in_steps(texts: list, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about limit bytes, so that working memory does not follow the batch size."""
+    """Ranges of texts that hold about limit characters, so that working memory does not follow the batch size."""
     start = size = 0
     for i, text in enumerate(texts):
         size += len(text)

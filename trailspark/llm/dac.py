@@ -29,6 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trailspark.operators.scratch import small
+
+from .common import parts
 from .tokens import encoder, read_file
 
 MAGIC = b"DAC1"
@@ -125,7 +128,6 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_c
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(content.value).encode
         pid, seq, start = TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
         blobs: list[bytes] = []
@@ -135,10 +137,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_c
             image = build(doc_ids, [len(b) // 4 for b in blobs], np.frombuffer(b"".join(blobs), "<u4"))
             return pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "seq": pa.array([seq], pa.int32()), "start": pa.array([start], pa.int64()), "ids": pa.array([held], pa.int64()), "image": pa.array([image], pa.binary())})
 
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+        with encoder(content.value) as tool:
+            for part in parts(batches, 256):
+                for doc_id, ids in zip(part.column(0).to_pylist(), tool.encode(part.column(1).to_pylist()), strict=True):
                     doc_ids.append(doc_id)
                     blobs.append(ids + last)
                     held += len(ids) // 4 + 1
@@ -146,8 +147,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_c
                         yield file()
                         seq, start, held = seq + 1, start + held, 0
                         doc_ids, blobs = [], []
-        if doc_ids:
-            yield file()
+            if doc_ids:
+                yield file()
 
     ordered.mapInArrow(run, "pid int, seq int, start long, ids long, image binary").write.parquet(path)
 
@@ -155,11 +156,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_c
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files; start counts the ids of all before it."""
     files = spark.read.schema("pid int, seq int, start long, ids long, image binary").parquet(path)
-    # One row a writing task: that number bounds the window and the broadcast.
+    # One row a writing task: that number bounds the window; the broadcast is checked.
     totals = files.groupBy("pid").agg(F.sum("ids").alias("total"))
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("pid", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = files.join(F.broadcast(bases), "pid").select((F.col("base") + F.col("start")).alias("start"), "image")
+    placed = files.join(small(bases), "pid").select((F.col("base") + F.col("start")).alias("start"), "image")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,13 +14,15 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from tokenizers import Tokenizer
 
 from .common import in_steps
 
-#: Pieces remembered at most.
-REMEMBERED = 700_000
+#: Pieces that a memo remembers at most, and their characters: some 40 MB.
+REMEMBERED, REMEMBERED_CHARS = 150_000, 3_000_000
 
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -78,6 +80,11 @@ class Encoder:
         self.matches: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Free the memos, at the end of a task."""
+        self.matches.clear()
+        self.pieces.clear()
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -101,12 +108,14 @@ class Encoder:
         """The ids of every text; null counts as empty."""
         texts = [t or "" for t in texts]
         out = []
-        for start, end in in_steps(texts):
+        for start, end in in_steps(texts, 1 << 20):
             cut = [self._cut(t) for t in texts[start:end]]
             for memo, ids in ((self.matches, self._match_ids), (self.pieces, self._ids)):
-                if len(memo) > REMEMBERED:
+                wanted = set().union(*(c[1] for c in cut if c and c[0] is memo))
+                new = list(wanted.difference(memo))
+                if new and (len(memo) + len(new) > REMEMBERED or sum(map(len, memo)) + sum(map(len, new)) > REMEMBERED_CHARS):
                     memo.clear()
-                new = list(set().union(*(c[1] for c in cut if c and c[0] is memo)).difference(memo))
+                    new = list(wanted)
                 memo.update(zip(new, ids(new), strict=True))
             out += [self._ids([t])[0] if c is None else b"".join(map(c[0].__getitem__, c[1])) for t, c in zip(texts[start:end], cut, strict=True)]
         return out
@@ -115,12 +124,17 @@ class Encoder:
 _encoders: dict[int, Encoder] = {}
 
 
-def encoder(content: str) -> Encoder:
-    """The process's encoder for a tokenizer file's content; it and its memo outlive a task."""
+@contextmanager
+def encoder(content: str) -> Iterator[Encoder]:
+    """The process's encoder for a tokenizer file's content, for a task: the last one is kept, its memos are not."""
     key = hash(content)
     if key not in _encoders:
+        _encoders.clear()
         _encoders[key] = Encoder(content)
-    return _encoders[key]
+    try:
+        yield _encoders[key]
+    finally:
+        _encoders[key].forget()
 
 
 def read_file(path: str) -> str:
