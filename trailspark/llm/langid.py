@@ -4,10 +4,10 @@ One raw-content zstandard dictionary is filled for every language from a bounded
 cut into segments, each segment is compressed with every dictionary, and the language whose dictionary gives the
 smallest total wins. A text whose runner-up is nearly as small is rejected.
 
-Edge cases: a null text, an empty one or one without a letter gets `und`, score 0, and is rejected. With no labelled
-row nothing can be learned and every row gets `und`. Equal sizes go to the language that sorts first. Rows that repeat
-are judged alike, each on its own; a null doc_id is kept. Long texts are read whole, a segment at a time. Other columns
-of the input are left alone.
+Edge cases: a null text, an empty one or one without a letter (Unicode category L: numerals like ½ or ① are none) gets
+`und`, score 0, and is rejected. With no labelled row nothing can be learned and every row gets `und`. Equal sizes go to
+the language that sorts first. Rows that repeat are judged alike, each on its own; a null doc_id is kept. Long texts are
+read whole, a segment at a time. Other columns of the input are left alone.
 """
 
 from __future__ import annotations
@@ -18,15 +18,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailspark.operators.scratch import small
+
 from .common import first_by_hash, held_out
 
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
-_REPEATED_WORD = re.compile(r"\b(\w+)(?: \1\b)+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
+_REPEATED_WORD = re.compile(r"(?<!\S)(\S+)(?: \1(?!\S))+")
 
 
 @dataclass(frozen=True)
@@ -57,7 +61,7 @@ class LanguageModel:
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score, margin, and whether the text is accepted."""
         plain = normalised(text)
-        if not plain.strip() or not self.dictionaries:
+        if not self.dictionaries or not _LETTER.search(plain):
             return UNKNOWN, 0.0, 0.0, False
         raw = plain.encode("utf-8", "replace")
         segments = [raw[i : i + self.segment] for i in range(0, len(raw), self.segment)]
@@ -72,24 +76,25 @@ class LanguageModel:
 
 
 def normalised(text: str | None) -> str:
-    """Lower case, every run of other characters than letters as one space, a word that follows itself once."""
+    """Lower case, every run of other characters than letters and their marks as one space, a word that follows itself once."""
     return _REPEATED_WORD.sub(r"\1", _NOT_LETTERS.sub(" ", (text or "").lower()))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents_per_language: int = 400, dictionary_bytes: int = 1 << 17, **options) -> LanguageModel:
     """Fill the dictionaries from documents_per_language labelled rows of each language, the first by a hash of the id.
 
-    Held-out rows are never read. Every sampled text gives an excerpt from a place set by its id's hash, all of one
+    Held-out rows are never read; of rows that repeat a chosen id the excerpt that sorts first counts. Every sampled text gives an excerpt from a place set by its id's hash, all of one
     length, so that the dictionary holds as many documents as were sampled.
     """
     excerpt = max(64, dictionary_bytes // documents_per_language)
     named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(~held_out(F.col("id")) & F.col("lang").isNotNull())
     named = named.withColumn("h", F.xxhash64(F.col("id").cast("string")))
     chosen = first_by_hash(named.select("lang", "id", "h"), "lang", documents_per_language).select("lang", "id")
-    # At most documents_per_language ids a language: a bounded build side.
-    sample = named.join(F.broadcast(chosen), ["lang", "id"], "left_semi")
+    # At most documents_per_language ids a language.
+    sample = named.join(small(chosen), ["lang", "id"], "left_semi")
     start = F.pmod("h", F.greatest(F.length("text") - excerpt, F.lit(0)) + 1).cast("int") + 1
-    rows = sample.where("text is not null").select("lang", "h", F.substring(F.col("text"), start, F.lit(excerpt)).alias("part")).dropDuplicates().collect()
+    # One excerpt an id, so rows that repeat a chosen id can't add up.
+    rows = sample.where("text is not null").groupBy("lang", "id", "h").agg(F.min(F.substring(F.col("text"), start, F.lit(excerpt))).alias("part")).collect()
     parts: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.h, r.part)):
         parts.setdefault(row.lang, []).append(normalised(row.part).strip())
