@@ -31,6 +31,13 @@ def test_language_edge_cases(spark):
     assert langid.predict(docs, langid.train(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_texts_without_letters_are_undetermined(spark):
+    model = langid.train(documents(spark))
+    for text in ("½ ²³", "①② Ⅳ", "123", "\u0301\u0301", "_ _", "🎉"):
+        assert model.predict(text) == ("und", 0.0, 0.0, False), text
+    assert langid.normalised("हिन्दी  में, में मेंमें E\u0301t\u0301e 12") == "हिन्दी में मेंमें e\u0301t\u0301e "
+
+
 def test_language_learns_nothing_from_held_out_rows(spark):
     rows = [(i, f"zzz{i} qqq{i} " * 20, "xx", "a") for i in range(40) if is_held_out(i)] + [(i, "plain words here " * 5, "en", "a") for i in range(40) if not is_held_out(i)]
     assert set(langid.train(documents(spark, rows)).dictionaries) == {"en"}
@@ -110,6 +117,21 @@ def test_toxicity_edge_cases(spark, toxic_model):
     assert toxicity.predict(docs.where("false"), toxic_model).count() == 0
 
 
+def test_long_and_repeated_texts_leave_the_sample_whole(spark):
+    ids = [i for i in range(200) if not is_held_out(i)]
+    rows = [(i, ("long " * 3000 if i % 2 else "") + f"fine words number {i}" + (" idiot" if i % 4 < 2 else ""), None, None) for i in ids]
+    rows += [(ids[0], "idiot " * 3, None, None)] * 30
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in ids], "doc_id bigint, toxic int")
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda texts, found, **k: seen.append((texts, found))
+    try:
+        for _ in range(2):
+            toxicity.train(documents(spark, rows), labels, documents_per_label=20, longest=1000)
+    finally:
+        toxicity.fit = fit
+    assert seen[0] == seen[1] and seen[0][1].count(0) == seen[0][1].count(1) == 20 and max(map(len, seen[0][0])) <= 1000
+
+
 def test_ngrams_do_not_depend_on_the_batch():
     alone = [toxicity.ngrams([w], 1 << 16)[0].tolist() for w in ("idiot", "a", "Ünïcode", "!!!")]
     flat, size = toxicity.ngrams(["idiot", "a", "Ünïcode", "!!!"], 1 << 16)
@@ -145,15 +167,23 @@ def test_mixing_edge_cases(spark):
     assert len(rows) == len(ROWS) and all(r.rate >= 0 and abs(sum(r.posterior) - 1) < 1e-9 for r in rows)
     assert {r.rate for r in mixing.mix(docs, labels.where("false"), {"x": 1.0}).collect()} == {1.0}
     assert mixing.mix(docs.where("false"), labels, {"x": 1.0}).count() == 0
-    with pytest.raises(ValueError):
-        mixing.fit_rates(mixing.memberships(docs, mixing.train(docs, labels)), ("x", "y"), {"q": 1.0})
+    model = mixing.train(docs, labels)
+    members = mixing.memberships(docs, model)
+    with pytest.warns(UserWarning, match="q"):
+        rates = mixing.fit_rates(members, model.domains, {"q": 1.0})
+    assert {(r.rate, r.copies) for r in mixing.rated(members, rates).collect()} == {(1.0, 1)}
+    assert mixing.resampled(docs, model, rates).count() == len(ROWS) and mixing.resampled(docs, model, rates).columns == docs.columns
+    for bad in (-1.0, float("nan")):
+        with pytest.raises(ValueError):
+            mixing.fit_rates(members, model.domains, {"x": bad})
 
 
 def test_first_by_hash_equals_a_plain_ranking(spark):
     from pyspark.sql import functions as F
 
     rows = spark.range(20_000).select(F.when(F.col("id") % 50 == 0, "small").otherwise("large").alias("kind"), "id", F.xxhash64(F.col("id").cast("string")).alias("h"))
-    got = {(r.kind, r.id) for r in first_by_hash(rows.unionByName(rows.where("id < 100")), "kind", 30).collect()}
+    often = rows.where("id = 7").crossJoin(spark.range(5000).select(F.lit(1))).select(*rows.columns)
+    got = {(r.kind, r.id) for r in first_by_hash(rows.unionByName(rows.where("id < 100")).unionByName(often), "kind", 30).collect()}
     plain: dict = {}
     for r in rows.collect():
         plain.setdefault(r.kind, []).append((r.h, r.id))

@@ -13,7 +13,8 @@ its buckets' numbers: an unseen spelling takes its value from the n-grams that i
 
 Edge cases: a null or empty text, or one without words, scores 0. Without labels of both kinds nothing can be learned
 and every text scores 0. Labels whose document is missing, null labels and null ids are ignored; a document labelled
-twice counts as toxic if one label says so. Repeated rows score alike. Other columns of the input are left alone.
+twice counts as toxic if one label says so. Of rows that repeat a labelled id, the text that sorts first teaches, so a
+rerun learns the same. Repeated rows score alike. Other columns of the input are left alone.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, held_out, in_steps
+from trailspark.operators.scratch import small, written
+
+from .common import first_by_hash, held_out, in_steps, parts
 
 THRESHOLD = 0.3
 LEAST, MOST = 3, 5
@@ -90,7 +93,9 @@ class ToxicityModel:
     bucket_logits: np.ndarray
     bias: float
     window: int = 5
-    known_words: int = 500_000
+    #: Words whose value a task remembers at most, and their characters.
+    known_words: int = 100_000
+    known_chars: int = 2_000_000
     _memo: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
@@ -107,12 +112,14 @@ class ToxicityModel:
         out, memo = np.zeros(len(texts)), self._memo
         if not len(self.bucket_logits):
             return out
-        for start, end in in_steps([t or "" for t in texts]):
+        for start, end in in_steps([t or "" for t in texts], 1 << 20):
             split = [words_of(t) for t in texts[start:end]]
-            if len(memo) > self.known_words:
-                memo.clear()
             if new := list(set().union(*split).difference(memo)):
-                memo.update(zip(new, self.word_logits(new), strict=True))
+                if len(memo) + len(new) > self.known_words or sum(map(len, memo)) > self.known_chars:
+                    memo.clear()
+                    new = list(set().union(*split))
+                for at in range(0, len(new), 20_000):
+                    memo.update(zip(new[at : at + 20_000], self.word_logits(new[at : at + 20_000]), strict=True))
             for i, words in enumerate(split, start):
                 if words:
                     wide = min(self.window, len(words))
@@ -180,15 +187,15 @@ class _Softmax:
 def fit(texts: list[str], labels: list[int], buckets: int = 1 << 16, width: int = 6, window: int = 5, warm_steps: int = 60, turns: int = 40, steps: int = 8, seed: int = 7, warm_rate: float = 0.5, rate: float = 0.5) -> ToxicityModel:
     """Train on labelled texts. Without both labels, a model that scores everything 0."""
     label = np.array(labels, np.int64)
-    docs = [words_of(t) for t in texts]
-    keep = [i for i, d in enumerate(docs) if d]
-    docs, label = [docs[i] for i in keep], label[keep]
+    # A text becomes numbers at once: lists of all words of all texts would take ten times the texts' size.
+    place: dict[str, int] = {}
+    ids = [np.array([place.setdefault(w, len(place)) for w in words_of(t)], np.int32) for t in texts]
+    keep = [i for i, d in enumerate(ids) if len(d)]
+    ids, label = [ids[i] for i in keep], label[keep]
     if len(set(label.tolist())) < 2:
         return ToxicityModel(np.zeros(0), 0.0, window)
-    vocabulary = sorted(set().union(*docs))
-    place = {w: i for i, w in enumerate(vocabulary)}
-    ids = [np.array([place[w] for w in d], np.int64) for d in docs]
-    bags, rng = _Bags(vocabulary, buckets), np.random.default_rng(seed)
+    bags, rng = _Bags(list(place), buckets), np.random.default_rng(seed)
+    del place
     net = _Softmax(buckets, width, rng)
     balance = np.where(label == 1, len(label) / (2.0 * (label == 1).sum()), len(label) / (2.0 * (label == 0).sum()))
     unique = [np.unique(d) for d in ids]
@@ -228,14 +235,14 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 16, width: int
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", documents_per_label: int = 1500, longest: int = 12_000, **options) -> ToxicityModel:
     """Fit on at most documents_per_label texts of each label, the first by a hash of the id, of up to longest characters.
 
-    Held-out rows are never read. The ids are chosen from the labels alone, so their number bounds the broadcast.
+    Held-out rows are never read. Only ids with such a text are ranked, so longer texts don't thin the sample out.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     marked = marked.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
-    marked = marked.withColumn("h", F.xxhash64(F.col("id").cast("string")))
-    chosen = first_by_hash(marked, "label", documents_per_label).select("id", "label")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, longest))
-    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).collect()
+    marked = marked.join(texts.select("id"), "id", "left_semi").withColumn("h", F.xxhash64(F.col("id").cast("string")))
+    chosen = written(first_by_hash(marked, "label", documents_per_label).select("id", "label"), "chosen")
+    rows = texts.join(small(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.id)
     return fit([r.text for r in rows], [r.label for r in rows], **options)
 
@@ -244,9 +251,9 @@ def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_
     """(doc_id, held_out, score, predicted) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = model.scores(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        for part in parts(batches):
+            scores = model.scores(part.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -258,7 +265,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(model.scores(batch.column(place).to_pylist()) < threshold))
+        for part in parts(batches):
+            yield part.filter(pa.array(model.scores(part.column(place).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
