@@ -8,13 +8,16 @@ norm the gradient is Lipschitz with constant 1, so unit steps converge; without
 A step moves a document's rate by a linear function of its posterior, so the steps' vectors are all the state there is.
 
 Edge cases: a null or empty text has no tokens and the posterior of the labelled shares. Labels of missing documents,
-null domains and null ids teach nothing; a document labelled twice counts with the domain that sorts first. With no
-label at all every rate is 1. A target for a domain that was never learned can't be met and is an error; a learned
-domain without a target has target 0. Repeated rows get equal rates. Other columns are left alone.
+null domains and null ids teach nothing; a document labelled twice counts with the domain that sorts first; of rows that
+repeat a labelled id, the text that sorts first teaches. A target for a domain that was never learned can't be met: it is
+left out with a warning, and the others keep their proportions. With no label, or no positive target of a learned domain,
+every rate is 1. A learned domain without a target has target 0; a target that is negative or not finite is an error.
+Repeated rows get equal rates. Other columns are left alone.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
@@ -24,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, written
+from trailspark.operators.scratch import small, written
+
+from .common import first_by_hash, parts
 
 FEATURES = 2048
 _PART = 1 << 20
@@ -81,20 +86,22 @@ def fit_softmax(x: np.ndarray, label: np.ndarray, shares: np.ndarray, steps: int
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", documents_per_domain: int = 600) -> DomainModel:
     """Fit on at most documents_per_domain labelled documents of each domain, the first by a hash of the id."""
     marked = labelled.select(F.col(id_col).alias("id"), F.col(domain_col).cast("string").alias("domain")).where("id is not null and domain is not null").groupBy("id").agg(F.min("domain").alias("domain"))
-    present = marked.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    present = written(marked.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi"), "labelled")
     counts = {r.domain: r["count"] for r in present.groupBy("domain").count().collect()}
     domains = tuple(sorted(counts))
     if not domains:
         return DomainModel((), np.zeros((FEATURES, 0), np.float32), np.zeros(0))
     present = present.withColumn("h", F.xxhash64(F.col("id").cast("string")))
-    chosen = first_by_hash(present, "domain", documents_per_domain).select("id", "domain")
+    chosen = written(first_by_hash(present, "domain", documents_per_domain).select("id", "domain"), "chosen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [features(t.as_py()).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(vectors, pa.binary())], ["id", "domain", "x"])
 
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id").select("id", "domain", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    # Of rows that repeat an id the text that sorts first, so that the sample stays as small as it was chosen.
+    sample = texts.join(small(chosen), "id").groupBy("id", "domain").agg(F.min("text").alias("text"))
     rows = sorted(sample.mapInArrow(run, "id string, domain string, x binary").collect(), key=lambda r: (r.id, r.x))
     x = np.stack([np.frombuffer(r.x, np.float32) for r in rows])
     shares = np.array([counts[d] for d in domains], float)
@@ -107,7 +114,7 @@ def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", tex
     """(doc_id, n_tokens, posterior): tokens are runs between white space, the posterior is in the order of domains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             tokens = [len((t or b"").split()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(model.posteriors(texts).tolist(), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "posterior"])
@@ -135,8 +142,12 @@ def _dense(column: pa.Array, n: int, k: int) -> np.ndarray:
 
 def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: Mapping[str, float], most_steps: int = 60, tolerance: float = 1e-6) -> Rates:
     """Projected gradient from rates of 1. Every step sums over all rows of members; only domain totals reach the driver."""
-    if missing := set(targets) - set(domains):
-        raise ValueError(f"no labelled document of {sorted(missing)}")
+    if bad := sorted(d for d, w in targets.items() if not 0 <= w < np.inf):
+        raise ValueError(f"targets of {bad} are no weights")
+    if missing := sorted(d for d, w in targets.items() if w and d not in domains):
+        warnings.warn(f"no labelled document of {missing}: their targets are left out", stacklevel=2)
+    if not any(targets.get(d) for d in domains):
+        return Rates(domains, ())
     k, steps = len(domains), []
 
     def sums(with_products: bool) -> np.ndarray:
@@ -151,8 +162,8 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: Mapping[str
                     total[k:] += (p.T @ (t[:, None] * p)).ravel()
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
 
-        parts = members.select("n_tokens", "posterior").mapInArrow(run, "sums array<double>")
-        return np.array(parts.agg(*[F.sum(F.col("sums")[i]) for i in range(k + width)]).first(), float)
+        found = members.select("n_tokens", "posterior").mapInArrow(run, "sums array<double>")
+        return np.array(found.agg(*[F.sum(F.col("sums")[i]) for i in range(k + width)]).first(), float)
 
     found = np.nan_to_num(sums(True)) if k else np.zeros(0)
     have, inverse = found[:k], np.linalg.pinv(found[k:].reshape(k, k)) if k else None
@@ -197,7 +208,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], **co
     """Fit the classifier and the rates and return rated() for every row of docs."""
     model = train(docs, labelled, **columns)
     members = written(memberships(docs, model), "memberships")
-    return rated(members, fit_rates(members, model.domains, {d: w for d, w in targets.items() if d in model.domains}))
+    return rated(members, fit_rates(members, model.domains, targets))
 
 
 def resampled(docs: DataFrame, model: DomainModel, rates: Rates, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,7 +217,7 @@ def resampled(docs: DataFrame, model: DomainModel, rates: Rates, id_col: str = "
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [None if t is None else t.encode() for t in batch.column(at_text).to_pylist()]
             copies = _copies(batch.column(at_id).to_pylist(), rates.of(model.posteriors(texts)))
             yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
