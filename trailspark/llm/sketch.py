@@ -6,8 +6,8 @@ can be compared too, at least `floor` of the smallest hashes are kept; a sketch
 text's hashes, and two sketches are compared below the point up to which both are complete.
 
 Edge cases: a null text counts as empty. A text without words has an empty sketch, like only to another empty one. A
-text of fewer words than a shingle is one shingle. Repeated doc_ids are ordered by text; null ids come last, ordered by
-text. In a table of one row the next document is the row itself; an empty table gives an empty result. Only the id and
+text of fewer words than a shingle is one shingle. Rows of one doc_id are ordered by the text's hash, then the text; null
+ids come last, in the same order. In a table of one row the next document is the row itself; an empty table gives an empty result. Only the id and
 text columns are read, so other columns can't clash.
 """
 
@@ -16,17 +16,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailspark.operators.scratch import small, written
+
 WORDS = 5
 #: One hash in SCALE is kept, and the FLOOR smallest at least.
 SCALE = 16
 FLOOR = 32
 _SPACE = 1 << 59
-#: Ids in one bucket of neighbours, when ids are dense.
+#: Rows in one bucket of neighbours, about.
 BUCKET = 2048
-#: Heads of buckets that are broadcast at most, as ids of 8 bytes.
-BROADCAST_IDS = 200_000
-#: Stands for a null id among the heads.
-NO_ID = (1 << 63) - 1
+#: Quantiles of the ids along which rows are dealt, a square number; more buckets than that are parts of equal width.
+QUANTILES = 4096
+#: Stands for a null id: the last in descending order.
+NO_ID = -(1 << 63)
 
 
 def hashes(text: Column, words: int = WORDS) -> Column:
@@ -74,51 +76,87 @@ def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
     return F.when((F.size(a["kept"]) == 0) & (F.size(b["kept"]) == 0), F.lit(1.0)).otherwise(share)
 
 
-def _next_bucket(buckets: DataFrame) -> DataFrame:
-    """(bucket, follower) for distinct buckets in descending order, null last; the last is followed by the first.
+def _buckets(rows: DataFrame) -> DataFrame:
+    """rows (key, h, text) with `bucket`: ranges of (key, h descending) that hold about BUCKET rows each.
 
-    Buckets of buckets keep every window small: the single-task window sees at most some thousand rows.
+    The bounds are quantiles of the keys, so outlying keys don't widen them; they are found along a two-level directory.
+    A key that repeats over several quantiles is dealt to as many buckets by its rows' hashes. Where quantiles hold more
+    than BUCKET rows, the keys between two of them are cut into parts of equal width.
+    """
+    n = rows.count()
+    side = int(QUANTILES**0.5)
+    wanted = max(1, min(side * side, -(-n // BUCKET)))
+    inner = max(1, -(-n // (wanted * BUCKET)))
+    shares = [i / wanted for i in range(1, wanted)]
+    bounds, least, most = rows.agg(F.percentile_approx("key", shares, 100_000), F.min("key"), F.max("key")).first() if shares else ([], 0, 0)
+    chunks = [bounds[i : i + side] for i in range(0, len(bounds), side)]
+    if not bounds:
+        below = at = F.lit(0)
+    else:
+        heads = F.array(*[F.lit(c[0]).cast("long") for c in chunks])
+        directory = F.array(*[F.array(*[F.lit(b).cast("long") for b in c]) for c in chunks])
+
+        def count(fits) -> Column:
+            """Bounds of which that is true; it is for the first ones only."""
+            chunk = F.size(F.filter(heads, fits)) - 1
+            return F.when(chunk < 0, 0).otherwise(side * chunk + F.size(F.filter(F.get(directory, chunk), fits)))
+
+        below, at = count(lambda b: b < F.col("key")), count(lambda b: b <= F.col("key"))
+    # From 0 on, descending in h within a key, as buckets are walked from the last to the first.
+    spread = F.lit(0.5) - F.col("h") / 2.0**64
+    dealt = rows.withColumn("_below", below).withColumn("_at", at)
+    # Keys on a bound that repeats hold whole quantiles, up to where the keys behind that bound begin.
+    parts = (F.col("_at") - F.col("_below") - 1) * inner + 1
+    repeated = F.least(F.floor(spread * parts), parts - 1)
+    if inner > 1:
+        edges = F.array(*[F.lit(float(b)) for b in [least, *bounds, most]])
+        low, high = F.get(edges, F.col("_at")), F.get(edges, F.col("_at") + 1)
+        part = F.when(high > low, F.greatest(F.least(F.floor((F.col("key").cast("double") - low) / (high - low) * inner), F.lit(inner - 1)), F.lit(0))).otherwise(0)
+    else:
+        part = F.lit(0)
+    wide = F.col("_at") - F.col("_below") > 1
+    place = F.when(wide, F.col("_below") * inner + inner + repeated).otherwise(F.col("_at") * inner + part)
+    return dealt.withColumn("bucket", place.cast("long")).drop("_below", "_at")
+
+
+def _next_bucket(buckets: DataFrame, width: int) -> DataFrame:
+    """(bucket, follower) for distinct buckets in descending order; the last is followed by the first.
+
+    Buckets of `width` buckets keep every window small: the single-task window sees at most some thousand rows.
     """
-    spread = buckets.agg(F.min("bucket"), F.max("bucket"), F.count("*")).first()
-    if spread[2] <= 8192:
-        order = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("bucket"))
+    if buckets.count() <= 8192:
+        order = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket"))
         whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        last = F.row_number().over(order) == F.count("*").over(whole)
-        return buckets.select("bucket", F.when(last, F.first("bucket").over(whole)).otherwise(F.lead("bucket").over(order)).alias("follower"))
-    width = max(2, -(-BUCKET * (spread[1] - spread[0] + 1) // spread[2]))
-    inner = buckets.withColumn("outer", F.expr(f"bucket div {width}"))
-    order = Window.partitionBy("outer").orderBy(F.desc_nulls_last("bucket"))
-    inner = inner.withColumn("follower", F.lead("bucket").over(order)).withColumn("n", F.row_number().over(order))
-    inner = inner.withColumn("last", F.col("n") == F.max("n").over(Window.partitionBy("outer")))
-    heads = inner.where("n = 1").select(F.col("outer").alias("follows"), F.col("bucket").alias("head"))
-    chain = _next_bucket(inner.select(F.col("outer").alias("bucket")).distinct()).select(F.col("bucket").alias("outer_"), F.col("follower").alias("outer_next"))
-    ends = inner.where("last").select("bucket", "outer").join(chain, F.col("outer").eqNullSafe(F.col("outer_"))).join(heads, F.col("outer_next").eqNullSafe(F.col("follows"))).select("bucket", F.col("head").alias("follower"))
-    return inner.where("not last").select("bucket", "follower").unionByName(ends)
+        return buckets.select("bucket", F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(whole)).alias("follower"))
+    nested = buckets.withColumn("outer", F.expr(f"bucket div {width}"))
+    order = Window.partitionBy("outer").orderBy(F.desc("bucket"))
+    nested = nested.withColumn("follower", F.lead("bucket").over(order)).withColumn("n", F.row_number().over(order))
+    heads = nested.where("n = 1").select(F.col("outer").alias("follows"), F.col("bucket").alias("head"))
+    chain = _next_bucket(nested.select(F.col("outer").alias("bucket")).distinct(), width).select(F.col("bucket").alias("outer_"), F.col("follower").alias("outer_next"))
+    ends = nested.where("follower is null").join(chain, F.col("outer") == F.col("outer_")).join(heads, F.col("outer_next") == F.col("follows")).select("bucket", F.col("head").alias("follower"))
+    return nested.where("follower is not null").select("bucket", "follower").unionByName(ends)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, own, next_text, next_own): each row with its sketch and the next row's, in descending id order.
 
     Rows are dealt to buckets of neighbouring ids, and a window inside each finds the next row. Only a bucket's last row
-    looks further, to the first row of the following bucket: those, one in BUCKET, are found from the ids alone and
-    joined in. The whole texts are shuffled once.
+    looks further, to the first row of the following bucket: those, one in BUCKET, are found from ids and hashes alone
+    and joined in. The whole texts are shuffled once.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    least, most, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, -(-BUCKET * (most - least + 1) // count)) if count else 1
-    # Null ids share the lowest bucket; a plain key lets the joins keep the window's partitioning.
-    rows = rows.withColumn("bucket", F.coalesce(F.expr(f"doc_id div {width}"), F.lit(-(1 << 63) + 1)))
-    tops = rows.groupBy("bucket").agg(F.coalesce(F.max("doc_id"), F.lit(NO_ID)).alias("top"))
-    # Few enough ids to broadcast are; else Spark picks the join.
-    small = F.broadcast if tops.count() <= BROADCAST_IDS else (lambda df: df)
-    first = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("top"), "text").join(small(tops.select("top")), "top", "left_semi").groupBy("top").agg(F.min("text").alias("head_text"))
-    chain = _next_bucket(tops.select("bucket")).select(F.col("bucket").alias("at"), F.col("follower").alias("bucket"))
-    heads = chain.join(tops, "bucket").join(first, "top").select(F.col("at").alias("bucket"), "head_text", sketch(hashes(F.col("head_text"))).alias("head_own"))
-    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "text")
+    rows = _buckets(rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("h"), "text"))
+    # The first row of a bucket: the greatest key, then the least hash; rows that are alike in both are told apart by text.
+    tops = rows.groupBy("bucket").agg(F.max(F.struct("key", F.bitwise_not("h").alias("back"))).alias("top"))
+    tops = written(tops.select("bucket", F.col("top.key").alias("key"), F.bitwise_not("top.back").alias("h")), "heads")
+    first = rows.join(small(tops), ["bucket", "key", "h"], "left_semi").groupBy("bucket").agg(F.min("text").alias("head_text"))
+    chain = _next_bucket(tops.select("bucket"), BUCKET).select(F.col("bucket").alias("at"), F.col("follower").alias("bucket"))
+    heads = chain.join(first, "bucket").select("at", "head_text", sketch(hashes(F.col("head_text"))).alias("head_own"))
+    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "h", "text")
     rows = rows.withColumn("own", sketch(hashes(F.col("text"))))
     # Texts are never null here, so a null next text marks a bucket's last row.
     placed = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_own", F.lead("own").over(order))
-    joined = placed.join(heads.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) & F.col("next_text").isNull(), "left")
+    joined = placed.join(heads, (F.col("bucket") == F.col("at")) & F.col("next_text").isNull(), "left")
     return joined.select("doc_id", "text", "own", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_own", "head_own").alias("next_own"))
 
 
