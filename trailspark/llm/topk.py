@@ -1,18 +1,25 @@
 """Exact top-k by integer inner product with M-trees.
 
-Vectors are quantised to integer codes and dealt to groups around pivots; a group too large for one task is salted into
-several. A task bulk-loads an M-tree of paged nodes over its group and answers a block of queries best-first. With
+Vectors are quantised to integer codes and dealt to pivots; a pivot with more rows than one task should hold is salted
+into groups. A task bulk-loads an M-tree of paged nodes over its group and answers a block of queries best-first. With
 M the largest norm of the group, x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0), the squared distance of q' and x' is
 |q|^2 + M^2 - 2 q.x, so nearest neighbours of q' are the largest inner products. Nodes hold covering radii and
 distances to their parent's routing object, and the triangle inequality on those skips subtrees and single entries
 without computing a distance. Scores come from the integer codes; bounds only decide what may be skipped, with slack
 for rounding.
 
+The pivots are the tree's upper page: a query first searches one group of its most promising pivot, and goes on to the
+pivots whose covering radius or largest norm lets them beat the score found there. Only those groups get it, and only
+groups that some query still asks are read again.
+
+Codes too large for exact sums in doubles are kept apart, as vectors: their scores are computed in whole numbers, against
+every row, without touching the tree of the others.
+
 Edge cases: a vector that is null or holds a null or non-finite component takes no part, neither as query nor as
 candidate. Shorter vectors count as padded with zeros; an empty one scores 0 with everything. Rows that share the
-query's id are its own and no candidates; repeated query rows are answered one by one. A null id is never a query; as a
-candidate it loses every tie. Scores beyond a long saturate. Empty tables give an empty result. Other columns are not
-read.
+query's id are its own and no candidates, since an id stands for one vector; repeated query rows are answered one by one.
+A null id is never a query; as a candidate it loses every tie. Scores beyond a long saturate. Empty tables give an empty
+result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,18 +27,23 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from trailspark.operators.scratch import written
+
+from .common import parts
 
 GROUP_ROWS = 8192
 QUERY_BLOCK = 4096
 MOST_PIVOTS = 256
 NO_ID = (1 << 63) - 1
+#: The pivot of vectors whose codes are too large for the tree.
+WIDE = -1
 
 
 def codes(values: np.ndarray) -> np.ndarray:
@@ -43,11 +55,18 @@ def matrix(raws: list[bytes], width: int) -> np.ndarray:
     """Codes from bytes, padded with zeros to the width."""
     out = np.zeros((len(raws), width))
     for i, raw in enumerate(raws):
-        row = np.frombuffer(raw, "<f8")
+        row = np.frombuffer(raw, "<i4")
         out[i, : len(row)] = row
     return out
 
 
+def whole_codes(raw: bytes, wide: bool) -> list[int]:
+    """Codes as whole numbers, from codes or from the components of a wide vector."""
+    if not wide:
+        return np.frombuffer(raw, "<i4").tolist()
+    return [256 * int(x) if abs(x) >= 2.0**60 else math.floor(256 * x) for x in np.frombuffer(raw, "<f8").tolist()]
+
+
 class MTree:
     """An M-tree over the rows of x. Rows are reordered so that a leaf page is a slice of them."""
 
@@ -126,74 +145,121 @@ class MTree:
         return best_scores, best_ids
 
 
-def _every_pair(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[list[int], list[int]]:
-    """For codes too large for exact doubles: whole-number arithmetic on every row."""
-    wide = [int(v) for v in q]
-    scored = sorted((-sum(a * int(b) for a, b in zip(wide, row, strict=True)), int(i)) for row, i in zip(x, ids, strict=True) if i != own)[:k]
-    return [max(-(1 << 63), min((1 << 63) - 1, -s)) for s, _ in scored], [i for _, i in scored]
+def _every_pair(rows: list[list[int]], ids: list[int], q: list[int], own: int, k: int) -> tuple[list[int], list[int]]:
+    """Whole-number arithmetic on every row; what a long can't hold saturates, and ties there too go to the smaller id."""
+    scores = (max(-(1 << 63), min((1 << 63) - 1, sum(map(mul, q, row)))) for row in rows)
+    best = heapq.nsmallest(k, ((-s, i) for s, i in zip(scores, ids, strict=True) if i != own))
+    return [-s for s, _ in best], [i for _, i in best]
 
 
 def _answer(k: int):
+    """Searches a group for a block of queries: with the tree, unless the rows or a query are wide."""
+
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: tuple[list, list, list, list] = ([], [], [], [])
+
+        def add(own: int, number: int, scores, found) -> None:
+            out[0].extend([own] * len(found))
+            out[1].extend([number] * len(found))
+            out[2].extend(int(i) for i in found)
+            out[3].extend(int(s) for s in scores)
+
         if len(rows) and len(queries):
-            raws, asked = rows["codes"].to_pylist(), queries["codes"].to_pylist()
-            width = max(1, max(map(len, raws + asked)) // 8)
-            x, q = matrix(raws, width), matrix(asked, width)
-            ids = rows["vec_id"].to_numpy()
-            largest = max(float(np.abs(x).max(initial=0.0)), float(np.abs(q).max(initial=0.0)))
-            tree = MTree(x) if width * largest * largest < 2.0**52 else None
-            tree_ids = ids[tree.rows] if tree else ids
-            for row, own, number in zip(q, queries["vec_id"].to_pylist(), queries["number"].to_pylist(), strict=True):
-                scores, found = tree.search(row, tree_ids, own, k) if tree else _every_pair(x, ids, row, own, k)
-                out[0].extend([own] * len(found))
-                out[1].extend([number] * len(found))
-                out[2].extend(int(i) for i in found)
-                out[3].extend(int(s) for s in scores)
+            raws, ids, wide = rows["codes"].to_pylist(), rows["vec_id"].to_numpy(), rows["pivot"][0].as_py() == WIDE
+            asked = list(zip(queries["codes"].to_pylist(), queries["vec_id"].to_pylist(), queries["number"].to_pylist(), queries["wide"].to_pylist(), strict=True))
+            plain = [a for a in asked if not (wide or a[3])]
+            if plain:
+                width = max(1, max(map(len, raws + [a[0] for a in plain])) // 4)
+                tree = MTree(matrix(raws, width))
+                tree_ids = ids[tree.rows]
+                for raw, own, number, _ in plain:
+                    add(own, number, *tree.search(matrix([raw], width)[0], tree_ids, own, k))
+            if len(plain) < len(asked):
+                every = [whole_codes(raw, wide) for raw in raws]
+                for raw, own, number, is_wide in asked:
+                    if wide or is_wide:
+                        add(own, number, *_every_pair(every, ids.tolist(), whole_codes(raw, is_wide), own, k))
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["query_id", "number", "vec_id", "score"])
 
     return run
 
 
+def _search(rows: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """(query_id, number, vec_id, score) of asking (pivot, salt, vec_id, number, codes, wide) in the rows of that group.
+
+    Queries of a pivot are dealt to blocks, and its rows to each block; rows of a pivot that nobody asks go nowhere. At
+    most MOST_PIVOTS counts come to the driver."""
+    demand = {r["pivot"]: -(-r["n"] // QUERY_BLOCK) for r in asking.groupBy("pivot").agg(F.count_distinct("vec_id", "number").alias("n")).collect()}
+    if not demand:
+        return asking.sparkSession.createDataFrame([], _FOUND)
+    blocks = F.create_map(*[F.lit(x) for pair in demand.items() for x in pair])
+    asking = asking.withColumn("block", F.pmod(F.xxhash64("vec_id", "number"), blocks[F.col("pivot")]).cast("int"))
+    rows = rows.where(F.col("pivot").isin(*demand)).join(asking.select("pivot", "salt").distinct(), ["pivot", "salt"], "left_semi")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("pivot")] - 1)))
+    key = ("pivot", "salt", "block")
+    return rows.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(_answer(k), _FOUND)
+
+
+_FOUND = "query_id long, number int, vec_id long, score long"
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by every, the k largest inner products."""
     usable = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     usable = usable.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    n = usable.count()
+    n, width = usable.agg(F.count("*"), F.max(F.size("v"))).first()
+    # Codes up to this have exact sums of products in doubles.
+    largest = math.isqrt((1 << 52) // max(1, width or 1))
     wanted = min(MOST_PIVOTS, max(1, -(-n // GROUP_ROWS)))
     # Pivots: a bounded sample, the first by a hash of the id.
-    sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()
-    pivots = [codes(np.array(r.v, np.float64)).astype("<f8").tobytes() for r in sample] or [b""]
+    plain = usable.where(F.forall("v", lambda x: F.abs(x) < largest / 256 - 1))
+    sample = [codes(np.array(r.v, np.float64)).astype("<i4").tobytes() for r in plain.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()] or [b""]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column(1)
-            ends = vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
-            flat = codes(vectors.flatten().to_numpy(zero_copy_only=False))
-            raws = [flat[a:b].astype("<f8").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            width = max(1, max(map(len, raws + pivots)) // 8)
-            x, p = matrix(raws, width), matrix(pivots, width)
-            distances = (p * p).sum(axis=1)[None, :] - 2.0 * (x @ p.T)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.binary()), pa.array(distances.argmin(axis=1).astype(np.int32))], ["vec_id", "codes", "pivot"])
-
-    dealt = written(usable.mapInArrow(deal, "vec_id long, codes binary, pivot int"), "codes")
-    # Groups: at most MOST_PIVOTS counts come to the driver; a pivot with many rows is salted.
-    counts = {r["pivot"]: r["count"] for r in dealt.groupBy("pivot").count().collect()}
-    first, groups = {}, 0
-    for pivot, count in sorted(counts.items()):
-        first[pivot] = (groups, -(-count // GROUP_ROWS))
-        groups += first[pivot][1]
-    if not groups:
+        for batch in parts(batches, 2048):
+            vectors = [np.array(v, np.float64) for v in batch.column(1).to_pylist()]
+            small = [bool((np.abs(v) < largest / 256 - 1).all()) for v in vectors]
+            raws = [codes(v).astype("<i4").tobytes() if ok else v.astype("<f8").tobytes() for v, ok in zip(vectors, small, strict=True)]
+            some = [raw if ok else b"" for raw, ok in zip(raws, small, strict=True)]
+            x, p = matrix(some, max(1, width)), matrix(sample, max(1, width))
+            product = x @ p.T
+            squared, norms = (x * x).sum(axis=1), (p * p).sum(axis=1)
+            pivot = (norms[None, :] - 2.0 * product).argmin(axis=1)
+            far = np.sqrt(np.maximum(squared + norms[pivot] - 2.0 * product[np.arange(len(x)), pivot], 0.0))
+            where = np.where(small, pivot, WIDE).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.binary()), pa.array(where), pa.array(far), pa.array(np.sqrt(squared)), pa.array(product.argmax(axis=1).astype(np.int32))], ["vec_id", "codes", "pivot", "far", "norm", "best"])
+
+    dealt = written(usable.mapInArrow(deal, "vec_id long, codes binary, pivot int, far double, norm double, best int"), "codes")
+    found = {r["pivot"]: r for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("norm").alias("norm")).collect()}
+    if not found:
         return usable.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    place = F.create_map(*[F.lit(x) for pivot, (start, salts) in first.items() for x in (pivot, start)])
-    salts = F.create_map(*[F.lit(x) for pivot, (start, salts) in first.items() for x in (pivot, salts)])
-    group = (place[F.col("pivot")] + F.pmod(F.xxhash64("vec_id", "codes"), salts[F.col("pivot")].cast("long"))).cast("int")
+    salts = F.create_map(*[F.lit(x) for pivot, r in found.items() for x in (pivot, -(-r["n"] // GROUP_ROWS))])
+    rows = dealt.select("vec_id", "codes", "pivot", F.pmod(F.xxhash64("vec_id", "codes"), salts[F.col("pivot")].cast("long")).cast("int").alias("salt"))
     asking = dealt.where((F.col("vec_id") % every == 0) & (F.col("vec_id") != NO_ID))
-    blocks = max(1, -(-asking.count() // QUERY_BLOCK))
-    rows = dealt.select("vec_id", "codes", group.alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asking = asking.withColumn("number", F.row_number().over(Window.partitionBy("vec_id").orderBy("codes")))
-    asking = asking.select("vec_id", "codes", "number", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    found = rows.groupBy("group", "block").cogroup(asking.groupBy("group", "block")).applyInArrow(_answer(k), "query_id long, number int, vec_id long, score long")
+    number = F.row_number().over(Window.partitionBy("vec_id").orderBy("codes"))
+    asking = asking.select("vec_id", "codes", "norm", "best", number.alias("number"), (F.col("pivot") == WIDE).alias("wide"))
+    near = asking.where(~F.col("wide") & F.col("best").isin(*found)).withColumn("pivot", F.col("best")).withColumn("salt", F.lit(0))
+    first = written(_search(rows, written(near, "near"), k), "first")
+    reached = first.groupBy(F.col("query_id").alias("vec_id"), "number").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+    asking = asking.join(reached, ["vec_id", "number"], "left")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = sorted(p for p in found if p != WIDE)
+        centre = matrix([sample[p] for p in place], max(1, width))
+        radius, norm = (np.array([found[p][name] for p in place]) for name in ("radius", "norm"))
+        for batch in parts(batches, 2048):
+            wide, own = np.array(batch.column(4).to_pylist(), bool), batch.column(2).to_numpy()
+            least = np.array([-np.inf if s is None else s for s in batch.column(5).to_pylist()], float)
+            q = matrix([b"" if w else c for c, w in zip(batch.column(1).to_pylist(), wide, strict=True)], max(1, width))
+            most = np.minimum(q @ centre.T + own[:, None] * radius[None, :], own[:, None] * norm[None, :])
+            go = (most * (1 + 1e-9 * np.sign(most)) + 1.0 >= least[:, None]) | wide[:, None]
+            lists = [[p for p, yes in zip(place, row, strict=True) if yes] + [WIDE] * (WIDE in found) for row in go]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(6), batch.column(4), pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "codes", "best", "number", "wide", "pivots"])
+
+    then = asking.select("vec_id", "codes", "norm", "best", "wide", "least", "number").mapInArrow(spread, "vec_id long, codes binary, best int, number int, wide boolean, pivots array<int>")
+    then = then.select("vec_id", "codes", "best", "number", "wide", F.explode("pivots").alias("pivot"))
+    then = then.withColumn("salt", F.explode(F.sequence(F.lit(0), salts[F.col("pivot")] - 1)))
+    then = written(then.where(F.col("wide") | (F.col("pivot") != F.col("best")) | (F.col("salt") > 0)).drop("best"), "asking")
     order = Window.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = first.unionByName(_search(rows, then, k)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
