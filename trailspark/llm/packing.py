@@ -11,9 +11,10 @@ walked from the first window on: deficits carry across windows and partitions al
 All windows are full. The tokens left for the last sequence are cut into sequences whose lengths are powers of two,
 which need no padding, so nothing is padded at all.
 
-Edge cases: a null text counts as empty and gives the end id alone. A null source is a queue of its own. Repeated ids
-and null ids keep one row's tokens each. A text of any length is cut into as many pieces as it needs. An empty table
-gives an empty result. Other columns are not read.
+Edge cases: a null text counts as empty and gives the end id alone. A null source is a source like any other. Sources
+beyond MOST_QUEUES share queues, so that neither the driver nor a task grows with their number. Repeated ids and null
+ids keep one row's tokens each. A text of any length is cut into as many pieces as it needs. An empty table gives an
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from trailspark.operators.scratch import small, written
+
+from .common import parts
 from .tokens import encoder, read_file
 
 SEQUENCE = 1024
@@ -36,6 +39,8 @@ SEQUENCE = 1024
 WINDOW = 32
 #: Target weights are whole numbers up to this, so that products of weights and places stay within 64 bits.
 FINEST = 1 << 16
+#: Queues without a target of their own, at most.
+MOST_QUEUES = 64
 
 
 @dataclass(frozen=True)
@@ -155,27 +160,38 @@ def pieces(mixture: Mixture, queue: np.ndarray, start: np.ndarray, length: np.nd
     return doc[again], low[again] + begin - position[again], end - begin, sequence, begin - opens
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, source, pid, start, n, ids) in a scratch table: ids with the end id, deflated; start: the tokens of the
-    same source that the same task wrote before."""
+def queue_of(docs: DataFrame, source_col: str, named: list[str | None], most: int = MOST_QUEUES) -> Column:
+    """The queue of each row: its source, null included, while there are at most `most` of them; beyond that the sources
+    without a target share that many queues, by hash. Every row is in exactly one queue either way."""
+    source = F.col(source_col).cast("string")
+    if docs.select(source.alias("source")).distinct().limit(most + 1).count() <= most:
+        return source
+    own = F.when(source.isNull(), F.lit(None in named)).otherwise(source.isin(*[n for n in named if n is not None]))
+    shared = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(source), F.lit(most)).cast("string"))
+    return F.when(own, source).otherwise(shared)
+
+
+def tokenised(docs: DataFrame, queue: Column, tokenizer_path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, queue, pid, start, n, ids) in a scratch table: ids with the end id, narrowed; start: the tokens
+    of the same queue that the same task wrote before."""
     content = docs.sparkSession.sparkContext.broadcast(read_file(tokenizer_path))
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pid, seen = encoder(content.value).encode, TaskContext.get().partitionId(), {}
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                blobs = [ids + last for ids in encode(part.column(2).to_pylist())]
+        pid, seen = TaskContext.get().partitionId(), {}
+        with encoder(content.value) as tool:
+            for part in parts(batches, 256):
+                blobs = [ids + last for ids in tool.encode(part.column(3).to_pylist())]
                 starts = []
-                for source, blob in zip(part.column(1).to_pylist(), blobs, strict=True):
-                    starts.append(seen.get(source, 0))
-                    seen[source] = starts[-1] + len(blob) // 4
+                for name, blob in zip(part.column(2).to_pylist(), blobs, strict=True):
+                    starts.append(seen.get(name, 0))
+                    seen[name] = starts[-1] + len(blob) // 4
                 lengths = pa.array([len(b) // 4 for b in blobs], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pid] * len(blobs), pa.int32()), pa.array(starts, pa.int64()), lengths, pa.array([narrowed(b) for b in blobs], pa.binary())], ["doc_id", "source", "pid", "start", "n", "ids"])
+                columns = [*part.columns[:3], pa.array([pid] * len(blobs), pa.int32()), pa.array(starts, pa.int64()), lengths, pa.array([narrowed(b) for b in blobs], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "queue", "pid", "start", "n", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return written(rows.mapInArrow(run, "doc_id long, source string, pid int, start long, n long, ids binary"), "tokens")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), queue.alias("queue"), F.col(text_col).cast("string").alias("text"))
+    return written(rows.mapInArrow(run, "doc_id long, source string, queue string, pid int, start long, n long, ids binary"), "tokens")
 
 
 def narrowed(blob: bytes) -> bytes:
@@ -192,34 +208,33 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, targets: Mapping
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source) of every piece; with_ids adds `ids`.
 
     targets: shares of tokens by source, of any scale; a source without one weighs next to nothing. Without targets, the
-    corpus's own shares.
+    corpus's own shares. Beyond MOST_QUEUES sources, those without a target share queues.
     """
-    table = tokenised(docs, tokenizer_path, end_id, id_col, text_col, source_col)
-    # One row a task and source: that bounds the window, whose groups are the sources, and the broadcast.
-    parts = table.groupBy("source", "pid").agg(F.sum("n").alias("tokens"))
-    before = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select(F.col("source").alias("queue"), F.col("pid").alias("task"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    totals = {r.source: r.tokens for r in parts.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+    named = list(targets or ())
+    table = tokenised(docs, queue_of(docs, source_col, named), tokenizer_path, end_id, id_col, text_col, source_col)
+    # One row a task and queue: that bounds the window, whose groups are the queues; the broadcast is checked.
+    tasks = written(table.groupBy("queue", "pid").agg(F.sum("n").alias("tokens")), "tasks")
+    before = Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    bases = tasks.select(F.col("queue").alias("of"), F.col("pid").alias("task"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    totals = {r.queue: r.tokens for r in tasks.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
     names = sorted(totals, key=lambda s: (s is None, s))
     shares = None if targets is None else [float(targets.get(s, 0.0)) for s in names]
     mixture, number = Mixture.of([totals[s] for s in names], shares, sequence, window), {s: i for i, s in enumerate(names)}
-    placed = table.join(F.broadcast(bases), F.col("source").eqNullSafe(F.col("queue")) & (F.col("pid") == F.col("task")))
-    placed = placed.select("doc_id", "source", (F.col("base") + F.col("start")).alias("start"), "n", "ids")
+    placed = table.join(small(bases), F.col("queue").eqNullSafe(F.col("of")) & (F.col("pid") == F.col("task")))
+    placed = placed.select("doc_id", "queue", (F.col("base") + F.col("start")).alias("start"), "n", "ids", "source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                queue = np.array([number[s] for s in batch.column(1).to_pylist()], np.int64)
-                start, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                doc, low, length, seq, offset = pieces(mixture, queue, start, n)
-                ids = [widened(b) for b in batch.column(4).to_pylist()]
-                parts = [ids[d][a : a + m] for d, a, m in zip(doc.tolist(), low.tolist(), length.tolist(), strict=True)]
-                pick = pa.array(doc, pa.int64())
-                columns = [batch.column(0).take(pick), pa.array(low), pa.array(length), pa.array([zlib.crc32(x.tobytes()) for x in parts], pa.int64()), pa.array(n[doc]), pa.array(seq), pa.array(offset), batch.column(1).take(pick)]
-                if with_ids:
-                    columns.append(pa.array([x.tolist() for x in parts], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, names_out)
+        for batch in parts(batches, 1024):
+            queue = np.array([number[s] for s in batch.column(1).to_pylist()], np.int64)
+            start, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            doc, low, length, seq, offset = pieces(mixture, queue, start, n)
+            ids = [widened(b) for b in batch.column(4).to_pylist()]
+            cut = [ids[d][a : a + m] for d, a, m in zip(doc.tolist(), low.tolist(), length.tolist(), strict=True)]
+            pick = pa.array(doc, pa.int64())
+            columns = [batch.column(0).take(pick), pa.array(low), pa.array(length), pa.array([zlib.crc32(x.tobytes()) for x in cut], pa.int64()), pa.array(n[doc]), pa.array(seq), pa.array(offset), batch.column(5).take(pick)]
+            if with_ids:
+                columns.append(pa.array([x.tolist() for x in cut], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names_out)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids array<long>" * with_ids
     names_out = [x.split()[0] for x in schema.split(", ")]

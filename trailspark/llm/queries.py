@@ -70,7 +70,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from . import dac
-    from .common import scratch_path
+    from trailspark.operators.scratch import scratch_path
 
     path = scratch_path(spark, "dac")
     dac.write(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
