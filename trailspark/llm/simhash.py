@@ -17,10 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailspark.operators.scratch import written
+from trailspark.operators.relations import stars
+from trailspark.operators.scratch import small, written
+
+from .common import parts
 
 SEED = 42
 SEGMENTS = 16
@@ -52,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): the signed fingerprint of every row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             prints = [fingerprint(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
@@ -97,26 +101,10 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b): root is the smallest node reachable.
-
-    Alternating large-star and small-star steps. Each round is written to the shared scratch folder; the loop ends when
-    a round leaves the edge set as it was. Nodes and edges stay in Spark; only a count and a hash reach the driver.
-    """
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = written(edges, "edges")
-    seen = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    """(node, root) for every node of the undirected edges (a, b): root is the smallest node reachable. Edges with a null
+    end, loops and repeated edges add nothing; without edges there is no node."""
+    linked = stars(edges)
+    return linked.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(linked.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -131,165 +119,225 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Parts of a document's shingle set that get fingerprints of their own, and the shingles that a part holds on average.
-PARTS, PART_SHINGLES = 16, 4
-
+#: One document in SAMPLE is read for common shingles; COMMON of those at most come last in every prefix.
+SAMPLE, COMMON = 32, 50_000
+#: Bins of the counts that bound a distance from below.
+BINS = 128
+#: Centres that a text is compared with before the exact join.
+CENTRES = 3
 
-def part_keys(text: bytes | None, words: int = 5) -> tuple[int, list[int]]:
-    """The document's fingerprint, and a key for each part: its place and the SimHash of its shingles.
 
-    Parts are residues of the distinct shingle hashes modulo a power of two that follows their number, so a part holds
-    a few shingles at any length, and a document that shares most shingles shares some parts whole. Two neighbouring
-    powers are used, since copies differ in length.
-    """
+def shingle_hashes(text: bytes | None, words: int = 5) -> np.ndarray:
+    """The hashes of a text's word shingles in order, repeats included; a text without words has none."""
     tokens = (text or b"").lower().split()
-    whole = fingerprint(text, words)
-    if len(tokens) <= words:
-        shingles = [b" ".join(tokens)]
-    else:
-        shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
-    digest = xxhash.xxh64_digest
-    hashes = np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), ">u8").astype(np.uint64))
-    keys: list[int] = []
-    level = max(0, (len(hashes) - 1).bit_length() - PART_SHINGLES.bit_length() + 1)
-    for power in (1 << level, 2 << level):
-        place = hashes & np.uint64(power - 1)
-        chosen = place < PARTS
-        place, some = place[chosen], hashes[chosen]
-        if not len(some):
-            continue
-        order = np.argsort(place, kind="stable")
-        place, some = place[order], some[order]
-        first = np.nonzero(np.concatenate(([True], place[1:] != place[:-1])))[0]
-        bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        size = np.diff(np.append(first, len(some)))
-        prints = np.packbits(2 * ones > size[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-        keys += ((prints ^ (place[first] + np.uint64(power)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64).tolist()
-    return whole, keys
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(tokens)] if len(tokens) <= words else map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), ">u8").astype(np.uint64)
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
-    """(doc_id, keeper) for every id that is a copy of a smaller one: exact, or of the given shingle similarity.
+def _majority(hashes: np.ndarray) -> int:
+    """The signed SimHash of shingle hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.uint64).view(np.int64))
+
+
+def _common(rows: DataFrame, words: int) -> np.ndarray:
+    """Shingle hashes that several documents of a sample hold. Which count as common changes the cost only, no result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["token"])
 
-    A single 64-bit fingerprint a few bits apart tells only the closest copies, so first candidates come from three places:
-    equal texts, document fingerprints linked by the grid join, and equal fingerprints of parts. Those of a part are compared
-    with the smallest id of the part, the one before them and the one that shares most parts, which is the original of a
-    class whose copies are only like it. Then an exact join finds every other pair that can link two classes. All
-    candidates but equal texts are verified on their whole shingle sets. Rows without an id take no part.
+    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary"))
+    counts = sample.mapInArrow(run, "token long").groupBy("token").count()
+    return np.sort(np.array([r.token for r in counts.where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).collect()], np.int64))
+
+
+def _described(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(row, doc_id, key, whole, fp, n, counts, rare, common) of (doc_id, key, text), in a scratch table.
+
+    row: a number of the row's own; whole: a digest of the shingle set; n: its size; counts: how many of its hashes lie
+    in each of BINS bins; rare and common: its prefix. A set of n that is like another holds ceil(similarity n) of its
+    hashes, so under any common order the first n - ceil(similarity n) + 1 hold one that both have. The order is by hash,
+    common ones last.
     """
+    late = _common(rows, words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column(1)]
-            found = [part_keys(t, words) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))],
-                ["doc_id", "digest", "fp", "keys"],
-            )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    prints = written(rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, digest binary, fp long, keys array<long>"), "parts")
-    same = prints.select("doc_id", "digest").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    exact = prints.select("doc_id", "digest").join(same, "digest").where("doc_id <> first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
-    texts = prints.join(same.select(F.col("first_id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "fp", "keys")
-
-    by_print = texts.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    equal = texts.join(by_print.select("fp", F.col("doc_id").alias("b")), "fp").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+        row = TaskContext.get().partitionId() << 40
+        for batch in parts(batches):
+            out: list[list] = [[] for _ in range(6)]
+            for text in batch.column(2).to_pylist():
+                hashes = shingle_hashes(text, words)
+                found = np.unique(hashes)
+                n, some = len(found), found.view(np.int64)
+                is_late = late[np.minimum(np.searchsorted(late, some), len(late) - 1)] == some if len(late) else np.zeros(n, bool)
+                rare, common = some[~is_late], some[is_late]
+                size = n - int(np.ceil(similarity * n - 1e-6)) + 1 if n else 0
+                counts = np.minimum(np.bincount((found % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+                for column, value in zip(out, (xxhash.xxh3_128_digest(found.tobytes()), _majority(hashes), n, counts.tobytes(), rare[:size], common[: max(0, size - len(rare))]), strict=True):
+                    column.append(value)
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            numbers = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([numbers, batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["row", "doc_id", "key", "whole", "fp", "n", "counts", "rare", "common"])
+
+    described = rows.select("doc_id", "key", F.col("text").cast("binary").alias("text"))
+    return written(described.mapInArrow(run, "row long, doc_id long, key binary, whole binary, fp long, n int, counts binary, rare array<long>, common array<long>"), "described")
+
+
+def _classes(rows: DataFrame, words: int, similarity: float, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """_described(rows), and (node, root) for the rows that are like another, over any number of links."""
+    table = _described(rows, words, similarity)
+    same = table.groupBy("whole").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    exact = written(table.select("row", "whole").join(same.where("n > 1"), "whole").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")), "same")
+    texts = table.join(small(exact.select(F.col("a").alias("row"))), "row", "left_anti")
+
+    by_print = written(texts.groupBy("fp").agg(F.min("row").alias("first")), "prints")
+    equal = texts.select("row", "fp").join(by_print, "fp").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
     linked = links(by_print.select("fp"), max_bits)
-    linked = linked.join(by_print.select(F.col("fp").alias("a"), F.col("doc_id").alias("x")), "a").join(by_print.select(F.col("fp").alias("b"), F.col("doc_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    parts = texts.select("doc_id", F.explode("keys").alias("key"))
-    near = Window.partitionBy("key").orderBy("doc_id")
-    parts = parts.withColumn("first", F.min("doc_id").over(near)).withColumn("before", F.lag("doc_id").over(near)).withColumn("after", F.lead("doc_id").over(near))
-    parts = written(parts.where("before is not null or after is not null").drop("after"), "shared")
-    sizes = parts.groupBy("key").agg(F.count("*").alias("size"))
-    weights = parts.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    centres = parts.join(weights, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("weight", "doc_id")).alias("centre"))
-    parts = parts.join(centres, "key").select(F.col("doc_id").alias("a"), F.explode(F.array("first", "before", "centre")).alias("b")).where("a <> b")
-    pairs = written(equal.unionByName(linked).unionByName(parts).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-
-    classes = written(components(exact.unionByName(_verified(rows, pairs, words, similarity))), "classes")
-    rest = _verified(rows, _crossing(rows, classes, words, similarity), words, similarity)
-    known = classes.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    classes = components(known.unionByName(rest))
-    return classes.where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"))
+    linked = linked.join(by_print.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(by_print.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
+    shared = _shared(texts)
+    first = written(equal.unionByName(linked).unionByName(_central(shared)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    classes = written(components(_verified(rows, table, first, words, similarity)), "classes")
+    rest = _verified(rows, table, _crossing(shared, classes, similarity), words, similarity)
+    known = classes.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return table, components(exact.unionByName(known).unionByName(rest))
 
-def _verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are of the given similarity."""
-    from .sketch import hashes
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(rows.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", hashes(F.col("text"), words).alias("set")), "sets")
-    compared = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return compared.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+def _shared(texts: DataFrame) -> DataFrame:
+    """(token, row, n, place, common, weight): the prefix hashes that several texts have, in a scratch table; weight: the
+    texts that share the row's hashes, over all of them. Common hashes are too many rows for one task each, and few
+    enough to broadcast: no window is over them."""
+    rare = texts.select("row", "n", F.posexplode("rare").alias("place", "token")).withColumn("texts", F.count("*").over(Window.partitionBy("token"))).where("texts > 1")
+    common = texts.select("row", "n", F.size("rare").alias("before"), F.posexplode("common").alias("at", "token"))
+    sizes = common.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1")
+    common = common.join(F.broadcast(sizes), "token").withColumn("place", F.col("before") + F.col("at"))
+    columns = ["token", "row", "n", "place", "texts"]
+    both = rare.select(*columns, F.lit(False).alias("common")).unionByName(common.select(*columns, F.lit(True).alias("common")))
+    return written(both.withColumn("weight", F.sum("texts").over(Window.partitionBy("row"))).drop("texts"), "shared")
 
 
-#: One document in SAMPLE is read for common shingles; COMMON of those at most come last in every prefix.
-SAMPLE, COMMON = 16, 50_000
+def _per_token(shared: DataFrame, **found) -> DataFrame:
+    """shared with aggregates of each token: by a window, or a broadcast join for the common ones, COMMON at most."""
+    window = Window.partitionBy("token")
+    rare = shared.where("not common").withColumns({name: c.over(window) for name, c in found.items()})
+    sums = shared.where("common").groupBy("token").agg(*[c.alias(name) for name, c in found.items()])
+    return rare.unionByName(shared.where("common").join(F.broadcast(sums), "token").select(*rare.columns))
 
 
-def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, token, at): the first shingle hashes of each document, such that two of the given similarity share one.
+def _central(shared: DataFrame) -> DataFrame:
+    """(a, b): each text and the CENTRES heaviest texts that share most of its hashes.
 
-    A set of n needs ceil(similarity n) shared hashes, so under any common order the first n - ceil(similarity n) + 1
-    hold the first shared one. The order is by hash, common ones last: which count as common changes the cost only.
-    at: size of the set and place of the hash, packed.
+    The original of a class whose copies are only like it shares most, wherever its id lies, and a class of any size
+    costs some rows a member. What this leaves out is left to the exact join.
     """
-    from .sketch import hashes
+    near = _per_token(shared, centre=F.max(F.struct("weight", "row", "n"))).where("row <> centre.row and least(n, centre.n) >= 0.5 * greatest(n, centre.n)")
+    votes = near.groupBy(F.col("row").alias("a"), F.col("centre.row").alias("b")).count()
+    order = Window.partitionBy("a").orderBy(F.desc("count"), "b")
+    return votes.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= CENTRES).select("a", "b")
 
-    found = rows.select("doc_id", hashes(F.col("text"), words).alias("set"))
-    counts = found.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.explode("set").alias("token")).groupBy("token").count()
-    common = np.sort(np.array([r.token for r in counts.where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).collect()], np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, tokens, at = [], [], []
-            lists = batch.column(1)
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for doc, low, high in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
-                some, n = flat[low:high], int(high - low)
-                if not n:
-                    continue
-                if len(common):
-                    late = common[np.minimum(np.searchsorted(common, some), len(common) - 1)] == some
-                    some = np.concatenate((some[~late], some[late]))
-                size = n - int(np.ceil(similarity * n - 1e-6)) + 1
-                ids.append(np.full(size, doc))
-                tokens.append(some[:size])
-                at.append((n << 32) + np.arange(size))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, tokens, at)], ["doc_id", "token", "at"])
-
-    return found.mapInArrow(run, "doc_id long, token long, at long")
-
-
-def _crossing(rows: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+def _crossing(shared: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """(a, b): every pair of different classes that can be of the given similarity, by shared prefixes, sizes and places.
 
     Every pair of two classes in a bucket has a member outside the bucket's largest class, so only those are joined with
     the rest, and a large class costs one row a member.
     """
-    bucket = Window.partitionBy("token")
-    shared = _prefixes(rows, words, similarity).withColumn("n", F.count("*").over(bucket)).where("n > 1").drop("n")
-    shared = written(shared, "prefixes").join(classes.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
-    shared = shared.select("token", "doc_id", "at", F.coalesce("root", "doc_id").alias("class"))
-    counts = written(shared.groupBy("token", "class").agg(F.count("*").alias("n")), "counts")
-    mixed = counts.groupBy("token").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("n", "class")).alias("largest")).where("classes > 1").select("token", "largest")
-    mixed = written(shared.join(mixed, "token").withColumn("size", F.shiftright("at", 32)).withColumn("place", F.col("at").bitwiseAND(F.lit((1 << 32) - 1))).drop("at"), "mixed")
+    sizes = classes.groupBy("root").agg(F.count("*").alias("members"))
+    named = shared.select("token", "row", "n", "place", "common").join(classes.join(sizes, "root").select(F.col("node").alias("row"), "root", "members"), "row", "left")
+    named = named.select("token", "row", "n", "place", "common", F.coalesce("root", "row").alias("class"), F.coalesce("members", F.lit(1)).alias("members"))
+    mixed = _per_token(written(named, "named"), least=F.min("class"), most=F.max("class"), largest=F.max(F.struct("members", "class"))).where("least <> most")
+    mixed = written(mixed.select("token", "row", "n", "place", "class", F.col("largest.class").alias("largest")), "mixed")
     x, y = mixed.where("class <> largest").alias("x"), mixed.alias("y")
-    least = similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    least = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
     # The first shared hash of two like sets leaves enough hashes behind it in both.
-    fits = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= least
-    once = (F.col("y.class") == F.col("y.largest")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    fits = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= least
+    once = (F.col("y.class") == F.col("y.largest")) | (F.col("x.row") < F.col("y.row"))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once & fits)
-    return written(pairs.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct(), "crossing")
+    return written(pairs.select(F.greatest("x.row", "y.row").alias("a"), F.least("x.row", "y.row").alias("b")).distinct(), "crossing")
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, without copies: of each class the smallest id stays. A row that repeats another's
-    id and text goes too; rows without an id stay."""
-    found = copies(docs, id_col, text_col, **options)
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(found.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").dropDuplicates([id_col, text_col])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+def _verified(rows: DataFrame, table: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are of the given similarity.
+
+    The Manhattan distance of two texts' bin counts is never more than the number of hashes that only one of them has, so
+    most pairs are told apart by BINS bytes a text; the others are compared on their texts.
+    """
+    apart = (1 - similarity) / (1 + similarity)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in (2, 3))
+            near = np.abs(x - y).sum(axis=1) <= apart * batch.column(4).to_numpy() + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, other = None, np.zeros(0, np.uint64)
+        for batch in parts(batches):
+            keep = []
+            for text, number, second in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if number != last:  # neighbours often share it
+                    last, other = number, np.unique(shingle_hashes(second, words))
+                own = np.unique(shingle_hashes(text, words))
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                keep.append(both >= similarity * (len(own) + len(other) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    facts = table.select("row", "n", "counts")
+    both = pairs.join(facts.toDF("a", "n_a", "counts_a"), "a").join(facts.toDF("b", "n_b", "counts_b"), "b")
+    likely = written(both.select("a", "b", "counts_a", "counts_b", (F.col("n_a") + F.col("n_b")).cast("double")).mapInArrow(bounded, "a long, b long"), "likely")
+    wanted = likely.select(F.col("a").alias("row")).unionByName(likely.select(F.col("b").alias("row"))).distinct()
+    keys = written(wanted.join(table.select("row", "key"), "row"), "wanted")
+    texts = rows.join(small(keys.select("key").distinct()), "key", "left_semi").select("key", F.col("text").cast("binary").alias("text")).dropDuplicates(["key"])
+    texts = written(texts.join(keys, "key").select("row", "text"), "texts")
+    whole = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    return written(whole.mapInArrow(compared, "a long, b long"), "verified")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, text): key is a digest of id and text, so rows that repeat an id are told apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(id_col, text_col).alias("key"), text.alias("text"))
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
+    """(doc_id, key, keeper) for every row that is a copy of another: equal, or of the given shingle similarity, over any
+    number of links. The keeper is the class's smallest id, null last; of rows that repeat that id one text stays.
+
+    A single 64-bit fingerprint a few bits apart tells only the closest copies, so candidates come from three places:
+    equal shingle sets, fingerprints linked by the grid join, and shared prefixes of shingle hashes. Texts are first
+    compared with the centres of their prefixes; then an exact join finds every other pair that can link two classes.
+    All candidates but equal sets are verified, by a lower bound of their distance and then on their whole texts.
+    """
+    return _copies(*_classes(_keyed(docs, id_col, text_col), words, similarity, max_bits))
+
+
+def _copies(table: DataFrame, classes: DataFrame) -> DataFrame:
+    members = written(table.select("row", "doc_id", "key").join(classes.withColumnRenamed("node", "row"), "row"), "members")
+    keepers = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("keeper"))
+    gone = members.join(keepers, "root").where("key <> keeper.key")
+    return gone.select("doc_id", "key", F.col("keeper.doc_id").alias("keeper")).distinct()
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
+    """The rows of docs, all columns, without copies(). Of rows that repeat id and text one stays. Null texts count as
+    empty; rows without an id are copies like others. Only rows that repeat are shuffled, unless the copies are too many
+    to broadcast."""
+    table, classes = _classes(_keyed(docs, id_col, text_col), words, similarity, max_bits)
+    gone = written(_copies(table, classes).select("key").distinct(), "gone")
+    twice = written(table.groupBy("key").count().where("count > 1").select("key").join(gone, "key", "left_anti"), "twice")
+    mark = "_key" + "_" * sum(c.startswith("_key") for c in docs.columns)
+    keyed = docs.withColumn(mark, _key(id_col, text_col))
+    out = keyed.join(small(gone.unionByName(twice).withColumnRenamed("key", mark)), mark, "left_anti")
+    again = keyed.join(small(twice.withColumnRenamed("key", mark)), mark, "left_semi").dropDuplicates([mark])
+    return out.unionByName(again).select(*docs.columns)
