@@ -14,14 +14,14 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from tokenizers import Tokenizer
 
 from .common import in_steps
 
-#: Pieces that a memo remembers at most, and their characters: some 40 MB.
+#: Pieces that a generation of a memo remembers at most, and their characters: some 30 MB.
 REMEMBERED, REMEMBERED_CHARS = 150_000, 3_000_000
 
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -68,6 +68,31 @@ def _is_byte_model(file: dict) -> bool:
     return not file.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
 
 
+class Memo:
+    """Ids of pieces, in two generations: a full one grows old, and what is not asked for until the next is full goes."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.chars = 0
+
+    def learn(self, wanted: set[str], ids: Callable[[list[str]], list[bytes]]) -> None:
+        """Afterwards young holds every wanted piece."""
+        new = wanted.difference(self.young)
+        size = sum(map(len, new))
+        if self.young and (len(self.young) + len(new) > REMEMBERED or self.chars + size > REMEMBERED_CHARS):
+            self.young, self.old, self.chars = {}, self.young, 0
+            new, size = wanted, sum(map(len, wanted))
+        known = new.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in known)
+        unknown = list(new.difference(known))
+        self.young.update(zip(unknown, ids(unknown), strict=True))
+        self.chars += size
+
+    def clear(self) -> None:
+        self.__init__()
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -77,8 +102,7 @@ class Encoder:
         self.whole = Tokenizer.from_str(content)
         self.words, self.bytes = _is_word_model(file), _is_byte_model(file)
         self.special = [t["content"] for t in file.get("added_tokens") or []]
-        self.matches: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.matches, self.pieces = Memo(), Memo()
 
     def forget(self) -> None:
         """Free the memos, at the end of a task."""
@@ -93,7 +117,7 @@ class Encoder:
         tokenize = self.whole.model.tokenize
         return [array("I", [t.id for t in tokenize(m.encode().decode("latin-1").translate(_SHOWN))]).tobytes() for m in matches]
 
-    def _cut(self, text: str) -> tuple[dict[str, bytes], list[str]] | None:
+    def _cut(self, text: str) -> tuple[Memo, list[str]] | None:
         """The memo to look in and the pieces, or None if the text must stay whole."""
         if not (self.words or self.bytes) or _CONTROL.search(text) or any(s in text for s in self.special):
             return None
@@ -111,13 +135,8 @@ class Encoder:
         for start, end in in_steps(texts, 1 << 20):
             cut = [self._cut(t) for t in texts[start:end]]
             for memo, ids in ((self.matches, self._match_ids), (self.pieces, self._ids)):
-                wanted = set().union(*(c[1] for c in cut if c and c[0] is memo))
-                new = list(wanted.difference(memo))
-                if new and (len(memo) + len(new) > REMEMBERED or sum(map(len, memo)) + sum(map(len, new)) > REMEMBERED_CHARS):
-                    memo.clear()
-                    new = list(wanted)
-                memo.update(zip(new, ids(new), strict=True))
-            out += [self._ids([t])[0] if c is None else b"".join(map(c[0].__getitem__, c[1])) for t, c in zip(texts[start:end], cut, strict=True)]
+                memo.learn(set().union(*(c[1] for c in cut if c and c[0] is memo)), ids)
+            out += [self._ids([t])[0] if c is None else b"".join(map(c[0].young.__getitem__, c[1])) for t, c in zip(texts[start:end], cut, strict=True)]
         return out
 
 
