@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import ipaddress
 import json
+import random
 from collections import Counter
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
 import yaml
 
-from trailspark import cli, config
-from trailspark.hunts import HUNTS
+from pyspark.sql import functions as F
+
+from trailspark import cli, config, logs
+from trailspark.functions import text
+from trailspark.hunts import HUNTS, Hunt
+from trailspark.hunts.context import Ranges, findings, gathered
 from trailspark.plans import detections, report
 from trailspark.plans.engine import coverage, hunt
 from trailspark.schema import Suppression, Thresholds
@@ -33,20 +39,21 @@ def found(week):
 
 
 def test_every_planted_case_is_found(found):
-    by_hunt = Counter(f["hunt"] for f in found.findings)
-    assert set(by_hunt) == set(HUNTS) - {"dga"} and found.suppressed == 1 and len(found.expired) == 1
+    findings = list(found.findings.values())
+    by_hunt = Counter(f["hunt"] for f in findings)
+    assert set(by_hunt) == set(HUNTS) - {"dga"} and found.facts["suppressed"] == 1 and len(found.expired) == 1
     assert by_hunt["beaconing"] == by_hunt["dns_tunnel"] == by_hunt["exfiltration"] == by_hunt["password_attacks"] == by_hunt["lateral_fanout"] == by_hunt["persistence"] == 1
     assert by_hunt["process_chains"] == 2 and by_hunt["rare_process"] == 3 and by_hunt["cloud_abuse"] == 4
-    assert not any("198.51.100.200" in f["ips"] for f in found.findings)
-    beacon = next(f for f in found.findings if f["hunt"] == "beaconing")
+    assert not any("198.51.100.200" in f["ips"] for f in findings)
+    beacon = next(f for f in findings if f["hunt"] == "beaconing")
     assert beacon["title"] == "Regular connections from ws-003 to 203.0.113.66:443" and beacon["ioc_match"] and len(beacon["event_ids"]) == 50 and beacon["benign_causes"]
     assert json.loads(beacon["details"])["connections"] == 120
-    assert len({f["id"] for f in found.findings}) == len(found.findings)
+    assert found.facts["findings"] == len(findings) == sum(found.facts[s] for s in ("critical", "high", "medium", "low"))
 
 
 def test_leads_are_ranked_and_cover_every_finding(found):
     assert [x["score"] for x in found.leads] == sorted((x["score"] for x in found.leads), reverse=True)
-    assert sorted(i for x in found.leads for i in x["finding_ids"]) == sorted(f["id"] for f in found.findings)
+    assert sorted(i for x in found.leads for i in x["finding_ids"]) == sorted(found.findings)
     assert found.leads[0]["score"] == 100 and all(x["next_steps"] for x in found.leads)
 
 
@@ -72,13 +79,57 @@ def test_report_files(found, tmp_path):
     names = {p.split("/out/")[1] for p in paths}
     assert {"hunt-report.md", "hunt-report.json", "findings.csv", "queries/beaconing.spl", "sigma/process_chains.yml"} <= names and "queries/dga.spl" not in names
     body = json.loads((tmp_path / "out/hunt-report.json").read_text())
-    assert len(body["findings"]) == len(found.findings) and set(i for f in body["findings"] for i in f["event_ids"]) == {e["id"] for e in body["evidence"]}
+    inside = [f for lead in body["leads"] for f in lead["findings"]]
+    assert len(inside) == len(found.findings) and all([e["id"] for e in f["timeline"]] == f["event_ids"][: report.SHOWN_EVENTS] for f in inside)
     assert (tmp_path / "out/findings.csv").read_text().count("\n") == len(found.findings) + 1
     assert "203.0.113.66" in (tmp_path / "out/hunt-report.md").read_text()
     with pytest.raises(ValueError):
         report.write(found, str(tmp_path), Thresholds(), ["xml"])
 
 
+def test_whole_result_as_tables_views_and_functions(spark, week, tmp_path):
+    result = hunt(week, simulate.example_config(), DAY, DAY + timedelta(days=1), only=["beaconing", "dga"])
+    report.tables(result, str(tmp_path / "t"))
+    assert spark.read.json(str(tmp_path / "t/findings")).count() == 2 and spark.read.option("header", True).csv(str(tmp_path / "t/findings_csv")).columns == list(report.CSV_COLUMNS)
+    result.register()
+    assert spark.sql("SELECT count(*) FROM hunt_findings WHERE score >= 50").first()[0] == 2
+    texts = spark.createDataFrame([("a.b.co.uk", "x --password hunter22 sk-ant-abcdefghijklmnopqrst"), ("", ""), ("Www.Example.COM.", "it's 'quoted' token: 'abcdef'"), (None, None)], "name string, line string")
+    texts.createOrReplaceTempView("texts")
+    got = spark.sql("SELECT text_entropy(name), registered_domain(name), redact_secrets(line) FROM texts").collect()
+    want = texts.select(text.entropy(texts.name), text.registered_domain(texts.name), text.redact(texts.line)).collect()
+    assert [(round(r[0] or 0, 9), r[1], r[2]) for r in got] == [(round(r[0] or 0, 9), r[1], r[2]) for r in want]
+
+
+def test_own_hunts(week):
+    def plan(ctx):
+        rows = gathered(ctx.kind("dns"), ["host"], ctx.config, F.count("*").alias("n"))
+        return findings(rows, ctx.config, "talkers", F.concat("host", F.lit(" talks")), F.lit(50), "Discovery", ("T1",), F.lit("why"), {"n": F.col("n")}, hosts=F.array("host")).withColumn("benign_causes", F.array(F.lit("none")))
+
+    own = {"talkers": Hunt("Discovery", ("dns",), ("T1",), plan), "never": Hunt("Discovery", ("dns",), ("T2",), plan, lambda ctx: "not today")}
+    result = hunt(week, simulate.example_config(), DAY, DAY + timedelta(days=1), hunts=own)
+    assert result.ran == ["talkers"] and result.skipped == {"never": "not today"} and result.findings.count() > 0
+    assert {r["hunt"] for r in coverage({"dns": 1}, hunts=own)["rows"]} == set(own)
+
+
+def test_address_ranges_match_a_linear_walk():
+    rng = random.Random(4)
+    nets = [(ipaddress.ip_network((rng.getrandbits(32), rng.randrange(0, 33)), strict=False), f"c{i}") for i in range(300)] + [(ipaddress.ip_network("0.0.0.0/0"), "all")]
+    nets += [(n, "again") for n, _ in nets[:50]]
+    table = Ranges(nets, "")
+    for _ in range(3000):
+        net = rng.choice(nets)[0]
+        ip = ipaddress.ip_address(min(max(int(net[0]) + rng.randrange(-2, 3), 0), 2**32 - 1))
+        best = max(((n.prefixlen, -i, c) for i, (n, c) in enumerate(nets) if ip in n), default=(0, 0, ""))
+        assert table.of(int(ip)) == best[2]
+
+
+def test_log_lines(capsys):
+    logs.configure("INFO", as_json=True).info("token sk-ant-abcdefghijklmnopqrst seen")
+    assert json.loads(capsys.readouterr().err)["text"] == "token [REDACTED] seen"
+    logs.configure("INFO").warning("plain")
+    assert "WARNING trailspark: plain" in capsys.readouterr().err
+
+
 def test_hostile_text_stays_inside_its_cell():
     assert "|" not in report.code("a`b|c\nd") and report.cell("a|<b>") == "a\\|\\<b\\>"
     assert report.csv_safe("=1+1") == "'=1+1" and report.csv_safe("plain") == "plain"
@@ -144,7 +195,7 @@ def test_ingest_accepts_rejects_and_keeps_the_first(spark, tmp_path):
     events, reports = ingest.load(spark, inputs)
     assert [(r["accepted"], r["rejected"], r["lines"]) for r in reports] == [(1, 1, 2), (1, 3, 5), (1, 0, 1)]
     rows = {r.source: r for r in events.collect()}
-    assert rows["sysmon"].host == "ws-1" and "hunter22" not in rows["sysmon"].cmdline
+    assert rows["sysmon"].id.startswith("sysmon:") and rows["sysmon"].host == "ws-1" and "hunter22" not in rows["sysmon"].cmdline
     assert rows["auth"].user == "bob" and rows["auth"].outcome == "success" and rows["cloudtrail"].user == "root" and rows["cloudtrail"].mfa is False
     with pytest.raises(ingest.IngestError):
         ingest.load(spark, [("nothing", "x")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
@@ -12,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark import config as configuration
+from trailspark import logs
 from trailspark.functions.scores import SEVERITIES
-from trailspark.hunts import HUNTS, TACTIC_OF
+from trailspark.functions.text import redacted
+from trailspark.hunts import HUNTS
 from trailspark.plans import detections, report
 from trailspark.plans.engine import HuntResult, coverage, hunt
 from trailspark.schema import KINDS, HuntConfig
 from trailspark.sources import ingest, simulate
-from trailspark.sources.adapters import moment, redacted
 
+LOG = logging.getLogger("trailspark.cli")
 FILES = ("thresholds", "iocs", "allowlist", "geo", "suppressions")
 
 
@@ -32,6 +35,8 @@ def _input(text: str) -> tuple[str, str]:
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="trailspark", description=__doc__)
+    parser.add_argument("--log-level", default="WARNING", choices=("DEBUG", "INFO", "WARNING", "ERROR"))
+    parser.add_argument("--log-json", action="store_true", help="log lines as JSON")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("hunts", help="list the hunts")
     sim = commands.add_parser("simulate", help="write a simulated week as JSON Lines, a folder for each kind")
@@ -47,6 +52,8 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--only", action="append", metavar="HUNT")
     run.add_argument("--out", help="folder for the report, findings, searches and rules")
     run.add_argument("--format", default="md,json")
+    run.add_argument("--tables", help="folder for the whole result, written by Spark")
+    run.add_argument("--no-rules", action="store_true", help="no searches beside the report")
     run.add_argument("--fail-on-lead", choices=SEVERITIES)
     cover = commands.add_parser("coverage", help="which hunts have their data")
     cover.add_argument("--input", "-i", type=_input, action="append", metavar="FORMAT=PATH")
@@ -71,18 +78,21 @@ def hunt_window(events: DataFrame, config: HuntConfig, window: timedelta = timed
 def _load(spark: SparkSession, settings: configuration.Settings, inputs: Sequence[tuple[str, str]]) -> DataFrame:
     events, reports = ingest.load(spark, inputs, settings.max_line_bytes, settings.max_events)
     for r in reports:
-        print(f"loaded {r['accepted']} {r['source']} events" + (f", {r['rejected']} rejected" if r["rejected"] else ""), file=sys.stderr)
+        LOG.info("loaded %d %s events, %d rejected: %s", r["accepted"], r["source"], r["rejected"], "; ".join(r["errors"]))
     return events
 
 
 def _hunt(args: argparse.Namespace, settings: configuration.Settings, spark: SparkSession) -> int:
     config = configuration.load(**{f"{n}_file": getattr(args, n) or getattr(settings, f"{n}_file") or None for n in FILES})
     events = _load(spark, settings, args.input)
-    start = moment(args.hunt_start) if args.hunt_start else None
-    found = report.collect(hunt_window(events, config, configuration.duration(args.window), start, args.baseline_days, args.only))
+    start = configuration.moment(args.hunt_start) if args.hunt_start else None
+    result = hunt_window(events, config, configuration.duration(args.window), start, args.baseline_days, args.only)
+    if args.tables:
+        report.tables(result, args.tables)
+    found = report.collect(result)
     formats = [f.strip() for f in args.format.split(",") if f.strip()]
     if args.out:
-        for path in report.write(found, args.out, config.thresholds, formats):
+        for path in report.write(found, args.out, config.thresholds, formats, not args.no_rules):
             print(f"wrote {path}")
         print(found.summary)
     else:
@@ -95,10 +105,11 @@ def _hunt(args: argparse.Namespace, settings: configuration.Settings, spark: Spa
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
+    logs.configure(args.log_level, args.log_json)
     try:
         if args.command == "hunts":
-            for name, (needed, techniques, _) in HUNTS.items():
-                print(f"{name:<18} {TACTIC_OF[name]:<22} {','.join(needed):<9} {', '.join(techniques)}")
+            for name, h in HUNTS.items():
+                print(f"{name:<18} {h.tactic:<22} {','.join(h.needs):<9} {', '.join(h.techniques)}")
             return 0
         settings = configuration.Settings.read()
         if args.command == "query":
@@ -110,7 +121,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             return 0
         spark = spark or SparkSession.builder.appName("trailspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
         if args.command == "simulate":
-            day = moment(args.start) if args.start else datetime.now(timezone.utc) - timedelta(days=1)
+            day = configuration.moment(args.start) if args.start else datetime.now(timezone.utc) - timedelta(days=1)
             week = simulate.week(spark, day.replace(hour=0, minute=0, second=0, microsecond=0))
             for kind in KINDS:
                 ingest.write_lines(week.where(F.col("kind") == kind), f"{args.out}/{kind}")

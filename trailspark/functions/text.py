@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,14 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(text, KEY_SECRET, "$1 [REDACTED]")
 
 
+def redacted(value: str) -> str:
+    """The same for a text of the driver, such as an error message."""
+    value = re.sub(FLAG_SECRET.replace("(?iuUd)", "(?i)"), r"\1\2[REDACTED]", value)
+    for pattern in SECRET_PATTERNS:
+        value = re.sub(pattern, "[REDACTED]", value)
+    return re.sub(KEY_SECRET.replace("(?iuUd)", "(?i)"), r"\1 [REDACTED]", value)
+
+
 def image(process: Column) -> Column:
     """The lower-case file name of a program path."""
     return F.lower(F.substring_index(F.translate(process, "\\", "/"), "/", -1))

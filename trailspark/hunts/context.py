@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ipaddress
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import cached_property, wraps
+from functools import cached_property, reduce, wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,22 +24,55 @@ INTERNAL = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169
 FINDING_COLUMNS = ("id", "hunt", "title", "score", "severity", "tactic", "techniques", "hosts", "users", "ips", "domains", "first_seen", "last_seen", "event_ids", "details", "explanation", "ioc_match")
 
 
+class Ranges:
+    """Networks of one IP version as disjoint ranges, so that a lookup is a binary search.
+
+    Networks are nested or apart; where they nest, the smaller one counts, and of equal ones the first."""
+
+    def __init__(self, networks: list[tuple], nothing):
+        first: dict = {}
+        for network, value in networks:
+            first.setdefault((int(network.network_address), -int(network.broadcast_address)), value)
+        self.starts, self.values = [-1], [nothing]
+        open_: list[tuple[int, object]] = []
+
+        def close(before: float) -> None:
+            while open_ and open_[-1][0] < before:
+                end = open_.pop()[0]
+                self.starts.append(end + 1)
+                self.values.append(open_[-1][1] if open_ else nothing)
+
+        for (start, minus_end), value in sorted(first.items(), key=lambda item: item[0]):
+            close(start)
+            self.starts.append(start)
+            self.values.append(value)
+            open_.append((-minus_end, value))
+        close(float("inf"))
+
+    def of(self, address: int):
+        return self.values[bisect_right(self.starts, address) - 1]
+
+
+def _by_version(networks: list[tuple], nothing) -> dict[int, Ranges]:
+    return {version: Ranges([(n, v) for n, v in networks if n.version == version], nothing) for version in (4, 6)}
+
+
 def address_facts(ips: DataFrame, config: HuntConfig) -> DataFrame:
     """(ip, internal, allowed, country) for distinct addresses. The country is the longest matching network's, the first
     of equally long ones; an invalid address is external, not allowed, and of no country."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        inside = [ipaddress.ip_network(n) for n in INTERNAL]
-        allowed = [ipaddress.ip_network(n, strict=False) for n in config.allow_networks]
-        places = sorted(((ipaddress.ip_network(n, strict=False), c) for n, c in config.geo), key=lambda g: -g[0].prefixlen)
+        net = lambda text: ipaddress.ip_network(text, strict=False)
+        inside = _by_version([(net(n), True) for n in INTERNAL], False)
+        allowed = _by_version([(net(n), True) for n in config.allow_networks], False)
+        places = _by_version([(net(n), c) for n, c in config.geo], "")
 
         def facts(value: str) -> tuple:
             try:
                 ip = ipaddress.ip_address(value)
             except ValueError:
                 return value, False, False, ""
-            hit = lambda nets: any(ip in n for n in nets if n.version == ip.version)
-            return value, hit(inside), hit(allowed), next((c for n, c in places if n.version == ip.version and ip in n), "")
+            return value, *(table[ip.version].of(int(ip)) for table in (inside, allowed, places))
 
         for batch in batches:
             yield pd.DataFrame([facts(v) for v in batch["ip"]], columns=["ip", "internal", "allowed", "country"])
@@ -91,18 +125,19 @@ def us(column: str = "time") -> Column:
     return F.unix_micros(column)
 
 
-def with_evidence(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds `evidence`: (time, id) of each key's first MAX_EVIDENCE events, else null, so that no list grows further."""
-    order = Window.partitionBy(*keys).orderBy("time", "id")
-    ranked = events.withColumn("_rn", F.row_number().over(order))
-    return ranked.withColumn("evidence", F.when(F.col("_rn") <= MAX_EVIDENCE, F.struct("time", "id"))).drop("_rn")
-
+def gathered(events: DataFrame, keys: list[str], config: HuntConfig, *sums: Column) -> DataFrame:
+    """(keys, sums, evidence, first_seen, last_seen, hash_hit) for each group of events.
 
-def evidence(config: HuntConfig) -> list[Column]:
-    """Aggregates over with_evidence(): the list, first and last time, and whether a known hash is among all events."""
+    evidence is (time, id) of the group's first MAX_EVIDENCE events: Spark limits the ranks below the shuffle, so a busy
+    group is not sorted whole. hash_hit tells whether a known digest is among all of its events."""
     sha = F.regexp_replace(F.lower(F.coalesce(F.try_element_at("attrs", F.lit("sha256")), F.lit(""))), "^sha256=", "")
     hit = sha.isin(*config.ioc_hashes) if config.ioc_hashes else F.lit(False)
-    return [F.array_sort(F.collect_list("evidence")).alias("evidence"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"), F.max(hit).alias("hash_hit")]
+    rows = events.groupBy(*keys).agg(*sums, F.min("time").alias("first_seen"), F.max("time").alias("last_seen"), F.max(hit).alias("hash_hit"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("time", "id"))
+    first = events.select(*keys, "time", "id").withColumn("_n", place).where(F.col("_n") <= MAX_EVIDENCE)
+    first = first.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.array_sort(F.collect_list(F.struct("time", "id"))).alias("evidence"))
+    match = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return rows.join(first, match).drop(*[f"_of_{k}" for k in keys])
 
 
 def benign(*causes: str) -> Callable:
@@ -129,7 +164,7 @@ def none() -> Column:
 
 
 def findings(rows: DataFrame, config: HuntConfig, hunt: str, title: Column, score: Column, tactic: Column | str, techniques: Column | tuple[str, ...], explanation: Column, details: dict[str, Column], hosts: Column | None = None, users: Column | None = None, ips: Column | None = None, domains: Column | None = None) -> DataFrame:
-    """Findings of rows that carry evidence(): entities, known indicators, clamped score, severity and a stable id."""
+    """Findings of rows that gathered() gave: entities, known indicators, clamped score, severity and a stable id."""
     rows = rows.select(
         F.lit(hunt).alias("hunt"), title.alias("title"), score.cast("int").alias("base"), (F.lit(tactic) if isinstance(tactic, str) else tactic).alias("tactic"),
         (F.array(*map(F.lit, techniques)) if isinstance(techniques, tuple) else techniques).alias("techniques"),

@@ -1,10 +1,17 @@
-"""Event-time windows that anchor at events: the best trailing window and the first forward burst."""
+"""Event-time windows that anchor at events: the best trailing window and the first forward burst.
+
+Time is cut into blocks as wide as the window, and each event is dealt to its block and the one beside it, so a window
+never reaches beyond the rows of its block and a busy key is spread over its blocks. Inside a block everything is a
+running sum or an offset over sorted rows: no list is gathered but that of a key's chosen window.
+
+Events without a time, a key or an item take part in no window. Ties in time are ordered by the event's id.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,39 +21,76 @@ def _busy(events: DataFrame, keys: Sequence[str], item: str, least: int) -> Data
     return events.join(enough, list(keys), "left_semi")
 
 
+def _block(us: Column, width_us: int) -> Column:
+    """The start of the block that holds a time."""
+    return us - F.pmod(us, F.lit(width_us))
+
+
+def _dealt(events: DataFrame, keys: Sequence[str], width_us: int, beside: int) -> tuple[DataFrame, list[str]]:
+    """The events of each block and of the neighbour to which `beside` (1 or -1) leads, with `_own`; and the block's keys."""
+    own = _block(F.col("_us"), width_us)
+    rows = events.withColumn("_block", F.explode(F.array(own, own + beside * width_us))).withColumn("_own", F.col("_block") == own)
+    part = [*keys, "_block"]
+    return rows.repartition(*part), part
+
+
+def _window_rows(events: DataFrame, chosen: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
+    """The events of each key's chosen window (keys, _first, _last in time, other columns), looked up by key and block."""
+    places = chosen.withColumn("_block", F.explode(F.array_distinct(F.array(_block(F.col("_first"), width_us), _block(F.col("_last"), width_us)))))
+    inside = events.withColumn("_block", _block(F.col("_us"), width_us)).join(places, [*keys, "_block"])
+    return inside.where(F.col("_us").between(F.col("_first"), F.col("_last"))).drop("_block")
+
+
 def best_window(events: DataFrame, keys: Sequence[str], time_us: str, event_id: str, item: str, width_us: int, least: int, cap: int | None = None) -> DataFrame:
     """One row for each key with a qualifying window: (keys, n, size, start_us, end_us, items, ids).
 
     A window ends at an event and reaches back width_us, inclusive. It qualifies with `least` distinct items and at most
-    `cap` events of any one item. The window of most distinct items is returned, the first of several. The frame of a
-    range window includes later events at the same microsecond; they are taken out by row number.
+    `cap` events of any one item. The window of most distinct items is returned, the first of several.
+
+    An item enters with an event that follows no other of it within the width, and leaves a width after one that none
+    follows; it is over the cap from an event to a width after the one `cap` places before. The sums of what entered and
+    left count the items of every window and those over the cap.
     """
-    events = _busy(events.select(*keys, F.col(time_us).alias("_us"), F.col(event_id).alias("_id"), F.col(item).alias("_item")), keys, "_item", least)
-    rows = events.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("_us", "_id")))
-    frame = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-width_us, Window.currentRow)
-    rows = rows.withColumn("_all", F.collect_list(F.struct("_rn", "_us", "_id", "_item")).over(frame))
-    rows = rows.withColumn("_seen", F.filter("_all", lambda x: x["_rn"] <= F.col("_rn"))).drop("_all")
-    rows = rows.withColumn("_of", F.transform("_seen", lambda x: x["_item"])).withColumn("items", F.array_sort(F.array_distinct("_of")))
-    fits = F.size("items") >= least
-    if cap is not None:
-        fits &= F.forall("items", lambda i: F.size(F.filter("_of", lambda x: x == i)) <= cap)
-    best = Window.partitionBy(*keys).orderBy(F.desc(F.size("items")), "_rn")
-    rows = rows.where(fits).withColumn("_place", F.row_number().over(best)).where("_place = 1")
-    return rows.select(*keys, F.size("items").alias("n"), F.size("_seen").alias("size"), F.col("_seen")[0]["_us"].alias("start_us"), F.col("_us").alias("end_us"), "items", F.transform("_seen", lambda x: x["_id"]).alias("ids"))
+    events = events.select(*keys, F.col(time_us).alias("_us"), F.col(event_id).alias("_id"), F.col(item).alias("_item")).where(F.col("_us").isNotNull() & F.col("_item").isNotNull())
+    events = _busy(events, keys, "_item", least)
+    rows, part = _dealt(events, keys, width_us, 1)
+    same = Window.partitionBy(*part, "_item").orderBy("_us", "_id")
+    enters = F.coalesce(F.col("_us") - F.lag("_us").over(same) > width_us, F.lit(True))
+    leaves = F.coalesce(F.lead("_us").over(same) - F.col("_us") > width_us, F.lit(True))
+    early = F.lag("_us", cap).over(same) if cap else F.lit(None).cast("long")
+    rows = rows.withColumns({"_enters": enters, "_leaves": leaves, "_early": early})
+    over = F.coalesce(F.col("_us") - F.col("_early") <= width_us, F.lit(False))
+
+    def change(at: Column, anchor: Column, items: Column, over: Column) -> Column:
+        return F.struct(at.alias("at"), anchor.alias("anchor"), items.alias("items"), over.alias("over"))
+
+    no, width = F.lit(0), F.lit(width_us + 1).cast("long")
+    changes = F.array_compact(F.array(
+        change(F.col("_us"), F.lit(1), F.col("_enters").cast("int"), over.cast("int")),
+        F.when(F.col("_leaves"), change(F.col("_us") + width, no, F.lit(-1), no)),
+        F.when(over, change(F.col("_early") + width, no, no, F.lit(-1))),
+    ))
+    rows = rows.select(*part, "_us", "_id", "_own", F.explode(changes).alias("_change")).select(*part, "_us", "_id", "_own", "_change.*")
+    so_far = Window.partitionBy(*part).orderBy("at", "anchor", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = rows.withColumn("_n", F.sum("items").over(so_far)).withColumn("_over", F.sum("over").over(so_far))
+    fits = F.col("_own") & (F.col("anchor") == 1) & (F.col("_n") >= least) & (F.col("_over") == 0)
+    best = counted.where(fits).groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("n"), "_us", "_id")).alias("_best"))
+    best = best.select(*keys, (F.col("_best._us") - width_us).alias("_first"), F.col("_best._us").alias("_last"), F.col("_best._id").alias("_until"))
+    inside = _window_rows(events, best, keys, width_us).where((F.col("_us") < F.col("_last")) | (F.col("_id") <= F.col("_until")))
+    items = F.array_sort(F.collect_set("_item"))
+    found = inside.groupBy(*keys).agg(F.count("*").cast("int").alias("size"), F.min("_us").alias("start_us"), F.max("_us").alias("end_us"), items.alias("items"), F.array_sort(F.collect_list(F.struct("_us", "_id"))).alias("_ids"))
+    return found.select(*keys, F.size("items").alias("n"), "size", "start_us", "end_us", "items", F.transform("_ids", lambda x: x["_id"]).alias("ids"))
 
 
 def first_burst(events: DataFrame, keys: Sequence[str], time_us: str, event_id: str, width_us: int, least: int) -> DataFrame:
     """One row for each key: the first event with `least` events from it on within width_us, inclusive: (keys, size,
     start_us, end_us, ids). Events before it at the same microsecond are not counted."""
-    events = events.select(*keys, F.col(time_us).alias("_us"), F.col(event_id).alias("_id"))
-    rows = events.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("_us", "_id")))
-    frame = Window.partitionBy(*keys).orderBy("_us").rangeBetween(Window.currentRow, width_us)
-    # Counted first, so that only the chosen event's window is gathered.
-    before = F.row_number().over(Window.partitionBy(*keys, "_us").orderBy("_id")) - 1
-    counted = rows.withColumn("_size", F.count("*").over(frame) - before).where(F.col("_size") >= least)
-    chosen = counted.groupBy(*keys).agg(F.min(F.struct("_rn", "_us")).alias("_first")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_first._rn").alias("_from"), F.col("_first._us").alias("_start"))
-    match = (F.col("_rn") >= F.col("_from")) & (F.col("_us") <= F.col("_start") + width_us)
-    for i, k in enumerate(keys):
-        match &= F.col(k) == F.col(f"_k{i}")
-    inside = rows.join(chosen, match)
-    return inside.groupBy(*keys).agg(F.count("*").cast("int").alias("size"), F.min("_us").alias("start_us"), F.max("_us").alias("end_us"), F.array_sort(F.collect_list(F.struct("_us", "_id"))).alias("_ids")).select(*keys, "size", "start_us", "end_us", F.transform("_ids", lambda x: x["_id"]).alias("ids"))
+    events = events.select(*keys, F.col(time_us).alias("_us"), F.col(event_id).alias("_id")).where(F.col("_us").isNotNull())
+    rows, part = _dealt(events, keys, width_us, -1)
+    reach = F.lead("_us", least - 1).over(Window.partitionBy(*part).orderBy("_us", "_id"))
+    starts = rows.withColumn("_reach", reach).where(F.col("_own") & (F.col("_reach") - F.col("_us") <= width_us))
+    first = starts.groupBy(*keys).agg(F.min(F.struct("_us", "_id")).alias("_start"))
+    first = first.select(*keys, F.col("_start._us").alias("_first"), (F.col("_start._us") + width_us).alias("_last"), F.col("_start._id").alias("_from"))
+    inside = _window_rows(events, first, keys, width_us).where((F.col("_us") > F.col("_first")) | (F.col("_id") >= F.col("_from")))
+    found = inside.groupBy(*keys).agg(F.count("*").cast("int").alias("size"), F.min("_us").alias("start_us"), F.max("_us").alias("end_us"), F.array_sort(F.collect_list(F.struct("_us", "_id"))).alias("_ids"))
+    return found.select(*keys, "size", "start_us", "end_us", F.transform("_ids", lambda x: x["_id"]).alias("ids"))

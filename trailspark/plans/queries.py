@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions import scores, text
 from trailspark.operators import relations, windows
+from trailspark.plans import hunt_queries
 
 DAY_US = 86_400_000_000
 
@@ -142,17 +143,6 @@ def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).groupBy("rule").agg(F.count("*").alias("matches"))
 
 
-_REDACT = r"(password|passwd|pwd|secret|api[_-]?key|token)([ \t\n]*[:=])[ \t\n]*['\x22]?[^ \t\n'\x22,;]{4,}"
-
-
-def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that change when values of secret keys are replaced, by hash."""
-    docs = _read(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
-    talk = _read(spark, sf_dir, "conversations").select(F.lit("conversations").alias("origin"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    both = docs.unionByName(talk).withColumn("clean", F.regexp_replace("text", "(?i)" + _REDACT, "$1$2 [REDACTED]"))
-    return both.where("clean <> text").select("origin", "id", F.md5("clean").alias("clean_md5"))
-
-
 def rare_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names of few brands, with the first well-known name within two edits."""
     parts = _read(spark, sf_dir, "part")
@@ -202,17 +192,6 @@ def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(scores.severity(F.col("score")).alias("severity")).agg(F.count("*").alias("findings"))
 
 
-#: (hunt, needed kind, techniques) of coverage_except.
-MATRIX = (("beaconing", "flow", "T1071,T1573"), ("dns_tunnel", "dns", "T1071.004,T1048.003"), ("exfiltration", "flow", "T1041,T1048"), ("spray", "auth", "T1110.003"), ("travel", "auth", "T1078"), ("fanout", "auth", "T1021.001,T1078"), ("cloud", "cloud", "T1078,T1526"))
-
-
-def coverage_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Techniques of hunts without data that no hunt with data covers."""
-    matrix = spark.createDataFrame(MATRIX, "hunt string, kind string, techniques string").select("kind", F.explode(F.split("techniques", ",")).alias("technique"))
-    present = ["flow", "cloud"]
-    return matrix.where(~F.col("kind").isin(*present)).select("technique").distinct().subtract(matrix.where(F.col("kind").isin(*present)).select("technique"))
-
-
 def off_hours_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     off = scores.off_hours(F.hour("ts"))
     return _read(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg(F.when(off, 1.0).otherwise(0.0)), 6).alias("off_hours_share"), F.count("*").alias("events"))
@@ -231,16 +210,16 @@ _ENTROPY = "(SELECT t, -sum(c / n * log2(c / n)) AS bits FROM (SELECT t, ch, cou
 _SUBS = f"(SELECT DISTINCT registered, rtrim(substr(host, 1, length(host) - length(registered)), '.') AS sub FROM {_HOSTS} WHERE host <> registered)"
 _ENUM = _best_window_sql("SELECT user_id AS k, epoch_us(ts) AS us, event_id AS id, event_type AS item FROM events", "user_id", 2 * DAY_US, 4, None)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = hunt_queries.QUERIES | {
     f.__name__: f
     for f in (
         beacon_regularity, best_window_spray, first_burst_bruteforce, fanout_best_window, enumeration_burst, travel_pairs, exfil_robust_z,
-        dns_subdomain_entropy, dga_label_entropy, rule_matches, redact_secrets, rare_stack, new_destination_anti, dedup_first,
-        suppress_anti, lead_components, severity_rollup, coverage_except, off_hours_share, evidence_top_k,
+        dns_subdomain_entropy, dga_label_entropy, rule_matches, rare_stack, new_destination_anti, dedup_first,
+        suppress_anti, lead_components, severity_rollup, off_hours_share, evidence_top_k,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {
+ORACLE_SQL: dict[str, str] = hunt_queries.ORACLE_SQL | {
     "beacon_regularity": _BEACONS,
     "best_window_spray": "SELECT source_key, n AS accounts, size AS failures, start_us, end_us, items AS users FROM (" + _best_window_sql("SELECT json_extract_string(props, '$.k') AS k, epoch_us(ts) AS us, event_id AS id, user_id AS item FROM events WHERE event_type = 'error'", "source_key", 7 * DAY_US, 4, 3) + ")",
     "first_burst_bruteforce": f"""
@@ -274,10 +253,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT registered, count(*) AS labels, round(avg(bits), 6) AS mean_entropy, array_to_string(list_sort(list(label))[:5], ',') AS first_labels FROM l JOIN {_ENTROPY.format(t="label", rows="l")} ON label = t GROUP BY registered
     """,
     "rule_matches": " UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS matches FROM {table} WHERE regexp_matches(lower({'text' if table == 'documents' else 'html'}), '{p}') HAVING count(*) > 0" for rule, table, p in RULES),
-    "redact_secrets": f"""
-        SELECT origin, id, md5(clean) AS clean_md5 FROM (SELECT *, regexp_replace(text, '{_REDACT.replace("'", "''")}', '\\1\\2 [REDACTED]', 'gi') AS clean FROM (
-            SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations)) WHERE clean <> text
-    """,
     "rare_stack": """
         WITH b AS (SELECT p_name, count(DISTINCT p_brand) AS brands, count(*) AS parts FROM part GROUP BY 1),
         c AS (SELECT p_name AS common, row_number() OVER (ORDER BY parts DESC, p_name) AS place FROM b QUALIFY place <= 10)
@@ -299,7 +274,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT component, count(*) AS findings, max(score) AS score, min(first_us) AS first_us, max(last_us) AS last_us FROM c JOIN f USING (id) GROUP BY component
     """,
     "severity_rollup": f"SELECT CASE WHEN score >= 85 THEN 'critical' WHEN score >= 70 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS severity, count(*) AS findings FROM ({_BEACONS}) GROUP BY 1",
-    "coverage_except": "WITH m AS (SELECT kind, unnest(string_split(techniques, ',')) AS technique FROM (VALUES " + ", ".join(map(str, MATRIX)) + ") AS t(hunt, kind, techniques)) SELECT technique FROM m WHERE kind NOT IN ('flow', 'cloud') EXCEPT SELECT technique FROM m WHERE kind IN ('flow', 'cloud')",
     "off_hours_share": "SELECT user_id, round(avg(CASE WHEN hour(ts) >= 22 OR hour(ts) < 6 THEN 1.0 ELSE 0.0 END), 6) AS off_hours_share, count(*) AS events FROM events GROUP BY 1",
     "evidence_top_k": "SELECT user_id, event_type, string_agg(event_id::VARCHAR, ',' ORDER BY n) AS event_ids FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n <= 3 GROUP BY 1, 2",
 }

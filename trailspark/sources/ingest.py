@@ -1,23 +1,19 @@
-"""JSON Lines to canonical events: text scan, adapters in Arrow batches, rejects, first-wins dedup."""
+"""JSON Lines to canonical events: text scan, one parse a line, rejects as a column, first-wins dedup."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailspark.errors import IngestError
 from trailspark.operators.relations import first_by
+from trailspark.operators.scratch import written
 from trailspark.schema import EVENT_SCHEMA
-from trailspark.sources.adapters import ADAPTERS, FIELDS, adapt
+from trailspark.sources.adapters import ADAPTERS, FIELDS, event
 
 MOST_BYTES, MOST_LINES, SHOWN_ERRORS = 200_000, 2_000_000, 20
-_EMPTY = {"dst_port": None, "bytes_out": None, "mfa": None}
-
-
-class IngestError(ValueError):
-    """An input that can't be read at all."""
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -28,43 +24,38 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def adapted(rows: DataFrame, source: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(file, place, reason, event fields): reason is empty for events."""
-    names = list(FIELDS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for value, file, place in zip(batch["value"], batch["file"], batch["place"], strict=True):
-                event, reason = adapt(source, value, most_bytes)
-                event = event or {}
-                out.append((file, place, reason, *[event.get(n, _EMPTY.get(n, {} if n == "attrs" else None if n == "time" else "")) for n in names]))
-            frame = pd.DataFrame(out, columns=["file", "place", "reason", *names])
-            frame["time"] = pd.to_datetime(frame["time"], utc=True)
-            for n in ("dst_port", "bytes_out"):
-                frame[n] = frame[n].astype("Int64")
-            frame["mfa"] = frame["mfa"].astype("boolean")
-            yield frame
-
-    return rows.mapInPandas(run, "file string, place bigint, reason string, " + EVENT_SCHEMA)
+    fits = F.octet_length("value") <= most_bytes
+    # A null record is no JSON; one that isn't an object has no fields.
+    parsed = rows.withColumn("record", F.when(fits, F.try_parse_json("value"))).withColumn("is_object", F.startswith(F.schema_of_variant("record"), F.lit("OBJECT")))
+    columns, reason = event(source, F.col("value"), F.col("record"))
+    why = F.when(~fits, f"line exceeds {most_bytes} bytes").when(F.col("record").isNull(), "not valid JSON").when(~F.col("is_object"), "not a JSON object").otherwise(reason)
+    return parsed.select("file", "place", why.alias("reason"), *[columns[name].alias(name) for name in FIELDS])
 
 
 def load(spark: SparkSession, inputs: Sequence[tuple[str, str]], most_bytes: int = MOST_BYTES, most_lines: int = MOST_LINES) -> tuple[DataFrame, list[dict]]:
-    """Events of (format, path) inputs, one an id, the first input's first line; and a report for each input."""
+    """Events of (format, path) inputs, one an id, the first input's first line; and a report for each input.
+
+    A file of more than most_lines lines is refused before anything of it is adapted. Adapted lines are a table in the
+    shared scratch folder, so that reports and hunts don't parse them again.
+    """
     for source, _ in inputs:
         if source not in ADAPTERS:
             raise IngestError(f"unknown source format {source!r}; choose from {', '.join(sorted(ADAPTERS))}")
-    parts, reports = [], []
+    events, reports = [], []
     for number, (source, path) in enumerate(inputs):
-        rows = adapted(lines(spark, path), source, most_bytes).persist()
+        raw = lines(spark, path)
+        longest = raw.groupBy("file").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if longest > most_lines:
+            raise IngestError(f"a file exceeds the limit of {most_lines} records")
+        rows = written(adapted(raw, source, most_bytes), "events")
         total, rejected, accepted = rows.agg(F.count("*"), F.count_if(F.col("reason") != ""), F.count_distinct(F.when(F.col("reason") == "", F.col("id")))).first()
-        if total > most_lines:
-            raise IngestError(f"input exceeds the limit of {most_lines} records")
         errors = rows.where("reason <> ''").orderBy("file", "place").limit(SHOWN_ERRORS).select("reason").collect()
         reports.append({"source": source, "lines": total, "accepted": accepted, "rejected": rejected, "errors": [r.reason for r in errors]})
-        parts.append(rows.where("reason = ''").withColumn("input", F.lit(number)))
-    if not parts:
+        events.append(rows.where("reason = ''").withColumn("input", F.lit(number)))
+    if not events:
         return spark.createDataFrame([], EVENT_SCHEMA), reports
-    every = parts[0]
-    for part in parts[1:]:
+    every = events[0]
+    for part in events[1:]:
         every = every.unionByName(part)
     return first_by(every, "id", ["input", "file", "place"]).drop("input", "file", "place", "reason"), reports
 
