@@ -4,7 +4,8 @@ A word is the bag of its character n-grams, hashed into embedding buckets; a win
 vectors; a softmax layer reads the average. Embeddings and layer are trained together in numpy on a bounded sample of
 labelled texts. A text's label says only that some part of it is toxic, so training alternates between choosing each
 text's most toxic window and fitting the windows, after a start on whole-text averages. A text scores as its most toxic
-window, at any length. A run of more than LONGEST characters without white space (an unspaced script, words joined by
+window, at any length; a word that follows itself counts once, and a text shorter than a window is filled up with words
+of no weight. A run of more than LONGEST characters without white space (an unspaced script, words joined by
 slashes or markup) is read as several words: cut at punctuation, and what is still longer into pieces that overlap by
 MOST - 1 characters, so that every n-gram of it is in a window.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ _JOINTS = re.compile(r"[!-/:-@\[-`{-~、。，；：！？「」（）・…]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    words = (text or "").lower().split()
+    words = [w for w, _ in groupby((text or "").lower().split())]
     if max(map(len, words), default=0) <= LONGEST:
         return words
     return [p for w in words for p in (pieces(w) if len(w) > LONGEST else [w])]
@@ -125,7 +127,7 @@ class ToxicityModel:
                     wide = min(self.window, len(words))
                     sums = np.cumsum(np.fromiter(map(memo.__getitem__, words), np.float64, len(words)))
                     most = max(sums[wide - 1], (sums[wide:] - sums[:-wide]).max(initial=-np.inf))
-                    out[i] = 1.0 / (1.0 + np.exp(-np.clip(most / wide + self.bias, -50.0, 50.0)))
+                    out[i] = 1.0 / (1.0 + np.exp(-np.clip(most / self.window + self.bias, -50.0, 50.0)))
         return out
 
 
@@ -165,10 +167,11 @@ class _Softmax:
     def logits(self) -> np.ndarray:
         return self.table @ (self.layer[:, 1] - self.layer[:, 0])
 
-    def step(self, bags: _Bags, words: np.ndarray, group: np.ndarray, label: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        """words: places in bags, group: the example that each belongs to, label and weight: by example."""
+    def step(self, bags: _Bags, words: np.ndarray, group: np.ndarray, label: np.ndarray, weight: np.ndarray, rate: float, size: int = 0) -> None:
+        """words: places in bags, group: the example that each belongs to, label and weight: by example. An average is over
+        `size` words, as if a shorter example were filled up with words of no weight, or over the example's own."""
         n = len(label)
-        count = np.bincount(group, minlength=n).astype(float)[:, None]
+        count = np.full((n, 1), float(size)) if size else np.bincount(group, minlength=n).astype(float)[:, None]
         vectors = bags.means(self.table)
         pooled = _scatter(group, vectors[words], n) / count
         z = pooled @ self.layer + self.bias
@@ -228,7 +231,7 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 16, width: int
         small, inner = np.unique(np.concatenate(chosen), return_inverse=True)
         part, group = bags.part(small), np.concatenate(owner)
         for _ in range(steps):
-            net.step(part, inner, group, kind, weight, rate * (1.0 - turn / turns) + 0.02)
+            net.step(part, inner, group, kind, weight, rate * (1.0 - turn / turns) + 0.02, window)
     return ToxicityModel(net.logits().astype(np.float32), float(net.bias[1] - net.bias[0]), window)
 
 
