@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept. All but the last return the columns of documents; the last returns packed
 pieces. Between stages run() writes Parquet to the scratch folder that the cluster names and reads it back.
+
+Edge cases: null and empty texts are not toxic, have no language (so the second stage drops them), are copies of each
+other, have no tokens to mix, and pack as the end id alone. Rows without an id are kept or dropped like others. Rows that
+repeat id and text are one document to the third stage; rows that share an id but not the text are told apart. Further
+columns, whatever their names, are carried along and never read. Of empty tables every stage makes an empty one; without
+labels nothing is toxic and every document is mixed in once.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go; a text without words stays."""
     return toxicity.keep_clean(docs, toxicity.train(docs, _labels(spark, sf_dir)))
 
 
@@ -37,11 +43,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document is repeated or left out by its fitted rate."""
+    """Every document is repeated or left out by its fitted rate; a domain without a labelled document has no share."""
     labels = labelled_domains(_labels(spark, sf_dir)).where("domain <> 'toxic'")
     model = mixing.train(docs, labels)
     members = written(mixing.memberships(docs, model), "memberships")
-    rates = mixing.fit_rates(members, model.domains, {d: w for d, w in TARGETS.items() if d in model.domains})
+    rates = mixing.fit_rates(members, model.domains, TARGETS)
     return mixing.resampled(docs, model, rates)
 
 
@@ -52,7 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("language_id", known_language), ("near_dedup", near_dedup), ("mixing", mix), ("packing", pack)]
 
-#: Trained models and tokenizers are beyond SQL; the tests hold the stages against brute force.
+#: Trained models and tokenizers are beyond SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
