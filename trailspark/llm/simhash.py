@@ -193,8 +193,8 @@ def _described(rows: DataFrame, words: int, similarity: float) -> DataFrame:
 def _classes(rows: DataFrame, words: int, similarity: float, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """_described(rows), and (node, root) for the rows that are like another, over any number of links."""
     table = _described(rows, words, similarity)
-    same = table.groupBy("whole").agg(F.min("row").alias("first"), F.count("*").alias("n"))
-    exact = written(table.select("row", "whole").join(same.where("n > 1"), "whole").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")), "same")
+    same = written(table.groupBy("whole").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"), "equal")
+    exact = written(table.select("row", "whole").join(small(same), "whole").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")), "same")
     texts = table.join(small(exact.select(F.col("a").alias("row"))), "row", "left_anti")
 
     by_print = written(texts.groupBy("fp").agg(F.min("row").alias("first")), "prints")
@@ -325,7 +325,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 def _copies(table: DataFrame, classes: DataFrame) -> DataFrame:
     members = written(table.select("row", "doc_id", "key").join(classes.withColumnRenamed("node", "row"), "row"), "members")
     keepers = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("keeper"))
-    gone = members.join(keepers, "root").where("key <> keeper.key")
+    gone = members.join(small(keepers), "root").where("key <> keeper.key")
     return gone.select("doc_id", "key", F.col("keeper.doc_id").alias("keeper")).distinct()
 
 
