@@ -13,6 +13,7 @@ import yaml
 
 from pyspark.sql import functions as F
 
+from tests import simulated
 from trailspark import cli, config, logs
 from trailspark.functions import text
 from trailspark.hunts import HUNTS, Hunt
@@ -20,21 +21,21 @@ from trailspark.hunts.context import Ranges, findings, gathered
 from trailspark.plans import detections, report
 from trailspark.plans.engine import coverage, hunt
 from trailspark.schema import Suppression, Thresholds
-from trailspark.sources import ingest, simulate
+from trailspark.sources import ingest
 
 DAY = datetime(2026, 9, 18, tzinfo=timezone.utc)
 
 
 @pytest.fixture(scope="module")
 def week(spark):
-    return simulate.week(spark, DAY).persist()
+    return simulated.week(spark, DAY).persist()
 
 
 @pytest.fixture(scope="module")
 def found(week):
     rule = Suppression("dga", "host", "WS-006", "a retired name still in use", "reviewer", date(2026, 12, 1))
     old = Suppression("*", "host", "ws-003", "a reason that has run out", "reviewer", date(2026, 1, 1))
-    result = hunt(week, simulate.example_config(suppressions=(rule, old)), DAY, DAY + timedelta(days=1))
+    result = hunt(week, simulated.example_config(suppressions=(rule, old)), DAY, DAY + timedelta(days=1))
     return report.collect(result)
 
 
@@ -59,18 +60,18 @@ def test_leads_are_ranked_and_cover_every_finding(found):
 
 def test_an_ordinary_day_is_quiet(week):
     start = DAY - timedelta(days=2)
-    result = hunt(week, simulate.example_config(), start, start + timedelta(days=1))
+    result = hunt(week, simulated.example_config(), start, start + timedelta(days=1))
     assert result.findings.count() == 0 and result.leads.count() == 0
 
 
 def test_gates_and_errors(week):
     with pytest.raises(ValueError):
-        hunt(week, simulate.example_config(), DAY, DAY)
+        hunt(week, simulated.example_config(), DAY, DAY)
     with pytest.raises(ValueError):
-        hunt(week, simulate.example_config(), DAY, DAY + timedelta(hours=1), only=["nothing"])
-    result = hunt(week.where("kind = 'dns'"), simulate.example_config(geo=()), DAY, DAY + timedelta(days=1), only=["dga", "beaconing", "dga"])
+        hunt(week, simulated.example_config(), DAY, DAY + timedelta(hours=1), only=["nothing"])
+    result = hunt(week.where("kind = 'dns'"), simulated.example_config(geo=()), DAY, DAY + timedelta(days=1), only=["dga", "beaconing", "dga"])
     assert result.ran == ["dga"] and list(result.skipped) == ["beaconing"]
-    empty = hunt(week.where("false"), simulate.example_config(), DAY, DAY + timedelta(days=1))
+    empty = hunt(week.where("false"), simulated.example_config(), DAY, DAY + timedelta(days=1))
     assert empty.findings.count() == 0 and len(empty.skipped) == len(HUNTS) and len(empty.warnings) == 2
 
 
@@ -88,7 +89,7 @@ def test_report_files(found, tmp_path):
 
 
 def test_whole_result_as_tables_views_and_functions(spark, week, tmp_path):
-    result = hunt(week, simulate.example_config(), DAY, DAY + timedelta(days=1), only=["beaconing", "dga"])
+    result = hunt(week, simulated.example_config(), DAY, DAY + timedelta(days=1), only=["beaconing", "dga"])
     report.tables(result, str(tmp_path / "t"))
     assert spark.read.json(str(tmp_path / "t/findings")).count() == 2 and spark.read.option("header", True).csv(str(tmp_path / "t/findings_csv")).columns == list(report.CSV_COLUMNS)
     result.register()
@@ -106,7 +107,7 @@ def test_own_hunts(week):
         return findings(rows, ctx.config, "talkers", F.concat("host", F.lit(" talks")), F.lit(50), "Discovery", ("T1",), F.lit("why"), {"n": F.col("n")}, hosts=F.array("host")).withColumn("benign_causes", F.array(F.lit("none")))
 
     own = {"talkers": Hunt("Discovery", ("dns",), ("T1",), plan), "never": Hunt("Discovery", ("dns",), ("T2",), plan, lambda ctx: "not today")}
-    result = hunt(week, simulate.example_config(), DAY, DAY + timedelta(days=1), hunts=own)
+    result = hunt(week, simulated.example_config(), DAY, DAY + timedelta(days=1), hunts=own)
     assert result.ran == ["talkers"] and result.skipped == {"never": "not today"} and result.findings.count() > 0
     assert {r["hunt"] for r in coverage({"dns": 1}, hunts=own)["rows"]} == set(own)
 

@@ -1,4 +1,4 @@
-"""Command line: hunts, simulate, hunt, coverage, query. Exit codes: 0, 1 for a lead beyond --fail-on-lead, 2 for errors."""
+"""Command line: hunts, hunt, coverage, query. Exit codes: 0, 1 for a lead beyond --fail-on-lead, 2 for errors."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ from trailspark.hunts import HUNTS
 from trailspark.plans import detections, report
 from trailspark.plans.engine import HuntResult, coverage, hunt
 from trailspark.schema import KINDS, HuntConfig
-from trailspark.sources import ingest, simulate
+from trailspark.sources import ingest
 
 LOG = logging.getLogger("trailspark.cli")
 FILES = ("thresholds", "iocs", "allowlist", "geo", "suppressions")
@@ -39,9 +39,6 @@ def _parser() -> argparse.ArgumentParser:
     parser.add_argument("--log-json", action="store_true", help="log lines as JSON")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("hunts", help="list the hunts")
-    sim = commands.add_parser("simulate", help="write a simulated week as JSON Lines, a folder for each kind")
-    sim.add_argument("--out", required=True)
-    sim.add_argument("--start", help="day of the hunt (default: yesterday)")
     run = commands.add_parser("hunt", help="hunt in telemetry")
     run.add_argument("--input", "-i", type=_input, action="append", required=True, metavar="FORMAT=PATH")
     for name in FILES:
@@ -120,13 +117,6 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             print(report.coverage_text(kinds, coverage(kinds)))
             return 0
         spark = spark or SparkSession.builder.appName("trailspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-        if args.command == "simulate":
-            day = configuration.moment(args.start) if args.start else datetime.now(timezone.utc) - timedelta(days=1)
-            week = simulate.week(spark, day.replace(hour=0, minute=0, second=0, microsecond=0))
-            for kind in KINDS:
-                ingest.write_lines(week.where(F.col("kind") == kind), f"{args.out}/{kind}")
-                print(f"wrote {args.out}/{kind}")
-            return 0
         if args.command == "coverage":
             kinds = {r.kind: r["count"] for r in _load(spark, settings, args.input).groupBy("kind").count().collect()}
             print(report.coverage_text(kinds, coverage(kinds)))
