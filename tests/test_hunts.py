@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
 import json
 import random
@@ -202,6 +203,54 @@ def test_ingest_accepts_rejects_and_keeps_the_first(spark, tmp_path):
         ingest.load(spark, [("nothing", "x")])
 
 
+def test_event_ids_are_digests_of_sorted_json(spark):
+    lines = ['{"timestamp": 1789725600, "result": "ok", "user": "a"}', '{"result": "ok", "timestamp": 1.50, "user": "Ünï\u00e9"}', '{"timestamp": 1e3, "result": "ok", "x": [1.0, -0, {"b": null, "a": "\\t"}]}', '{ "z": true,\t"timestamp": "2026-09-18", "result": "failed", "ip": "192.0.2.1" }']
+    rows = spark.createDataFrame([(x, "f", i) for i, x in enumerate(lines)], "value string, file string, place bigint")
+    got = {r.place: r.id for r in ingest.adapted(rows, "auth").collect()}
+    for i, line in enumerate(lines):
+        plain = json.dumps(json.loads(line), sort_keys=True, separators=(",", ":"))
+        assert got[i] == "auth:" + hashlib.sha256(plain.encode()).hexdigest()[:14], line
+
+
+ODD = [
+    ("auth", '{"timestamp": true, "result": "ok"}', "missing or invalid timestamp"),
+    ("auth", '{"timestamp": "yesterday", "result": "ok"}', "missing or invalid timestamp"),
+    ("auth", '{"timestamp": "2026-02-30", "result": "ok"}', "missing or invalid timestamp"),
+    ("dns", '{"timestamp": 5, "query": "no spaces here"}', "invalid or missing query name"),
+    ("flow", '{"timestamp": 5, "dst_ip": "192.0.2.01"}', "invalid or missing destination address"),
+    ("cloudtrail", '{"eventTime": 5}', "missing event name"),
+    ("sysmon", '{"EventID": 7, "UtcTime": 5}', "unsupported Sysmon event id"),
+    ("generic", '{"time": 5, "kind": "flow", "dst_port": "80"}', "record does not match the event schema"),
+    ("generic", '{"time": 5, "kind": "flow", "dst_port": 70000}', "record does not match the event schema"),
+    ("generic", '{"time": 5, "kind": "flow", "other": 1}', "record does not match the event schema"),
+    ("generic", '{"time": 5, "kind": "flow", "attrs": {"a": 1}}', "record does not match the event schema"),
+    ("auth", '["a"]', "not a JSON object"),
+    ("auth", "{", "not valid JSON"),
+    ("auth", '{"timestamp": 5, "result": "ok", "pad": "' + "x" * 200 + '"}', "line exceeds 150 bytes"),
+]
+
+
+def test_rejects_and_their_reasons(spark):
+    for source in sorted({s for s, _, _ in ODD}):
+        mine = [(line, reason) for s, line, reason in ODD if s == source]
+        rows = spark.createDataFrame([(line, "f", i) for i, (line, _) in enumerate(mine)], "value string, file string, place bigint")
+        assert [r.reason for r in ingest.adapted(rows, source, 150).orderBy("place").collect()] == [reason for _, reason in mine]
+
+
+def test_fields_of_every_format(spark):
+    cases = {
+        "sysmon": ('{"EventID": "3", "UtcTime": "2026-09-18 10:00:00.250", "Computer": "CORP\\\\Ws-1", "EventData": {"SourceIp": "FE80:0::1", "DestinationIp": "[192.0.2.1]", "DestinationPort": "443", "BytesSent": 12.7}}', {"kind": "flow", "host": "ws-1", "src_ip": "fe80::1", "dst_ip": "192.0.2.1", "dst_port": 443, "bytes_out": 12}),
+        "auth": ('{"@timestamp": "2026-09-18T10:00:00+0200", "time": "", "account": "Eve@x.org", "status": "Denied", "client_ip": "junk", "logon_type": 3}', {"user": "eve", "outcome": "failure", "src_ip": "", "attrs": {"logon_type": "3"}}),
+        "dns": ('{"time": 1789725600123, "qname": "A.Example.COM.", "qtype": "txt", "rcode": "nxdomain"}', {"domain": "a.example.com", "query_type": "TXT", "outcome": "failure"}),
+        "flow": ('{"start": 1789725600, "destination_ip": "2001:DB8::0:1", "orig_bytes": "1e3", "dst_port": 99999, "protocol": "tcp"}', {"dst_ip": "2001:db8::1", "bytes_out": 1000, "dst_port": None, "attrs": {"proto": "tcp"}}),
+        "cloudtrail": ('{"eventTime": 5, "eventName": "X", "errorCode": "Denied", "userIdentity": {"principalId": "P1", "sessionContext": {"attributes": {"mfaAuthenticated": "true"}}}}', {"user": "p1", "mfa": True, "outcome": "failure", "api": "X"}),
+        "generic": ('{"time": 5, "kind": "process", "host": "WS-1", "cmdline": "x --password hunter22", "id": "own"}', {"id": "own", "host": "WS-1", "cmdline": "x --password [REDACTED]"}),
+    }
+    for source, (line, want) in cases.items():
+        row = ingest.adapted(spark.createDataFrame([(line, "f", 0)], "value string, file string, place bigint"), source).first()
+        assert row.reason == "" and {k: row[k] for k in want} == want, source
+
+
 def test_command_line(spark, week, tmp_path, capsys):
     assert cli.main(["hunts"]) == 0 and cli.main(["query", "dga", "--lang", "kql"]) == 0 and cli.main(["coverage", "--kinds", "dns"]) == 0
     assert cli.main(["query", "dga", "--lang", "sigma"]) == 2

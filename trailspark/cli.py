@@ -6,11 +6,9 @@ import argparse
 import logging
 import sys
 from collections.abc import Sequence
-from datetime import datetime, timedelta, timezone
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trailspark import config as configuration
 from trailspark import logs
@@ -18,12 +16,11 @@ from trailspark.functions.scores import SEVERITIES
 from trailspark.functions.text import redacted
 from trailspark.hunts import HUNTS
 from trailspark.plans import detections, report
-from trailspark.plans.engine import HuntResult, coverage, hunt
-from trailspark.schema import KINDS, HuntConfig
-from trailspark.sources import ingest
+from trailspark.plans.engine import coverage
+from trailspark.schema import KINDS
+from trailspark.service import FILES, HuntService, build_service
 
 LOG = logging.getLogger("trailspark.cli")
-FILES = ("thresholds", "iocs", "allowlist", "geo", "suppressions")
 
 
 def _input(text: str) -> tuple[str, str]:
@@ -62,34 +59,22 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
-def hunt_window(events: DataFrame, config: HuntConfig, window: timedelta = timedelta(hours=24), start: datetime | None = None, baseline_days: int | None = None, only: Sequence[str] | None = None) -> HuntResult:
-    """Hunt in a window from start on, or in the one that ends a second after the newest event."""
-    if start is None:
-        newest = events.agg(F.unix_micros(F.max("time"))).first()[0]
-        if newest is None:
-            raise ValueError("no events were loaded")
-        start = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=newest) + timedelta(seconds=1) - window
-    return hunt(events, config, start, start + window, start - timedelta(days=baseline_days) if baseline_days else None, only)
-
-
-def _load(spark: SparkSession, settings: configuration.Settings, inputs: Sequence[tuple[str, str]]) -> DataFrame:
-    events, reports = ingest.load(spark, inputs, settings.max_line_bytes, settings.max_events)
+def _load(service: HuntService, inputs: Sequence[tuple[str, str]]) -> DataFrame:
+    events, reports = service.load(inputs)
     for r in reports:
         LOG.info("loaded %d %s events, %d rejected: %s", r["accepted"], r["source"], r["rejected"], "; ".join(r["errors"]))
     return events
 
 
-def _hunt(args: argparse.Namespace, settings: configuration.Settings, spark: SparkSession) -> int:
-    config = configuration.load(**{f"{n}_file": getattr(args, n) or getattr(settings, f"{n}_file") or None for n in FILES})
-    events = _load(spark, settings, args.input)
+def _hunt(args: argparse.Namespace, service: HuntService) -> int:
     start = configuration.moment(args.hunt_start) if args.hunt_start else None
-    result = hunt_window(events, config, configuration.duration(args.window), start, args.baseline_days, args.only)
+    result = service.hunt(_load(service, args.input), configuration.duration(args.window), start, args.baseline_days, args.only)
     if args.tables:
         report.tables(result, args.tables)
     found = report.collect(result)
     formats = [f.strip() for f in args.format.split(",") if f.strip()]
     if args.out:
-        for path in report.write(found, args.out, config.thresholds, formats, not args.no_rules):
+        for path in report.write(found, args.out, service.config.thresholds, formats, not args.no_rules):
             print(f"wrote {path}")
         print(found.summary)
     else:
@@ -116,12 +101,12 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             kinds = {k.strip(): 1 for k in args.kinds.split(",") if k.strip()}
             print(report.coverage_text(kinds, coverage(kinds)))
             return 0
-        spark = spark or SparkSession.builder.appName("trailspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
         if args.command == "coverage":
-            kinds = {r.kind: r["count"] for r in _load(spark, settings, args.input).groupBy("kind").count().collect()}
-            print(report.coverage_text(kinds, coverage(kinds)))
+            service = build_service(spark, settings)
+            kinds, found = service.coverage(_load(service, args.input))
+            print(report.coverage_text(kinds, found))
             return 0
-        return _hunt(args, settings, spark)
+        return _hunt(args, build_service(spark, settings, **{n: getattr(args, n) for n in FILES}))
     except (ValueError, PySparkException) as e:
         print(f"error: {redacted(str(e))}", file=sys.stderr)
         return 2

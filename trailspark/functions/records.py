@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
+import json
 from collections.abc import Sequence
 
 import pandas as pd
@@ -57,6 +59,29 @@ def _canonical_ipv6(values: pd.Series) -> pd.Series:
     return values.map(short, na_action="ignore")
 
 
+#: What Python's sorted, compact, ASCII-only JSON writes otherwise than Spark: characters beyond printable ASCII, escapes,
+#: and numbers with a point, an exponent or a negative zero.
+_ODD_JSON = r"[^ -~]|\\|[:\[,]\s*-?[0-9]+[.eE]|[:\[,]\s*-0"
+
+
+@F.pandas_udf(StringType())
+def _python_digest(lines: pd.Series) -> pd.Series:
+    def of(line: str) -> str | None:
+        try:
+            return hashlib.sha256(json.dumps(json.loads(line), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        except (ValueError, RecursionError):
+            return None
+
+    return lines.map(of, na_action="ignore")
+
+
+def digest(line: Column, record: Column) -> Column:
+    """SHA-256 of a record's sorted, compact, ASCII-only JSON, in hex. Spark writes that text for most records; the lines
+    that it would write differently go through Python."""
+    odd = _python_digest(F.when(line.rlike(_ODD_JSON), line))
+    return F.coalesce(odd, F.sha2(F.to_json(record), 256))
+
+
 def address(value: Column) -> Column:
     """A valid address in its canonical form, else an empty text."""
     plain = F.regexp_replace(F.trim(value), r"^\[+|\]+$", "")
