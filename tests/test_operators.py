@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from trailspark.functions import scores
 from trailspark.operators import relations, windows
 
 
@@ -69,3 +70,21 @@ def test_components_of_chains_stars_and_loners(spark):
     nodes = [*range(100, 131), 5, *range(10, 20), 900, 901, 902, 7, 3]
     got = {r.id: r.component for r in relations.components(spark.createDataFrame([(n,) for n in nodes], "id bigint"), spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 100 for i in range(100, 131)} | {i: 5 for i in [5, *range(10, 20)]} | {900: 900, 901: 900, 902: 900, 7: 7, 3: 3}
+
+
+def test_robust_z_and_variation(spark):
+    rows = [(10.0, 5, 4.0, 2.0, 5.0, 3.0), (10.0, 5, 4.0, 0.0, 5.0, 2.0), (10.0, 5, 4.0, 0.0, 5.0, 0.0), (10.0, 2, 4.0, 2.0, 5.0, 3.0), (10.0, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "value double, n int, median double, mad double, mean double, dev double")
+    got = [r[0] for r in frame.select(scores.robust_z(*[frame[c] for c in frame.columns])).collect()]
+    assert got[:4] == [pytest.approx(0.6745 * 3), 2.5, 0.0, 0.0] and got[4] in (None, 0.0)
+    pairs = spark.createDataFrame([(60.0, 0.0, 3), (60.0, 10.0, 2), (60.0, 0.0, 1), (0.0, 1.0, 5), (None, None, 0)], "mean double, dev double, n int")
+    assert [r[0] for r in pairs.select(scores.variation(pairs.mean, pairs.dev, pairs.n)).collect()] == [0.0, pytest.approx(1 / 6), float("inf"), float("inf"), float("inf")]
+
+
+def test_suppression_and_first_wins(spark):
+    found = spark.createDataFrame([("a", "x", ["host:1", "user:u"]), ("b", "y", ["host:1"]), ("c", "x", []), ("d", "x", None)], "id string, hunt string, entities array<string>")
+    rules = spark.createDataFrame([("x", "host:1"), ("*", "user:v"), ("z", "host:1")], "hunt string, entity string")
+    assert sorted(r.id for r in relations.unsuppressed(found, rules).collect()) == ["b", "c", "d"]
+    assert relations.unsuppressed(found, rules.where("false")).count() == 4
+    rows = spark.createDataFrame([(1, 2, "late"), (1, 1, "early"), (None, 1, "null"), (None, 0, "first")], "k int, seq int, what string")
+    assert sorted(r.what for r in relations.first_by(rows, "k", ["seq"]).collect()) == ["early", "first"]
