@@ -21,8 +21,8 @@ from tokenizers import Tokenizer
 
 from .common import in_steps
 
-#: Pieces that a generation of a memo remembers at most, and their characters: some 30 MB.
-REMEMBERED, REMEMBERED_CHARS = 150_000, 3_000_000
+#: Pieces that a generation of a memo remembers at most, and their characters: some 100 MB.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 10_000_000
 
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
