@@ -91,6 +91,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexsearch
+
+    return lexsearch.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pqcodes
+
+    return pqcodes.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = _read(spark, sf_dir, "documents")
+    return quality.predict(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -102,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_packing": op10_packing,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
+    "op12_vector_code_compression": op12_vector_code_compression,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
@@ -118,4 +140,18 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_ranked_lexical_search": """
+        WITH d AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents
+        ), i AS MATERIALIZED (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+        ), n AS (SELECT row, count(*) AS n FROM d GROUP BY 1), c AS (SELECT count(*) AS N, sum(n)::BIGINT AS L FROM n),
+        t AS (SELECT row, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY row, term),
+        w AS (SELECT term, floor(1000 * ln((2 * (SELECT N FROM c) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t GROUP BY term),
+        s AS (
+            SELECT item_id, row, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * (SELECT N FROM c)) // (SELECT L FROM c)))))::BIGINT AS score
+            FROM i JOIN t USING (term) JOIN w USING (term) JOIN n USING (row) GROUP BY item_id, row
+        ), r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50
+    """,
 }
