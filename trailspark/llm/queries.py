@@ -126,6 +126,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_quality_classifier": op13_quality_classifier,
 }
 
+def _lloyd_sql(rounds: int = 4) -> str:
+    """Four codebooks by Lloyd's rounds, written out: c0 is the start, a0 its assignment, c1 the next codebook, and so on."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+            SELECT row, pos, x, min({{'d': list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c), 'e': entry}}) AS best FROM p JOIN c{r} USING (pos) GROUP BY row, pos, x
+        )""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+                SELECT pos, entry, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+                    SELECT pos, entry, list(mean ORDER BY k) AS m FROM (
+                        SELECT pos, best.e AS entry, k, floor(sum(x[k]) / count(*)) AS mean FROM a{r}, range(1, 17) t(k) GROUP BY ALL
+                    ) GROUP BY pos, entry
+                ) USING (pos, entry)
+            )""")
+    last = f"a{rounds}"
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        ), p AS MATERIALIZED (SELECT row, pos, x[16 * pos + 1 : 16 * pos + 16] AS x FROM v, range(4) t(pos)),
+        c0 AS MATERIALIZED (SELECT pos, row - 1 AS entry, x AS c FROM p WHERE row <= 256), {", ".join(steps)},
+        f AS (SELECT vec_id, label, string_agg(lpad(format('{{:x}}', best.e), 2, '0'), '' ORDER BY pos) AS code, sum(best.d)::BIGINT AS error FROM {last} JOIN v USING (row) GROUP BY row, vec_id, label)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY pos, entry)) FROM c{rounds}) AS codebooks_sha256
+        FROM f
+    """
+
+
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": """
@@ -154,4 +183,5 @@ ORACLE_SQL: dict[str, str] = {
         ), r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
         SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50
     """,
+    "op12_vector_code_compression": _lloyd_sql(),
 }
