@@ -18,6 +18,7 @@ columns are never read, whatever their names.
 from __future__ import annotations
 
 import math
+import re
 import string
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -38,6 +39,7 @@ BUCKETS, RANK, BINS = 1 << 16, 8, 12
 PIECE = 1 << 20
 META = ("n_chars",)
 _MARKS = np.frombuffer(string.punctuation.encode(), np.uint8)
+_BLANK = re.compile(rb"\s")
 _STATS = 12
 
 
@@ -49,9 +51,8 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
     """The text in pieces that end at white space; a longer run without any is a piece of its own."""
     start = 0
     while start < len(raw):
-        end = start + PIECE
-        while end < len(raw) and not raw[end : end + 1].isspace():
-            end += 1
+        blank = _BLANK.search(raw, start + PIECE)
+        end = blank.start() if blank else len(raw)
         yield raw[start:end]
         start = end
 
@@ -61,9 +62,10 @@ def vector(raw: bytes | None, meta: Sequence[float | None], buckets: int = BUCKE
     raw = raw or b""
     times: dict[int, int] = {}
     n_words = repeated = long_words = 0
-    before, lines = None, []
+    before, lines, line, filled = None, [], 0, False
     for piece in _pieces(raw):
-        hashes = np.array([crc32(w) for w in piece.lower().split()], np.int64)
+        words = piece.lower().split()
+        hashes = np.array([crc32(w) for w in words], np.int64)
         if len(hashes):
             repeated += int((hashes[1:] == hashes[:-1]).sum()) + (before == hashes[0])
             before = hashes[-1]
@@ -72,8 +74,15 @@ def vector(raw: bytes | None, meta: Sequence[float | None], buckets: int = BUCKE
             for b, n in zip(found.tolist(), each.tolist(), strict=True) if times else ():
                 times[b] = times.get(b, 0) + n
             times = times or dict(zip(found.tolist(), each.tolist(), strict=True))
-            long_words += sum(len(w) > 20 for w in piece.split())
-        lines += [crc32(line) for line in piece.splitlines() if line.strip()]
+            long_words += sum(len(w) > 20 for w in words)
+        first, *others = piece.split(b"\n")
+        line, filled = crc32(first, line), filled or bool(first.strip())
+        for rest in others:
+            if filled:
+                lines.append(line)
+            line, filled = crc32(rest), bool(rest.strip())
+    if filled:
+        lines.append(line)
     if not n_words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     bytes_of = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
@@ -81,7 +90,7 @@ def vector(raw: bytes | None, meta: Sequence[float | None], buckets: int = BUCKE
     marks, blank = bytes_of[_MARKS], bytes_of[[9, 10, 11, 12, 13, 32]].sum()
     some = np.fromiter(times, np.int32, len(times))
     counts = np.fromiter(times.values(), np.float64, len(times))
-    words = np.log1p(counts)
+    damped = np.log1p(counts)
     stats = [
         upper / max(1, upper + lower),
         math.sqrt(marks.sum() / len(raw)),
@@ -102,7 +111,7 @@ def vector(raw: bytes | None, meta: Sequence[float | None], buckets: int = BUCKE
     low = np.minimum(where.astype(np.int64), BINS - 2)
     present = np.nonzero(marks)[0]
     index = np.concatenate((some, buckets + present, at + low, at + low + 1))
-    value = np.concatenate((words / np.sqrt((words * words).sum()), np.sqrt(marks[present] / len(raw)), 1 - (where - low), where - low))
+    value = np.concatenate((damped / np.sqrt((damped * damped).sum()), np.sqrt(marks[present] / len(raw)), 1 - (where - low), where - low))
     kept = value != 0
     return index[kept].astype(np.int32), value[kept].astype(np.float32)
 
