@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,11 +24,6 @@ def path(name: str) -> str:
     return "$" + "".join(f"['{part}']" for part in name.split("."))
 
 
-def found(record: Column, *names: str) -> Column:
-    """The first of the named values, as text, that is neither missing nor null nor empty."""
-    return F.coalesce(*[F.nullif(F.try_variant_get(record, path(n), "string"), F.lit("")) for n in names])
-
-
 def type_of(record: Column, name: str) -> Column:
     """The SQL type of a value, VOID for a JSON null; null if it is missing."""
     return F.schema_of_variant(F.try_variant_get(record, path(name), "variant"))
@@ -122,9 +117,9 @@ def read(value: Column, how: str) -> Column:
     raise ValueError(f"unknown kind of field {how!r}")
 
 
-def attributes(record: Column, names: dict[str, Sequence[str]]) -> Column:
+def attributes(values: Mapping[str, Column]) -> Column:
     """A map of the values that are there, cut at MOST_ATTR characters."""
-    if not names:
+    if not values:
         return F.create_map().cast("map<string,string>")
-    every = F.create_map(*[x for key, of in names.items() for x in (F.lit(key), F.substring(found(record, *of), 1, MOST_ATTR))])
+    every = F.create_map(*[x for key, value in values.items() for x in (F.lit(key), F.substring(value, 1, MOST_ATTR))])
     return F.map_filter(every, lambda _, v: v.isNotNull())

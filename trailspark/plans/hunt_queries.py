@@ -311,14 +311,66 @@ _RECORDS = """(SELECT event_id, epoch_us(ts) // 1000000 AS s, user_id AS u, floo
     CASE WHEN event_id % 7 = 0 THEN '203.0.113.999' ELSE '203.0.113.' || (user_id % 200) END AS ip, CASE WHEN event_id % 5 = 0 THEN 'maybe' WHEN event_id % 2 = 0 THEN 'Denied' ELSE 'OK' END AS result FROM events)"""
 _LINE = """'{"bytes_sent":"' || b || '","destination_ip":"' || ip || '","result":"' || result || '","time":' || s || ',"user":"CORP\\\\U' || u || '@x.org"}'"""
 _ADAPT = f"""
-    SELECT 'flow' AS format, event_id, CASE WHEN event_id % 7 = 0 THEN 'invalid or missing destination address' ELSE '' END AS reason, CASE WHEN event_id % 7 <> 0 THEN 'flow:' || substr(sha256({_LINE}), 1, 14) END AS id,
+    SELECT 'flow' AS format, event_id, CASE WHEN event_id % 7 = 0 THEN 'no usable destination address' ELSE '' END AS reason, CASE WHEN event_id % 7 <> 0 THEN 'flow:' || substr(sha256({_LINE}), 1, 14) END AS id,
            s * 1000000 AS us, 'u' || u AS "user", '' AS outcome, CASE WHEN event_id % 7 = 0 THEN '' ELSE ip END AS dst_ip, b AS bytes_out FROM {_RECORDS}
     UNION ALL
-    SELECT 'auth', event_id, CASE WHEN event_id % 5 = 0 THEN 'unrecognised authentication result' ELSE '' END, CASE WHEN event_id % 5 <> 0 THEN 'auth:' || substr(sha256({_LINE}), 1, 14) END,
+    SELECT 'auth', event_id, CASE WHEN event_id % 5 = 0 THEN 'result is neither a success nor a failure' ELSE '' END, CASE WHEN event_id % 5 <> 0 THEN 'auth:' || substr(sha256({_LINE}), 1, 14) END,
            s * 1000000, 'u' || u, CASE result WHEN 'OK' THEN 'success' WHEN 'Denied' THEN 'failure' ELSE '' END, '', NULL FROM {_RECORDS}
 """
 
 
+#: A record of each further format as SQL that Spark and DuckDB both read (`e` event, `u` user, `s` second), and what it must
+#: become: the reason for a reject, and the event's fields.
+_FEEDS = {
+    "sysmon": (
+        """concat('{"Computer":"H', u % 20, '.Corp","EventData":{"CommandLine":"run --token=abc', e, ' -v","DestinationIp":"203.0.113.', u % 200, '","DestinationPort":"', e % 70000, '","Image":"C:/Tools/A', u % 9, '.EXE","QueryName":" N', u, '.Example.ORG. ","QueryStatus":"', CASE WHEN e % 8 = 2 THEN 9003 ELSE 0 END, '","QueryType":"txt"},"EventID":', CASE e % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 22 ELSE 7 END, ',"User":"U', u, '@corp.org","UtcTime":', s, '}')""",
+        "CASE WHEN e % 4 = 3 THEN 'event id without an adapter' ELSE '' END",
+        {"kind": "CASE e % 4 WHEN 0 THEN 'process' WHEN 1 THEN 'flow' ELSE 'dns' END", "host": "concat('h', u % 20, '.corp')", "user": "concat('u', u)", "process": "concat('C:/Tools/A', u % 9, '.EXE')",
+         "cmdline": "CASE WHEN e % 4 = 0 THEN 'run --token=[REDACTED] -v' ELSE '' END", "dst_ip": "CASE WHEN e % 4 = 1 THEN concat('203.0.113.', u % 200) ELSE '' END", "dst_port": "CASE WHEN e % 4 = 1 AND e % 70000 < 65536 THEN e % 70000 END",
+         "domain": "CASE WHEN e % 4 = 2 THEN concat('n', u, '.example.org') ELSE '' END", "query_type": "CASE WHEN e % 4 = 2 THEN 'TXT' ELSE '' END", "outcome": "CASE WHEN e % 4 <> 2 THEN '' WHEN e % 8 = 2 THEN 'failure' ELSE 'success' END"},
+    ),
+    "dns": (
+        """concat('{"client":"H', u % 20, '","client_ip":"[203.0.113.', u % 200, ']","qtype":"a","query":"', CASE WHEN e % 5 = 0 THEN 'no name' ELSE concat('N', u, '.Example.ORG') END, '","rcode":"', CASE WHEN e % 3 = 0 THEN 'nxdomain' ELSE 'NOERROR' END, '","timestamp":"', s, '"}')""",
+        "CASE WHEN e % 5 = 0 THEN 'no usable query name' ELSE '' END",
+        {"kind": "'dns'", "host": "concat('h', u % 20)", "domain": "concat('n', u, '.example.org')", "query_type": "'A'", "outcome": "CASE WHEN e % 3 = 0 THEN 'failure' ELSE 'success' END"},
+    ),
+    "cloudtrail": (
+        """concat('{"additionalEventData":{"MFAUsed":"', CASE WHEN e % 2 = 0 THEN 'Yes' ELSE 'No' END, '"},"awsRegion":"eu-', u % 3, '","errorCode":"', CASE WHEN e % 3 = 0 THEN 'AccessDenied' ELSE '' END, '","eventName":', CASE WHEN e % 7 = 0 THEN 'null' ELSE '"GetObject"' END, ',"eventTime":', s, ',"userIdentity":{"principalId":"P', u, '","type":"', CASE WHEN e % 4 = 0 THEN 'Root' ELSE 'User' END, '","userName":"', CASE WHEN e % 8 < 2 THEN '' ELSE concat('U', u) END, '"}}')""",
+        "CASE WHEN e % 7 = 0 THEN 'no event name' ELSE '' END",
+        {"kind": "'cloud'", "user": "CASE WHEN e % 8 >= 2 THEN concat('u', u) WHEN e % 8 = 0 THEN 'root' ELSE concat('p', u) END", "api": "'GetObject'", "mfa": "e % 2 = 0", "outcome": "CASE WHEN e % 3 = 0 THEN 'failure' ELSE 'success' END",
+         "attrs": "CASE WHEN e % 3 = 0 THEN concat('error=AccessDenied,region=eu-', u % 3) ELSE concat('region=eu-', u % 3) END"},
+    ),
+    "generic": (
+        """concat('{"attrs":{"note":"n', u, '"},"cmdline":"curl -H password=hunter', e, '","dst_port":', CASE WHEN e % 6 = 0 THEN '"443"' WHEN e % 6 = 1 THEN 'null' ELSE '443' END, ',"host":"H', u, '","kind":"', CASE WHEN e % 11 = 0 THEN 'other' ELSE 'process' END, '","time":', s, '}')""",
+        "CASE WHEN e % 6 = 0 OR e % 11 = 0 THEN 'not a canonical event' ELSE '' END",
+        {"kind": "'process'", "host": "concat('H', u)", "cmdline": "'curl -H password= [REDACTED]'", "dst_port": "CASE WHEN e % 6 > 1 THEN 443 END", "attrs": "concat('note=n', u)"},
+    ),
+}
+_FED = {"kind": "''", "host": "''", "user": "''", "process": "''", "cmdline": "''", "dst_ip": "''", "dst_port": "NULL", "domain": "''", "query_type": "''", "api": "''", "mfa": "NULL", "outcome": "''", "attrs": "''"}
+
+
+def adapt_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw sysmon, dns, cloudtrail and generic records, read by their adapters: fields, ids and reasons."""
+    rows = _read(spark, sf_dir, "events").select(F.col("event_id").alias("e"), F.col("user_id").alias("u"), F.floor(scores.micros(F.col("ts")) / 1_000_000).alias("s"))
+    out = None
+    for source, (line, _, _) in _FEEDS.items():
+        made = ingest.adapted(rows.select(F.expr(line).alias("value"), F.lit("table").alias("file"), F.col("e").alias("place")), source)
+        pairs = F.array_sort(F.transform(F.map_entries("attrs"), lambda x: F.concat(x["key"], F.lit("="), x["value"])))
+        shown = [F.array_join(pairs, ",") if c == "attrs" else F.col(c) for c in _FED]
+        good = F.col("reason") == ""
+        part = made.select(F.lit(source).alias("format"), F.col("place").alias("event_id"), "reason", F.when(good, F.col("id")).alias("id"), F.when(good, F.unix_micros("time")).alias("us"), *[F.when(good, x).alias(c) for c, x in zip(_FED, shown, strict=True)])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_ADAPT_FEEDS = " UNION ALL ".join(
+    f"""SELECT '{source}' AS format, e AS event_id, reason, CASE WHEN reason = '' THEN '{source}:' || substr(sha256(line), 1, 14) END AS id, CASE WHEN reason = '' THEN s * 1000000 END AS us,
+        {", ".join(f'CASE WHEN reason = {chr(39) * 2} THEN {(_FED | fields)[c]} END AS "{c}"' for c in _FED)}
+        FROM (SELECT e, u, s, {line} AS line, {reason} AS reason FROM (SELECT event_id AS e, user_id AS u, epoch_us(ts) // 1000000 AS s FROM events))"""
+    for source, (line, reason, fields) in _FEEDS.items()
+)
+
+
 def hunt_dns_tunnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(network.dns_tunnel(_dns(spark, sf_dir)))
 
@@ -358,7 +410,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         hunt_beaconing, hunt_dns_tunnel, hunt_dga, hunt_exfiltration, hunt_spray, hunt_brute_force, hunt_impossible_travel, hunt_lateral_fanout,
-        hunt_process_rules, hunt_rare_process, hunt_cloud_abuse, coverage_blind, redact_secrets, adapt_records,
+        hunt_process_rules, hunt_rare_process, hunt_cloud_abuse, coverage_blind, redact_secrets, adapt_records, adapt_feeds,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -382,4 +434,5 @@ ORACLE_SQL: dict[str, str] = {
             SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations)) WHERE clean <> text
     """,
     "adapt_records": _ADAPT,
+    "adapt_feeds": _ADAPT_FEEDS,
 }

@@ -11,7 +11,7 @@ from trailspark.errors import IngestError
 from trailspark.operators.relations import first_by
 from trailspark.operators.scratch import written
 from trailspark.schema import EVENT_SCHEMA
-from trailspark.sources.adapters import ADAPTERS, FIELDS, event
+from trailspark.sources.adapters import ADAPTERS, FIELDS, events
 
 MOST_BYTES, MOST_LINES, SHOWN_ERRORS = 200_000, 2_000_000, 20
 
@@ -27,9 +27,8 @@ def adapted(rows: DataFrame, source: str, most_bytes: int = MOST_BYTES) -> DataF
     fits = F.octet_length("value") <= most_bytes
     # A null record is no JSON; one that isn't an object has no fields.
     parsed = rows.withColumn("record", F.when(fits, F.try_parse_json("value"))).withColumn("is_object", F.startswith(F.schema_of_variant("record"), F.lit("OBJECT")))
-    columns, reason = event(source, F.col("value"), F.col("record"))
-    why = F.when(~fits, f"line exceeds {most_bytes} bytes").when(F.col("record").isNull(), "not valid JSON").when(~F.col("is_object"), "not a JSON object").otherwise(reason)
-    return parsed.select("file", "place", why.alias("reason"), *[columns[name].alias(name) for name in FIELDS])
+    why = F.when(~fits, f"line exceeds {most_bytes} bytes").when(F.col("record").isNull(), "not valid JSON").when(~F.col("is_object"), "not a JSON object").otherwise(F.col("wrong"))
+    return events(parsed, source).select("file", "place", why.alias("reason"), *FIELDS)
 
 
 def load(spark: SparkSession, inputs: Sequence[tuple[str, str]], most_bytes: int = MOST_BYTES, most_lines: int = MOST_LINES) -> tuple[DataFrame, list[dict]]:
@@ -41,7 +40,7 @@ def load(spark: SparkSession, inputs: Sequence[tuple[str, str]], most_bytes: int
     for source, _ in inputs:
         if source not in ADAPTERS:
             raise IngestError(f"unknown source format {source!r}; choose from {', '.join(sorted(ADAPTERS))}")
-    events, reports = [], []
+    parts, reports = [], []
     for number, (source, path) in enumerate(inputs):
         raw = lines(spark, path)
         longest = raw.groupBy("file").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -51,16 +50,16 @@ def load(spark: SparkSession, inputs: Sequence[tuple[str, str]], most_bytes: int
         total, rejected, accepted = rows.agg(F.count("*"), F.count_if(F.col("reason") != ""), F.count_distinct(F.when(F.col("reason") == "", F.col("id")))).first()
         errors = rows.where("reason <> ''").orderBy("file", "place").limit(SHOWN_ERRORS).select("reason").collect()
         reports.append({"source": source, "lines": total, "accepted": accepted, "rejected": rejected, "errors": [r.reason for r in errors]})
-        events.append(rows.where("reason = ''").withColumn("input", F.lit(number)))
-    if not events:
+        parts.append(rows.where("reason = ''").withColumn("input", F.lit(number)))
+    if not parts:
         return spark.createDataFrame([], EVENT_SCHEMA), reports
-    every = events[0]
-    for part in events[1:]:
+    every = parts[0]
+    for part in parts[1:]:
         every = every.unionByName(part)
     return first_by(every, "id", ["input", "file", "place"]).drop("input", "file", "place", "reason"), reports
 
 
-def write_lines(events: DataFrame, path: str) -> None:
+def write_lines(rows: DataFrame, path: str) -> None:
     """Canonical events as JSON Lines that the generic format reads back."""
-    keep = events.select(*[F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("time") if n == "time" else F.col(n) for n in FIELDS])
+    keep = rows.select(*[F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("time") if n == "time" else F.col(n) for n in FIELDS])
     keep.select(F.to_json(F.struct(*FIELDS)).alias("value")).write.mode("overwrite").text(path)
