@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from trailspark.functions import scores
 from trailspark.operators import relations, windows
@@ -59,6 +60,37 @@ def test_first_burst_matches_plain_python(spark, events, width, least):
     assert got == plain_burst(events, max(width, 1), least)
 
 
+@pytest.mark.parametrize(("width", "least", "cap"), [(100, 3, None), (20, 2, 3)])
+def test_windows_count_rows_of_equal_ids_one_by_one(spark, width, least, cap):
+    rng = random.Random(4)
+    rows = [("k", rng.randrange(12) * 10, rng.randrange(6), f"x{rng.randrange(5)}") for _ in range(60)]
+    rows += [("end", 0, 1, "a"), ("end", 5, 2, "b"), ("end", 5, 2, "c"), ("end", 5, 2, "c"), ("end", 5, 2, "c")]
+    frame = spark.createDataFrame(rows, "k string, us bigint, id bigint, item string").repartition(3)
+    got = {r.k: (r.n, r["size"], r.start_us, r.end_us, r["items"], r.ids) for r in windows.best_window(frame, ["k"], "us", "id", "item", width, least, cap).collect()}
+    assert got == plain_best(rows, width, least, cap)
+    bursts = {r.k: (r["size"], r.start_us, r.end_us, r.ids) for r in windows.first_burst(frame, ["k"], "us", "id", width, 4).collect()}
+    assert bursts == plain_burst(rows, width, 4)
+
+
+def test_previous_reaches_over_empty_slices_and_spreads_a_busy_key(spark):
+    rng = random.Random(7)
+    rows = [(k, u, i, rng.choice(["a", None])) for i, (k, u) in enumerate([(rng.choice(["hot", "hot", None, "x"]), rng.randrange(-5000, 5000)) for _ in range(500)])]
+    rows += [("late", 900_000, 1000, "z"), ("late", -900_000, 1001, "y"), ("none", None, 1002, "q"), ("none", 3, 1003, "r")]
+    frame = spark.createDataFrame(rows, "k string, us bigint, id bigint, item string").repartition(5)
+    want = {}
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {row[2]: before and (before[2], before[3]) for before, row in zip([None, *own], own)}
+    for width in (1, 100, 10**9):
+        found = windows.previous(frame, ["k"], F.col("us"), "id", F.struct("id", "item"), "before", width)
+        assert found.columns == ["k", "us", "id", "item", "before"]
+        assert {r.id: r.before and tuple(r.before) for r in found.collect()} == want
+    # One key's rows are sorted in many tasks.
+    hot = spark.range(20_000).select(F.lit("k").alias("k"), (F.col("id") * 1000).alias("us"), "id")
+    spread = windows.previous(hot, ["k"], F.col("us"), "id", F.col("id"), "before", 100_000)
+    assert spread.select(F.spark_partition_id()).distinct().count() > 1 and spread.where("id > 0 and before <> id - 1 or before is null").count() == 1
+
+
 def test_windows_of_nothing(spark):
     frame = spark.createDataFrame([], "k string, us bigint, id bigint, item string")
     assert windows.best_window(frame, ["k"], "us", "id", "item", 10, 2).count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailspark.operators.scratch import removed, written
+from trailspark.operators.windows import previous
 
 
 def first_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -31,8 +32,7 @@ def consecutive_links(findings: DataFrame, gap_us: int) -> DataFrame:
 
     findings: (id, first_us, last_us, entities)."""
     rows = findings.select("id", "first_us", "last_us", F.explode("entities").alias("entity"))
-    order = Window.partitionBy("entity").orderBy("first_us", "id")
-    rows = rows.withColumn("before", F.lag(F.struct("id", "last_us")).over(order))
+    rows = previous(rows, ["entity"], F.col("first_us"), "id", F.struct("id", "last_us"), "before")
     near = rows.where(F.col("first_us") - F.col("before.last_us") <= gap_us)
     return near.select(F.col("before.id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
 

@@ -4,7 +4,11 @@ Time is cut into blocks as wide as the window, and each event is dealt to its bl
 never reaches beyond the rows of its block and a busy key is spread over its blocks. Inside a block everything is a
 running sum or an offset over sorted rows: no list is gathered but that of a key's chosen window.
 
-Events without a time, a key or an item take part in no window. Ties in time are ordered by the event's id.
+Events without a time, a key or an item take part in no window. Ties in time are ordered by the event's id, and equal
+ids by their item; rows that repeat all three are counted one by one.
+
+previous() gives every event the one before it of its key. A key's events are cut into slices of time, so that a busy key
+is spread over tasks; what a slice's first event needs comes from the last events of the slices before, one row a slice.
 """
 
 from __future__ import annotations
@@ -15,6 +19,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Width of a slice of previous(): a key's events of these ten minutes are sorted in one task.
+SLICE_US = 600_000_000
+
+
+def previous(events: DataFrame, keys: Sequence[str], time_us: Column, event_id: str, value: Column, name: str, slice_us: int = SLICE_US) -> DataFrame:
+    """events with `name`: the value of the key's event before, by time and id; null for a key's first. Null keys are a key
+    like others; events without a time come first. Spark sorts each slice once, and meets one row a slice and key again."""
+    cut = events.withColumns({"_us": time_us, "_value": F.struct(value.alias("v"))}).withColumn("_slice", F.coalesce(F.floor(F.col("_us") / slice_us), F.lit(-(1 << 62))))
+    part = [*keys, "_slice"]
+    last = cut.groupBy(*part).agg(F.max_by("_value", F.struct("_us", event_id)).alias("_last"))
+    carried = last.withColumn("_value", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))).where("_value is not null").drop("_last")
+    # What is carried into a slice stands before its events.
+    rows = cut.withColumn("_carried", F.lit(1)).unionByName(carried.withColumn("_carried", F.lit(0)), allowMissingColumns=True)
+    before = F.lag("_value").over(Window.partitionBy(*part).orderBy("_carried", "_us", event_id))
+    return rows.withColumn("_before", before).where("_carried = 1").select(*events.columns, F.col("_before.v").alias(name))
+
+
 def _busy(events: DataFrame, keys: Sequence[str], item: str, least: int) -> DataFrame:
     """The events of keys that reach the threshold over all time: nothing else can reach it in a window."""
     enough = events.groupBy(*keys).agg(F.count_distinct(item).alias("_n")).where(F.col("_n") >= least).drop("_n")
@@ -54,7 +75,9 @@ def best_window(events: DataFrame, keys: Sequence[str], time_us: str, event_id:
     events = events.select(*keys, F.col(time_us).alias("_us"), F.col(event_id).alias("_id"), F.col(item).alias("_item")).where(F.col("_us").isNotNull() & F.col("_item").isNotNull())
     events = _busy(events, keys, "_item", least)
     rows, part = _dealt(events, keys, width_us, 1)
-    same = Window.partitionBy(*part, "_item").orderBy("_us", "_id")
+    # Rows of one time, numbered: the chosen window ends at one of them.
+    rows = rows.withColumn("_tie", F.row_number().over(Window.partitionBy(*part, "_us").orderBy("_id", "_item")))
+    same = Window.partitionBy(*part, "_item").orderBy("_us", "_tie")
     enters = F.coalesce(F.col("_us") - F.lag("_us").over(same) > width_us, F.lit(True))
     leaves = F.coalesce(F.lead("_us").over(same) - F.col("_us") > width_us, F.lit(True))
     early = F.lag("_us", cap).over(same) if cap else F.lit(None).cast("long")
@@ -70,16 +93,17 @@ def best_window(events: DataFrame, keys: Sequence[str], time_us: str, event_id:
         F.when(F.col("_leaves"), change(F.col("_us") + width, no, F.lit(-1), no)),
         F.when(over, change(F.col("_early") + width, no, no, F.lit(-1))),
     ))
-    rows = rows.select(*part, "_us", "_id", "_own", F.explode(changes).alias("_change")).select(*part, "_us", "_id", "_own", "_change.*")
-    so_far = Window.partitionBy(*part).orderBy("at", "anchor", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(*part, "_us", "_tie", "_own", F.explode(changes).alias("_change")).select(*part, "_us", "_tie", "_own", "_change.*")
+    so_far = Window.partitionBy(*part).orderBy("at", "anchor", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = rows.withColumn("_n", F.sum("items").over(so_far)).withColumn("_over", F.sum("over").over(so_far))
     fits = F.col("_own") & (F.col("anchor") == 1) & (F.col("_n") >= least) & (F.col("_over") == 0)
-    best = counted.where(fits).groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("n"), "_us", "_id")).alias("_best"))
-    best = best.select(*keys, (F.col("_best._us") - width_us).alias("_first"), F.col("_best._us").alias("_last"), F.col("_best._id").alias("_until"))
-    inside = _window_rows(events, best, keys, width_us).where((F.col("_us") < F.col("_last")) | (F.col("_id") <= F.col("_until")))
-    items = F.array_sort(F.collect_set("_item"))
-    found = inside.groupBy(*keys).agg(F.count("*").cast("int").alias("size"), F.min("_us").alias("start_us"), F.max("_us").alias("end_us"), items.alias("items"), F.array_sort(F.collect_list(F.struct("_us", "_id"))).alias("_ids"))
-    return found.select(*keys, F.size("items").alias("n"), "size", "start_us", "end_us", "items", F.transform("_ids", lambda x: x["_id"]).alias("ids"))
+    best = counted.where(fits).groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("n"), "_us", "_tie")).alias("_best"))
+    best = best.select(*keys, (F.col("_best._us") - width_us).alias("_first"), F.col("_best._us").alias("_last"), F.col("_best._tie").alias("_tie"))
+    inside = _window_rows(events, best, keys, width_us)
+    found = inside.groupBy(*keys).agg((F.count_if(F.col("_us") < F.col("_last")) + F.first("_tie")).cast("int").alias("size"), F.min("_us").alias("start_us"), F.max("_us").alias("end_us"), F.array_sort(F.collect_list(F.struct("_us", "_id", "_item"))).alias("_rows"))
+    # Of the window's last moment, only the rows up to the chosen one.
+    found = found.withColumn("_rows", F.slice("_rows", F.lit(1), F.col("size"))).withColumn("items", F.array_sort(F.array_distinct(F.transform("_rows", lambda x: x["_item"]))))
+    return found.select(*keys, F.size("items").alias("n"), "size", "start_us", "end_us", "items", F.transform("_rows", lambda x: x["_id"]).alias("ids"))
 
 
 def first_burst(events: DataFrame, keys: Sequence[str], time_us: str, event_id: str, width_us: int, least: int) -> DataFrame:
