@@ -104,8 +104,8 @@ def test_whole_result_as_tables_views_and_functions(spark, week, tmp_path):
 
 def test_own_hunts(week):
     def plan(ctx):
-        rows = gathered(ctx.kind("dns"), ["host"], ctx.config, F.count("*").alias("n"))
-        return findings(rows, ctx.config, "talkers", F.concat("host", F.lit(" talks")), F.lit(50), "Discovery", ("T1",), F.lit("why"), {"n": F.col("n")}, hosts=F.array("host")).withColumn("benign_causes", F.array(F.lit("none")))
+        rows = gathered(ctx.kind("dns"), ["host"], ctx, F.count("*").alias("n"))
+        return findings(rows, ctx, "talkers", F.concat("host", F.lit(" talks")), F.lit(50), "Discovery", ("T1",), F.lit("why"), {"n": F.col("n")}, hosts=F.array("host")).withColumn("benign_causes", F.array(F.lit("none")))
 
     own = {"talkers": Hunt("Discovery", ("dns",), ("T1",), plan), "never": Hunt("Discovery", ("dns",), ("T2",), plan, lambda ctx: "not today")}
     result = hunt(week, simulated.example_config(), DAY, DAY + timedelta(days=1), hunts=own)

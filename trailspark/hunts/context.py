@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import ipaddress
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property, reduce, wraps
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailspark.functions import scores, text
+from trailspark.operators.scratch import small, written
 from trailspark.schema import HuntConfig
 
 MAX_EVIDENCE = 50
@@ -80,6 +81,33 @@ def address_facts(ips: DataFrame, config: HuntConfig) -> DataFrame:
     return ips.mapInPandas(run, "ip string, internal boolean, allowed boolean, country string")
 
 
+#: Values of a configuration that stay in the plan; longer lists become a table, so that plans don't grow with them.
+IN_PLAN = 1000
+
+
+def _relation(spark: SparkSession, values: Sequence[str], name: str) -> DataFrame:
+    """(value): the distinct values of a list of the configuration."""
+    rows = spark.createDataFrame([(v,) for v in dict.fromkeys(values)], "value string")
+    return rows if len(values) <= IN_PLAN else written(rows, name)
+
+
+def suffixes(name: Column) -> Column:
+    """A domain and everything after each of its dots."""
+    labels = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def flagged(rows: DataFrame, key: str, values: Column, listed: Sequence[str], name: str) -> DataFrame:
+    """rows (one a key) with `name`: whether one of their values is listed. A long list is joined by value."""
+    if len(listed) <= IN_PLAN:
+        return rows.withColumn(name, F.exists(values, lambda x: x.isin(*listed)) if listed else F.lit(False))
+    row = F.struct(*[c for c in rows.columns if c != key])
+    asked = rows.select(key, row.alias("_row"), F.explode_outer(F.array_distinct(values)).alias("value"))
+    met = asked.join(small(_relation(rows.sparkSession, listed, "listed")).withColumn("_met", F.lit(True)), "value", "left")
+    found = met.groupBy(key).agg(F.first("_row").alias("_row"), F.max(F.coalesce("_met", F.lit(False))).alias(name))
+    return found.select(key, "_row.*", name)
+
+
 @dataclass
 class Context:
     """Window and baseline events of the canonical schema."""
@@ -111,11 +139,21 @@ class Context:
     def known_destinations(self) -> DataFrame:
         return self.outbound(self.history, allowlist=False).select("host", "dst_ip").distinct()
 
-    def allowed_domain(self, name: Column) -> Column:
-        found = F.lit(False)
-        for domain in self.config.allow_domains:
-            found |= (name == domain) | F.endswith(name, F.lit("." + domain))
-        return found
+    def without_allowed(self, events: DataFrame) -> DataFrame:
+        """The events whose domain is neither an allowed one nor below one."""
+        if not self.config.allow_domains:
+            return events
+        if len(self.config.allow_domains) <= IN_PLAN:
+            return events.where(~F.exists(suffixes(F.col("domain")), lambda x: x.isin(*self.config.allow_domains)))
+        # Distinct names meet the list by their suffixes.
+        every = events.select("domain").distinct().select("domain", F.explode(suffixes(F.col("domain"))).alias("value"))
+        allowed = every.join(small(_relation(events.sparkSession, self.config.allow_domains, "allowed")), "value", "left_semi").select("domain").distinct()
+        return events.join(allowed, "domain", "left_anti")
+
+    @cached_property
+    def indicators(self) -> list[str]:
+        """`ip:` and `domain:` with every value."""
+        return [f"ip:{v}" for v in self.config.ioc_ips] + [f"domain:{v}" for v in self.config.ioc_domains]
 
     def sign_ins(self, events: DataFrame) -> DataFrame:
         return events.where("kind = 'auth' or (kind = 'cloud' and api = 'ConsoleLogin')")
@@ -125,14 +163,19 @@ def us(column: str = "time") -> Column:
     return F.unix_micros(column)
 
 
-def gathered(events: DataFrame, keys: list[str], config: HuntConfig, *sums: Column) -> DataFrame:
+def gathered(events: DataFrame, keys: list[str], ctx: Context, *sums: Column) -> DataFrame:
     """(keys, sums, evidence, first_seen, last_seen, hash_hit) for each group of events.
 
     evidence is (time, id) of the group's first MAX_EVIDENCE events: Spark limits the ranks below the shuffle, so a busy
     group is not sorted whole. hash_hit tells whether a known digest is among all of its events."""
-    sha = F.regexp_replace(F.lower(F.coalesce(F.try_element_at("attrs", F.lit("sha256")), F.lit(""))), "^sha256=", "")
-    hit = sha.isin(*config.ioc_hashes) if config.ioc_hashes else F.lit(False)
+    sha, hashes = F.regexp_replace(F.lower(F.coalesce(F.try_element_at("attrs", F.lit("sha256")), F.lit(""))), "^sha256=", ""), ctx.config.ioc_hashes
+    hit = F.coalesce(sha.isin(*hashes), F.lit(False)) if 0 < len(hashes) <= IN_PLAN else F.lit(False)
     rows = events.groupBy(*keys).agg(*sums, F.min("time").alias("first_seen"), F.max("time").alias("last_seen"), F.max(hit).alias("hash_hit"))
+    if len(hashes) > IN_PLAN:
+        known = small(_relation(events.sparkSession, hashes, "hashes"))
+        hits = events.select(*[F.col(k).alias(f"_hit_{k}") for k in keys], sha.alias("value")).where("value <> ''").join(known, "value", "left_semi").drop("value").distinct().withColumn("_hit", F.lit(True))
+        rows = rows.join(hits, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_hit_{k}")) for k in keys]), "left")
+        rows = rows.withColumn("hash_hit", F.coalesce("_hit", F.lit(False))).drop("_hit", *[f"_hit_{k}" for k in keys])
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("time", "id"))
     first = events.select(*keys, "time", "id").withColumn("_n", place).where(F.col("_n") <= MAX_EVIDENCE)
     first = first.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.array_sort(F.collect_list(F.struct("time", "id"))).alias("evidence"))
@@ -163,7 +206,7 @@ def none() -> Column:
     return F.array().cast("array<string>")
 
 
-def findings(rows: DataFrame, config: HuntConfig, hunt: str, title: Column, score: Column, tactic: Column | str, techniques: Column | tuple[str, ...], explanation: Column, details: dict[str, Column], hosts: Column | None = None, users: Column | None = None, ips: Column | None = None, domains: Column | None = None) -> DataFrame:
+def findings(rows: DataFrame, ctx: Context, hunt: str, title: Column, score: Column, tactic: Column | str, techniques: Column | tuple[str, ...], explanation: Column, details: dict[str, Column], hosts: Column | None = None, users: Column | None = None, ips: Column | None = None, domains: Column | None = None) -> DataFrame:
     """Findings of rows that gathered() gave: entities, known indicators, clamped score, severity and a stable id."""
     rows = rows.select(
         F.lit(hunt).alias("hunt"), title.alias("title"), score.cast("int").alias("base"), (F.lit(tactic) if isinstance(tactic, str) else tactic).alias("tactic"),
@@ -173,14 +216,12 @@ def findings(rows: DataFrame, config: HuntConfig, hunt: str, title: Column, scor
         F.to_json(F.struct(*[c.alias(n) for n, c in details.items()])).alias("details"), explanation.alias("explanation"), "hash_hit",
     )
 
-    def known(column: Column, values: tuple[str, ...]) -> Column:
-        return F.arrays_overlap(column, F.array(*map(F.lit, values))) if values else F.lit(False)
-
-    registered = F.transform("domains", text.registered_domain)
-    ioc = known(F.col("ips"), config.ioc_ips) | known(F.col("domains"), config.ioc_domains) | known(registered, config.ioc_domains) | F.col("hash_hit")
     micro = F.date_format("first_seen", "SSSSSS")
     moment = F.concat(F.date_format("first_seen", "yyyy-MM-dd'T'HH:mm:ss"), F.when(micro != "000000", F.concat(F.lit("."), micro)).otherwise(""), F.lit("+00:00"))
     key = F.array_join(F.concat(F.array("hunt", "title"), "hosts", "users", "ips", "domains", F.array(moment)), "|")
-    rows = rows.withColumn("ioc_match", F.coalesce(ioc, F.lit(False))).withColumn("score", scores.clamped(F.col("base") + F.when(F.col("ioc_match"), IOC_BONUS).otherwise(0)))
-    rows = rows.withColumn("severity", scores.severity(F.col("score"))).withColumn("id", F.concat(F.lit("F-"), F.upper(F.substring(F.sha2(key, 256), 1, 10))))
-    return rows.select(*FINDING_COLUMNS)
+    rows = rows.withColumn("id", F.concat(F.lit("F-"), F.upper(F.substring(F.sha2(key, 256), 1, 10))))
+    registered = F.transform("domains", text.registered_domain)
+    named = F.concat(F.transform("ips", lambda x: F.concat(F.lit("ip:"), x)), *[F.transform(c, lambda x: F.concat(F.lit("domain:"), x)) for c in (F.col("domains"), registered)])
+    rows = flagged(rows, "id", named, ctx.indicators, "_known").withColumn("ioc_match", F.col("_known") | F.col("hash_hit"))
+    rows = rows.withColumn("score", scores.clamped(F.col("base") + F.when(F.col("ioc_match"), IOC_BONUS).otherwise(0)))
+    return rows.withColumn("severity", scores.severity(F.col("score"))).select(*FINDING_COLUMNS)

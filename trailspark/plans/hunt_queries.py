@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from trailspark.functions import scores, text
 from trailspark.hunts import HUNTS, cloud, endpoint, identity, network
 from trailspark.hunts.context import Context
-from trailspark.plans.engine import coverage
-from trailspark.schema import EVENT_SCHEMA, HuntConfig, Thresholds
+from trailspark.plans.engine import MOST_LINKED, coverage, leads, reviewed
+from trailspark.schema import EVENT_SCHEMA, TACTICS, HuntConfig, Thresholds
 from trailspark.sources import ingest
 
 T0 = 1_704_067_200_000_000
@@ -47,7 +48,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _context(spark: SparkSession, sf_dir: str, squeeze: int = 100) -> Context:
+def _context(spark: SparkSession, sf_dir: str, squeeze: int = 100, config: HuntConfig = CONFIG) -> Context:
     """Window and baseline: the later and the earlier half of the events' month, squeezed so that bursts are dense."""
     rows = _read(spark, sf_dir, "events").withColumn("us", T0 + F.floor((scores.micros(F.col("ts")) - T0) / squeeze))
     rows = rows.select(F.col("event_id").cast("string").alias("id"), "us", "event_type", F.col("user_id").alias("u"), F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("value").alias("v"), (F.col("us") >= T0 + HALF // squeeze).alias("late"))
@@ -61,10 +62,10 @@ def _context(spark: SparkSession, sf_dir: str, squeeze: int = 100) -> Context:
     events = parts[0]
     for part in parts[1:]:
         events = events.unionByName(part)
-    return Context(events.where("late").drop("late"), events.where("not late").drop("late"), CONFIG)
+    return Context(events.where("late").drop("late"), events.where("not late").drop("late"), config)
 
 
-def _dns(spark: SparkSession, sf_dir: str) -> Context:
+def _dns(spark: SparkSession, sf_dir: str, config: HuntConfig = CONFIG) -> Context:
     """Lookups of the hosts of all pages."""
     host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1))
     rows = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.timestamp_micros(T0 + F.col("page_id") * 1_000_000).alias("time"), F.concat(F.lit("h"), F.col("page_id") % 3).alias("host"), host.alias("domain"), F.when(F.col("page_id") % 2 == 0, "failure").otherwise("success").alias("outcome"), F.when(F.col("page_id") % 3 == 0, "TXT").otherwise("A").alias("query_type"))
@@ -72,7 +73,7 @@ def _dns(spark: SparkSession, sf_dir: str) -> Context:
     fields = [part.split(" ") for part in EVENT_SCHEMA.split(", ")]
     empty = {"kind": F.lit("dns"), "attrs": F.create_map().cast("map<string,string>")}
     rows = rows.select(*[(F.col(c) if c in given else empty.get(c, F.lit("") if kind == "string" else F.lit(None))).cast(kind).alias(c) for c, kind in fields])
-    return Context(rows, rows.where("false"), CONFIG)
+    return Context(rows, rows.where("false"), config)
 
 
 def _shown(found: DataFrame) -> DataFrame:
@@ -406,11 +407,85 @@ _DGA = f"""
     WHERE n >= {LIMITS.dga_min_nxdomain} AND bits >= {LIMITS.dns_min_entropy - 0.4}
 """
 
+#: Lists as long as those of real feeds, so that events and findings meet them in joins; a few entries occur in the tables.
+ALLOWED_ZONES, ALLOWED_ADDRESSES, KNOWN_ZONES = ("site3.example.com", "example.net"), ("203.0.113.4", "203.0.113.5"), ("example.org",)
+FEEDS = replace(
+    CONFIG, allow_networks=("203.0.113.4/31",), ioc_ips=CONFIG.ioc_ips + tuple(f"192.88.{n // 250}.{n % 250 + 1}" for n in range(5000)),
+    allow_domains=ALLOWED_ZONES + tuple(f"allowed-{n}.invalid" for n in range(5000)), ioc_domains=KNOWN_ZONES + tuple(f"known-{n}.invalid" for n in range(5000)),
+)
+
+
+def hunt_beaconing_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beaconing with an allowed network and thousands of known addresses."""
+    return _shown(network.beaconing(_context(spark, sf_dir, config=FEEDS)))
+
+
+def hunt_dns_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tunnels and failed lookups with thousands of allowed and of known domains."""
+    ctx = _dns(spark, sf_dir, FEEDS)
+    return _shown(network.dns_tunnel(ctx).unionByName(network.dga(ctx)))
+
+
+def _known_domain(sql: str) -> str:
+    """The findings' SQL, where a known domain is an indicator too."""
+    known = ", ".join(f"'{d}'" for d in KNOWN_ZONES)
+    return sql.replace("list_has_any(ips,", f"list_has_any(list_concat(domains, list_transform(domains, lambda d: array_to_string(string_split(d, '.')[-2:], '.'))), [{known}]) OR list_has_any(ips,")
+
+
+_NOT_ALLOWED = " AND ".join(f"domain <> '{z}' AND NOT ends_with(domain, '.{z}')" for z in ALLOWED_ZONES)
+_LEFT_LOOKUPS = _LOOKUPS.removesuffix(" WHERE domain <> '')") + f" WHERE domain <> '' AND {_NOT_ALLOWED})"
+
+#: Hunts over one set of events, whose findings make leads; rules of reviewers, as (hunt, entity).
+LEAD_HUNTS = ("beaconing", "password_attacks", "impossible_travel", "lateral_fanout", "process_chains", "persistence", "rare_process", "cloud_abuse")
+REVIEWED = (("beaconing", "host:h3"), ("*", "user:u7"), ("cloud_abuse", "user:root"))
+
+
+def hunt_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of eight hunts, without the suppressed ones, linked while they overlap and rolled up to leads."""
+    ctx = _context(spark, sf_dir)
+    kept, _ = reviewed({name: HUNTS[name].plan(ctx) for name in LEAD_HUNTS}, spark.createDataFrame(REVIEWED, "hunt string, entity string"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("tactics", "hosts", "users", "ips", "domains", "finding_ids")]
+    return leads(kept, 0).select("id", "score", "severity", "title", *lists, F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "ioc_match", F.size("next_steps").alias("steps"))
+
+
+def _named_sql(column: str, kind: str, most: int | None) -> str:
+    values = f"CASE WHEN {column} = '' THEN {_NONE} ELSE string_split({column}, ',') END"
+    return f"list_transform(CASE WHEN len({values}) <= {most or 10**9} THEN {values} ELSE {_NONE} END, lambda x: '{kind}:' || x)"
+
+
+def _leads_sql() -> str:
+    """The findings of the hunts, suppressed by REVIEWED, linked in time by entity, and rolled up by reachability."""
+    of = {"beaconing": (_BEACONING,), "password_attacks": (_SPRAY, _BRUTE_FORCE), "impossible_travel": (_TRAVEL,), "lateral_fanout": (_FANOUT,), "process_chains": (_rules_sql(endpoint.EXECUTION_RULES),), "persistence": (_rules_sql(endpoint.PERSISTENCE_RULES),), "rare_process": (_RARE,), "cloud_abuse": (_CLOUD,)}
+    every = " UNION ALL ".join(f"SELECT * FROM ({_findings_sql(rows, hunt)})" for hunt, sqls in of.items() for rows in sqls)
+    kinds = (("hosts", "host"), ("users", "user"), ("ips", "ip"), ("domains", "domain"))
+    named = {most: ", ".join(_named_sql(column, kind, MOST_LINKED.get(kind) if most else None) for column, kind in kinds) for most in (True, False)}
+    gone = " OR ".join(f"({'true' if hunt == '*' else f'hunt = {chr(39)}{hunt}{chr(39)}'} AND list_contains(list_concat({named[False]}), '{entity}'))" for hunt, entity in REVIEWED)
+    union = lambda c: f"array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split({c}, ','))), lambda x: x <> ''))), ',') AS {c}"
+    order = "list_position([" + ", ".join(f"'{t}'" for t in TACTICS) + "], t)"
+    return f"""
+        WITH RECURSIVE f AS MATERIALIZED (SELECT * FROM ({every}) WHERE NOT ({gone})),
+        e AS (SELECT id, first_us, last_us, unnest(list_concat({named[True]})) AS entity FROM f),
+        l AS (SELECT id AS b, lag(id) OVER w AS a, first_us - lag(last_us) OVER w AS gap FROM e WINDOW w AS (PARTITION BY entity ORDER BY first_us, id)),
+        g AS MATERIALIZED (SELECT a, b FROM l WHERE gap <= 0 AND a <> b UNION SELECT b, a FROM l WHERE gap <= 0 AND a <> b),
+        r(id, other) AS (SELECT id, id FROM f UNION SELECT r.id, g.b FROM r JOIN g ON r.other = g.a),
+        c AS (SELECT id, min(other) AS component FROM r GROUP BY 1),
+        t AS (SELECT component, array_to_string(list(t ORDER BY {order}), ',') AS tactics, count(*) AS tactic_count FROM (SELECT DISTINCT component, tactic AS t FROM c JOIN f USING (id)) GROUP BY 1),
+        u AS (
+            SELECT component, count(*) AS n, max(score) AS best, arg_max(title, (score, id)) AS top, count(DISTINCT hunt) AS steps, min(first_us) AS first_us, max(last_us) AS last_us, bool_or(ioc_match) AS ioc_match,
+                   string_agg(id, '|' ORDER BY id) AS ids, string_agg(id, ',' ORDER BY score DESC, id) AS finding_ids, {", ".join(union(c) for c, _ in kinds)}
+            FROM c JOIN f USING (id) GROUP BY 1
+        ), s AS (SELECT *, least(100, best + least(15, 5 * (tactic_count - 1)))::INT AS score FROM u JOIN t USING (component))
+        SELECT 'L-' || upper(substr(sha256(ids), 1, 8)) AS id, score, CASE WHEN score >= 85 THEN 'critical' WHEN score >= 70 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS severity,
+               top || CASE WHEN n = 1 THEN '' ELSE ' (and ' || (n - 1) || ' related finding' || CASE WHEN n > 2 THEN 's' ELSE '' END || ')' END AS title,
+               tactics, hosts, users, ips, domains, finding_ids, first_us, last_us, ioc_match, steps::INT AS steps FROM s
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         hunt_beaconing, hunt_dns_tunnel, hunt_dga, hunt_exfiltration, hunt_spray, hunt_brute_force, hunt_impossible_travel, hunt_lateral_fanout,
-        hunt_process_rules, hunt_rare_process, hunt_cloud_abuse, coverage_blind, redact_secrets, adapt_records, adapt_feeds,
+        hunt_process_rules, hunt_rare_process, hunt_cloud_abuse, coverage_blind, redact_secrets, adapt_records, adapt_feeds, hunt_beaconing_feeds, hunt_dns_feeds, hunt_leads,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -435,4 +510,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "adapt_records": _ADAPT,
     "adapt_feeds": _ADAPT_FEEDS,
+    "hunt_beaconing_feeds": _findings_sql(_BEACONING.replace("WHERE late)", f"WHERE late AND dst_ip NOT IN {ALLOWED_ADDRESSES})"), "beaconing"),
+    "hunt_dns_feeds": " UNION ALL ".join(f"SELECT * FROM ({_known_domain(_findings_sql(sql.replace(_LOOKUPS, _LEFT_LOOKUPS), hunt))})" for sql, hunt in ((_TUNNEL, "dns_tunnel"), (_DGA, "dga"))),
+    "hunt_leads": _leads_sql(),
 }
