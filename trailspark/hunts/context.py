@@ -122,10 +122,11 @@ class Context:
 
     @cached_property
     def addresses(self) -> DataFrame:
-        """Facts of every distinct address of either side: a dimension, so that network arithmetic runs once an address."""
+        """Facts of every distinct address of either side: a dimension that is written once, so that network arithmetic runs
+        once an address and the plans of all hunts start from a table."""
         both = self.window.select("src_ip", "dst_ip").unionByName(self.history.select("src_ip", "dst_ip"))
         ips = both.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).where("ip <> ''").distinct()
-        return address_facts(ips, self.config)
+        return written(address_facts(ips, self.config), "addresses")
 
     def with_address(self, events: DataFrame, column: str) -> DataFrame:
         return events.join(self.addresses.withColumnRenamed("ip", column), column)

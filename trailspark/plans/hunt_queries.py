@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trailspark.functions import scores, text
 from trailspark.hunts import HUNTS, cloud, endpoint, identity, network
 from trailspark.hunts.context import Context
+from trailspark.operators.scratch import written
 from trailspark.plans.engine import MOST_LINKED, coverage, leads, reviewed
 from trailspark.schema import EVENT_SCHEMA, TACTICS, HuntConfig, Thresholds
 from trailspark.sources import ingest
@@ -443,6 +444,7 @@ REVIEWED = (("beaconing", "host:h3"), ("*", "user:u7"), ("cloud_abuse", "user:ro
 def hunt_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of eight hunts, without the suppressed ones, linked while they overlap and rolled up to leads."""
     ctx = _context(spark, sf_dir)
+    ctx = Context(written(ctx.window, "window"), written(ctx.history, "history"), ctx.config)
     kept, _ = reviewed({name: HUNTS[name].plan(ctx) for name in LEAD_HUNTS}, spark.createDataFrame(REVIEWED, "hunt string, entity string"))
     lists = [F.array_join(c, ",").alias(c) for c in ("tactics", "hosts", "users", "ips", "domains", "finding_ids")]
     return leads(kept, 0).select("id", "score", "severity", "title", *lists, F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "ioc_match", F.size("next_steps").alias("steps"))
