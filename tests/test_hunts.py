@@ -18,7 +18,8 @@ from tests import simulated
 from trailspark import cli, config, logs
 from trailspark.functions import text
 from trailspark.hunts import HUNTS, Hunt
-from trailspark.hunts.context import Ranges, findings, gathered
+from trailspark.hunts import baseline as days
+from trailspark.hunts.context import address_facts, findings, gathered
 from trailspark.plans import detections, report
 from trailspark.plans.engine import coverage, hunt
 from trailspark.schema import Suppression, Thresholds
@@ -113,16 +114,62 @@ def test_own_hunts(week):
     assert {r["hunt"] for r in coverage({"dns": 1}, hunts=own)["rows"]} == set(own)
 
 
-def test_address_ranges_match_a_linear_walk():
+def _country(ip, nets):
+    return max(((n.prefixlen, -i, c) for i, (n, c) in enumerate(nets) if ip.version == n.version and ip in n), default=(0, 0, ""))[2]
+
+
+def test_addresses_meet_networks_by_their_prefixes(spark):
     rng = random.Random(4)
-    nets = [(ipaddress.ip_network((rng.getrandbits(32), rng.randrange(0, 33)), strict=False), f"c{i}") for i in range(300)] + [(ipaddress.ip_network("0.0.0.0/0"), "all")]
+    nets = [(ipaddress.ip_network((rng.getrandbits(32), rng.randrange(0, 33)), strict=False), f"c{i}") for i in range(150)] + [(ipaddress.ip_network("0.0.0.0/0"), "all")]
+    nets += [(ipaddress.ip_network((rng.getrandbits(128), rng.randrange(0, 129)), strict=False), f"w{i}") for i in range(150)]
     nets += [(n, "again") for n, _ in nets[:50]]
-    table = Ranges(nets, "")
-    for _ in range(3000):
-        net = rng.choice(nets)[0]
-        ip = ipaddress.ip_address(min(max(int(net[0]) + rng.randrange(-2, 3), 0), 2**32 - 1))
-        best = max(((n.prefixlen, -i, c) for i, (n, c) in enumerate(nets) if ip in n), default=(0, 0, ""))
-        assert table.of(int(ip)) == best[2]
+    texts = {"", "junk", "1.2.3", "01.2.3.4", "256.1.1.1", "1.2.3.4\n", " 1.2.3.4", "1.2.3.4/8", "::", "::1", "1::", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7::8", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", ":1:2:3:4:5:6:7", "1:::2", "1::2::3"}
+    texts |= {"::ffff:1.2.3.4", "64:ff9b::203.0.113.9", "::1.2.3", "1.2.3.4::", "fe80::1%eth0", "fe80::1%", "fe80::1%a%b", "fe80::1%a/b", "FE80::ABCD", "12345::", "g::", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "10.1.2.3%x", "::\u0661", "\u0661.1.1.1"}
+    for net, _ in nets:
+        for step in (-1, 0, 1):
+            n = min(max(int(net[0]) + step, 0), (1 << net.max_prefixlen) - 1)
+            ip = ipaddress.ip_address(n) if net.version == 4 else ipaddress.IPv6Address(n)
+            texts |= {str(ip), ip.exploded}
+    asked = spark.createDataFrame([(t,) for t in sorted(texts)] + [(None,)], "ip string")
+    settings = simulated.example_config(geo=tuple((str(n), c) for n, c in nets), allow_networks=("192.0.0.0/3", "8000::/2"))
+    found = address_facts(asked, settings)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.ip: (r.internal, r.allowed, r.country) for r in found.collect()}
+    assert len(got) == len(texts) + 1 and got.pop(None) == (False, False, "")
+    inside = [ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "::1/128", "fc00::/7", "fe80::/10")]
+    for t, facts in got.items():
+        try:
+            ip = ipaddress.ip_address(t)
+        except ValueError:
+            assert facts == (False, False, ""), t
+            continue
+        allowed = any(ip.version == n.version and ip in n for n in map(ipaddress.ip_network, settings.allow_networks))
+        assert facts == (any(ip.version == n.version and ip in n for n in inside), allowed, _country(ip, nets)), t
+
+
+def test_stored_days_tell_hunts_the_same_as_events(spark, week, tmp_path):
+    store, settings = days.Baseline(spark, str(tmp_path / "b"), 2), simulated.example_config()
+    noon = DAY + timedelta(hours=9, minutes=30)
+    # Three batches that share days, one of them retried; the window's own day is stored too.
+    for n in (0, 1, 2, 1):
+        store.add(week.where(F.pmod(F.xxhash64("id"), F.lit(3)) == n), f"b{n}")
+    shown = lambda rows: sorted(map(tuple, rows.collect()))
+    for start, since in ((noon, DAY - timedelta(days=3, hours=5)), (DAY, DAY - timedelta(days=2)), (DAY, None), (noon, noon - timedelta(hours=2)), (noon, DAY)):
+        span = week.where(F.col("time") < F.lit(start)).where(F.lit(True) if since is None else F.col("time") >= F.lit(since))
+        want, got = days.summaries(span), store.before(start, since, week)
+        for name, keys in days.KEYS.items():
+            assert shown(days.merged(got[name], name).select("day", *keys, "n", "volume")) == shown(want[name].select("day", *keys, "n", "volume")), (name, start, since)
+    plan = store.before(DAY, DAY - timedelta(days=2), week)["flows"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    # Events before the window are not read but for cut days.
+    late = week.where(F.col("time") >= F.lit(DAY))
+    stored, plain = hunt(late, settings, DAY, DAY + timedelta(days=1), baseline=store), hunt(week, settings, DAY, DAY + timedelta(days=1))
+    columns = [c for c in plain.findings.columns if c not in ("details", "benign_causes")]
+    assert shown(stored.findings.select(columns)) == shown(plain.findings.select(columns))
+    assert (stored.baseline_days, stored.baseline_events, stored.counts) == (plain.baseline_days, plain.baseline_events, plain.counts)
+    empty = days.Baseline(spark, str(tmp_path / "none"))
+    empty.add(week.where("false"), "b")
+    assert all(t.count() == 0 for t in empty.before(DAY, None, week.where("false")).values())
 
 
 def test_log_lines(capsys):
@@ -258,6 +305,8 @@ def test_command_line(spark, week, tmp_path, capsys):
     common = ["hunt", "-i", f"generic={tmp_path}/in", "--hunt-start", "2026-09-18T00:00:00Z", "--only", "beaconing"]
     assert cli.main([*common, "--out", str(tmp_path / "out"), "--fail-on-lead", "medium"], spark) == 1
     assert "beaconing" in (tmp_path / "out/findings.csv").read_text()
+    assert cli.main(["baseline", "-i", f"generic={tmp_path}/in", "--into", str(tmp_path / "days"), "--batch", "one"], spark) == 0
+    assert cli.main([*common, "--baseline", str(tmp_path / "days"), "--fail-on-lead", "medium"], spark) == 1
     assert cli.main(["hunt", "-i", f"nothing={tmp_path}/in"], spark) == 2
     assert cli.main(["hunt", "-i", f"generic={tmp_path}/absent"], spark) == 2
     assert "error:" in capsys.readouterr().err

@@ -1,4 +1,4 @@
-"""Command line: hunts, hunt, coverage, query. Exit codes: 0, 1 for a lead beyond --fail-on-lead, 2 for errors."""
+"""Command line: hunts, hunt, baseline, coverage, query. Exit codes: 0, 1 for a lead beyond --fail-on-lead, 2 for errors."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from trailspark import logs
 from trailspark.functions.scores import SEVERITIES
 from trailspark.functions.text import redacted
 from trailspark.hunts import HUNTS
+from trailspark.hunts.baseline import Baseline
 from trailspark.plans import detections, report
 from trailspark.plans.engine import coverage
 from trailspark.schema import KINDS
@@ -43,12 +44,17 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--window", default="24h")
     run.add_argument("--hunt-start", help="default: the window ends just after the newest event")
     run.add_argument("--baseline-days", type=int)
+    run.add_argument("--baseline", metavar="DIR", help="read the days before from these stored tables")
     run.add_argument("--only", action="append", metavar="HUNT")
     run.add_argument("--out", help="folder for the report, findings, searches and rules")
     run.add_argument("--format", default="md,json")
     run.add_argument("--tables", help="folder for the whole result, written by Spark")
     run.add_argument("--no-rules", action="store_true", help="no searches beside the report")
     run.add_argument("--fail-on-lead", choices=SEVERITIES)
+    store = commands.add_parser("baseline", help="summarise telemetry into stored tables of days")
+    store.add_argument("--input", "-i", type=_input, action="append", required=True, metavar="FORMAT=PATH")
+    store.add_argument("--into", required=True, metavar="DIR")
+    store.add_argument("--batch", required=True, help="name of these inputs; adding it again replaces it")
     cover = commands.add_parser("coverage", help="which hunts have their data")
     cover.add_argument("--input", "-i", type=_input, action="append", metavar="FORMAT=PATH")
     cover.add_argument("--kinds", default="", help=f"comma list instead of files: {','.join(KINDS)}")
@@ -68,7 +74,7 @@ def _load(service: HuntService, inputs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def _hunt(args: argparse.Namespace, service: HuntService) -> int:
     start = configuration.moment(args.hunt_start) if args.hunt_start else None
-    result = service.hunt(_load(service, args.input), configuration.duration(args.window), start, args.baseline_days, args.only)
+    result = service.hunt(_load(service, args.input), configuration.duration(args.window), start, args.baseline_days, args.only, baseline=Baseline(service.spark, args.baseline) if args.baseline else None)
     if args.tables:
         report.tables(result, args.tables)
     found = report.collect(result)
@@ -101,6 +107,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             kinds = {k.strip(): 1 for k in args.kinds.split(",") if k.strip()}
             print(report.coverage_text(kinds, coverage(kinds)))
             return 0
+        if args.command == "baseline":
+            service = build_service(spark, settings)
+            Baseline(service.spark, args.into).add(_load(service, args.input), args.batch)
+            return 0
         if args.command == "coverage":
             service = build_service(spark, settings)
             kinds, found = service.coverage(_load(service, args.input))

@@ -36,7 +36,7 @@ def _no_geo(ctx: Context) -> str:
 
 
 def _no_process_history(ctx: Context) -> str:
-    return "no baseline process events" if ctx.history.where("kind = 'process'").isEmpty() else ""
+    return "no baseline process events" if ctx.baseline["programs"].isEmpty() else ""
 
 
 HUNTS = {

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import ipaddress
-from bisect import bisect_right
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property, reduce, wraps
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailspark.functions import scores, text
-from trailspark.operators.scratch import small, written
+from trailspark.functions import addresses, scores, text
+from trailspark.hunts.baseline import summaries
+from trailspark.operators.scratch import BROADCAST_ROWS, small, written
 from trailspark.schema import HuntConfig
 
 MAX_EVIDENCE = 50
@@ -25,60 +24,35 @@ INTERNAL = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169
 FINDING_COLUMNS = ("id", "hunt", "title", "score", "severity", "tactic", "techniques", "hosts", "users", "ips", "domains", "first_seen", "last_seen", "event_ids", "details", "explanation", "ioc_match")
 
 
-class Ranges:
-    """Networks of one IP version as disjoint ranges, so that a lookup is a binary search.
-
-    Networks are nested or apart; where they nest, the smaller one counts, and of equal ones the first."""
-
-    def __init__(self, networks: list[tuple], nothing):
-        first: dict = {}
-        for network, value in networks:
-            first.setdefault((int(network.network_address), -int(network.broadcast_address)), value)
-        self.starts, self.values = [-1], [nothing]
-        open_: list[tuple[int, object]] = []
-
-        def close(before: float) -> None:
-            while open_ and open_[-1][0] < before:
-                end = open_.pop()[0]
-                self.starts.append(end + 1)
-                self.values.append(open_[-1][1] if open_ else nothing)
-
-        for (start, minus_end), value in sorted(first.items(), key=lambda item: item[0]):
-            close(start)
-            self.starts.append(start)
-            self.values.append(value)
-            open_.append((-minus_end, value))
-        close(float("inf"))
-
-    def of(self, address: int):
-        return self.values[bisect_right(self.starts, address) - 1]
-
-
-def _by_version(networks: list[tuple], nothing) -> dict[int, Ranges]:
-    return {version: Ranges([(n, v) for n, v in networks if n.version == version], nothing) for version in (4, 6)}
+def _networks(config: HuntConfig) -> list[tuple]:
+    """(key, what, bits, place, country) of every network; networks are told apart by their key."""
+    rows: dict = {}
+    listed = [("internal", n, "") for n in INTERNAL] + [("allowed", n, "") for n in config.allow_networks] + [("country", n, c) for n, c in config.geo]
+    for place, (what, name, country) in enumerate(listed):
+        network = ipaddress.ip_network(name, strict=False)
+        key = addresses.network_key(network)
+        rows.setdefault((key, what), (key, what, network.prefixlen, -place, country, network.version))
+    return list(rows.values())
 
 
 def address_facts(ips: DataFrame, config: HuntConfig) -> DataFrame:
     """(ip, internal, allowed, country) for distinct addresses. The country is the longest matching network's, the first
-    of equally long ones; an invalid address is external, not allowed, and of no country."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = lambda text: ipaddress.ip_network(text, strict=False)
-        inside = _by_version([(net(n), True) for n in INTERNAL], False)
-        allowed = _by_version([(net(n), True) for n in config.allow_networks], False)
-        places = _by_version([(net(n), c) for n, c in config.geo], "")
-
-        def facts(value: str) -> tuple:
-            try:
-                ip = ipaddress.ip_address(value)
-            except ValueError:
-                return value, False, False, ""
-            return value, *(table[ip.version].of(int(ip)) for table in (inside, allowed, places))
-
-        for batch in batches:
-            yield pd.DataFrame([facts(v) for v in batch["ip"]], columns=["ip", "internal", "allowed", "country"])
-
-    return ips.mapInPandas(run, "ip string, internal boolean, allowed boolean, country string")
+    of equally long ones; an invalid address is external, not allowed, and of no country.
+
+    A network is an equality of prefixes, so an address meets the networks in a hash join, with a key for each length in use."""
+    networks = _networks(config)
+    lengths = {version: sorted({r[2] for r in networks if r[5] == version}) for version in (4, 6)}
+    known = ips.sparkSession.createDataFrame([r[:5] for r in networks], "key string, what string, bits int, place int, value string")
+    if len(networks) > IN_PLAN:
+        known = written(known, "networks")
+    if len(networks) <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    asked = ips.select("ip", addresses.digits(F.col("ip")).alias("digits"))
+    keys = {version: F.array(*[addresses.prefix_key(F.col("digits"), version, bits) for bits in lengths[version]]).cast("array<string>") for version in (4, 6)}
+    asked = asked.select("ip", F.explode_outer(F.when(F.length("digits") == 8, keys[4]).when(F.length("digits") == 32, keys[6])).alias("key"))
+    has = lambda what: F.max(F.coalesce(F.col("what") == what, F.lit(False))).alias(what)
+    place = F.max(F.when(F.col("what") == "country", F.struct("bits", "place", "value")))["value"]
+    return asked.join(known, "key", "left").groupBy("ip").agg(has("internal"), has("allowed"), F.coalesce(place, F.lit("")).alias("country"))
 
 
 #: Values of a configuration that stay in the plan; longer lists become a table, so that plans don't grow with them.
@@ -110,35 +84,42 @@ def flagged(rows: DataFrame, key: str, values: Column, listed: Sequence[str], na
 
 @dataclass
 class Context:
-    """Window and baseline events of the canonical schema."""
+    """Window events of the canonical schema, and what is known of the time before: its events, or the tables of
+    hunts/baseline.py where they are stored."""
 
     window: DataFrame
     history: DataFrame
     config: HuntConfig
+    stored: dict[str, DataFrame] | None = None
     known: dict = field(default_factory=dict)
 
     def kind(self, kind: str) -> DataFrame:
         return self.window.where(F.col("kind") == kind)
 
+    @cached_property
+    def baseline(self) -> dict[str, DataFrame]:
+        """The tables of hunts/baseline.py over the time before the window."""
+        return summaries(self.history) if self.stored is None else self.stored
+
     @cached_property
     def addresses(self) -> DataFrame:
         """Facts of every distinct address of either side: a dimension that is written once, so that network arithmetic runs
         once an address and the plans of all hunts start from a table."""
-        both = self.window.select("src_ip", "dst_ip").unionByName(self.history.select("src_ip", "dst_ip"))
-        ips = both.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).where("ip <> ''").distinct()
-        return written(address_facts(ips, self.config), "addresses")
+        sides = F.explode(F.array("src_ip", "dst_ip")).alias("ip")
+        ips = self.window.select(sides).unionByName(self.baseline["flows"].select(F.col("dst_ip").alias("ip"))).unionByName(self.baseline["origins"].select(F.col("src_ip").alias("ip")))
+        return written(address_facts(ips.where("ip <> ''").distinct(), self.config), "addresses")
 
     def with_address(self, events: DataFrame, column: str) -> DataFrame:
         return events.join(self.addresses.withColumnRenamed("ip", column), column)
 
-    def outbound(self, events: DataFrame, allowlist: bool = True) -> DataFrame:
-        """Flows to external addresses, without allowed ones unless told otherwise."""
-        flows = self.with_address(events.where("kind = 'flow' and dst_ip <> ''"), "dst_ip").where("not internal")
-        return flows.where("not allowed") if allowlist else flows
+    def outbound(self, events: DataFrame) -> DataFrame:
+        """Flows to external addresses that are not allowed."""
+        return self.with_address(events.where("kind = 'flow' and dst_ip <> ''"), "dst_ip").where("not internal and not allowed")
 
     @cached_property
-    def known_destinations(self) -> DataFrame:
-        return self.outbound(self.history, allowlist=False).select("host", "dst_ip").distinct()
+    def known_flows(self) -> DataFrame:
+        """The baseline's flows to external addresses, allowed or not."""
+        return self.with_address(self.baseline["flows"], "dst_ip").where("not internal")
 
     def without_allowed(self, events: DataFrame) -> DataFrame:
         """The events whose domain is neither an allowed one nor below one."""

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.functions import scores, text
 from trailspark.hunts import HUNTS, cloud, endpoint, identity, network
-from trailspark.hunts.context import Context
-from trailspark.operators.scratch import written
+from trailspark.hunts.baseline import KEYS, Baseline, merged
+from trailspark.hunts.context import INTERNAL, Context, address_facts
+from trailspark.operators.scratch import scratch_path, written
 from trailspark.plans.engine import MOST_LINKED, coverage, leads, reviewed
 from trailspark.schema import EVENT_SCHEMA, TACTICS, HuntConfig, Thresholds
 from trailspark.sources import ingest
@@ -483,11 +486,88 @@ def _leads_sql() -> str:
     """
 
 
+def _stored(spark: SparkSession, ctx: Context) -> tuple[Baseline, DataFrame]:
+    """Day tables of all events, added in two batches that share every day; and the events."""
+    events = written(ctx.history.unionByName(ctx.window), "events")
+    store = Baseline(spark, scratch_path(spark, "baseline"))
+    for odd in (0, 1):
+        store.add(events.where(F.col("id").cast("bigint") % 2 == odd), f"batch-{odd}")
+    return store, events
+
+
+def baseline_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline's tables of days, merged from two batches."""
+    store, _ = _stored(spark, _context(spark, sf_dir, 1))
+    out = None
+    for name, keys in KEYS.items():
+        first, second = F.col(keys[0]), F.col(keys[1]) if len(keys) > 1 else F.lit("")
+        part = merged(store.table(name), name).select(F.lit(name).alias("summary"), F.col("day").cast("string").alias("day"), first.alias("key"), second.alias("other"), "n", "volume")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _day_sql(name: str, rows: str, key: str, other: str, volume: str = "0") -> str:
+    return f"""SELECT '{name}' AS summary, make_timestamp(us)::DATE::VARCHAR AS day, {key} AS "key", {other} AS other, count(*) AS n, sum({volume})::BIGINT AS volume FROM {rows} GROUP BY ALL"""
+
+
+_DAYS = " UNION ALL ".join((
+    _day_sql("kinds", "(" + " UNION ALL ".join(f"SELECT us, '{_KIND.get(name, name)}' AS kind, {'bytes_out' if name == 'flow' else '0'} AS volume FROM {_events_sql(name, 1)}" for name in _PROJECTIONS) + ")", "kind", "''", "volume"),
+    _day_sql("flows", _events_sql("flow", 1), "host", "dst_ip", "bytes_out"),
+    _day_sql("origins", _events_sql("sign_in", 1), '"user"', "src_ip"),
+    _day_sql("reached", _events_sql("sign_in", 1), '"user"', "host"),
+    _day_sql("programs", _events_sql("process", 1), _IMAGE, "''"),
+    _day_sql("callers", _events_sql("cloud", 1), '"user"', "src_ip"),
+))
+
+
+def hunt_exfiltration_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exfiltration against stored days, without the events of history."""
+    ctx = _context(spark, sf_dir, 1)
+    store, events = _stored(spark, ctx)
+    start = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=T0 + HALF)
+    return _shown(network.exfiltration(Context(ctx.window, events.where("false"), ctx.config, store.before(start, None, events))))
+
+
+#: Addresses of both versions as SQL that Spark and DuckDB both read (`e` event, `u` user); digits of the wide ones are decimal.
+_ADDRESSES = ("concat(u % 250, '.', e % 256, '.', e % 7, '.', u % 9)", "concat('2001:db8:', u % 10, ':', e % 100, '::', e % 7)")
+NETWORKS = HuntConfig(
+    LIMITS, allow_networks=("200.0.0.0/7", "2001:db8:5::/48"),
+    geo=(("0.0.0.0/1", "AA"), ("64.0.0.0/10", "BB"), ("100.16.0.0/13", "CC"), ("100.16.4.0/22", "DD"), ("100.16.0.0/13", "no"), ("2001:db8::/32", "EE"), ("2001:db8:3::/48", "FF"), ("2001:db8:4:40::/60", "GG")),
+)
+
+
+def network_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether distinct addresses of both versions are internal or allowed, and the country of their longest network."""
+    rows = _read(spark, sf_dir, "events").select(F.col("event_id").alias("e"), F.col("user_id").alias("u"))
+    return address_facts(rows.select(F.explode(F.array(*map(F.expr, _ADDRESSES))).alias("ip")).distinct(), NETWORKS)
+
+
+def _lookup_sql() -> str:
+    """By ranges of numbers: of wide addresses the upper half, since no network of the list is longer but ::1."""
+    rows = []
+    for what, nets in (("internal", [(n, "") for n in INTERNAL]), ("allowed", [(n, "") for n in NETWORKS.allow_networks]), ("country", NETWORKS.geo)):
+        for place, (name, value) in enumerate(nets):
+            net = ipaddress.ip_network(name)
+            if net.prefixlen <= 64:
+                down = 64 if net.version == 6 else 0
+                rows.append(f"('{what}', {net.version}, {int(net[0]) >> down}::UBIGINT, {int(net[-1]) >> down}::UBIGINT, {net.prefixlen * 1000 - place}, '{value}')")
+    top = 0x20010DB8 << 32
+    return f"""
+        WITH n(what, version, low, high, rank, value) AS (VALUES {", ".join(rows)}), a AS (
+            SELECT {_ADDRESSES[0]} AS ip, 4 AS version, ((u % 250) * 16777216 + (e % 256) * 65536 + (e % 7) * 256 + u % 9)::UBIGINT AS number FROM (SELECT event_id AS e, user_id AS u FROM events)
+            UNION SELECT {_ADDRESSES[1]}, 6, ({top} + (u % 10) * 65536 + (e % 100) // 10 * 16 + e % 10)::UBIGINT FROM (SELECT event_id AS e, user_id AS u FROM events)
+        )
+        SELECT ip, coalesce(bool_or(what = 'internal'), false) AS internal, coalesce(bool_or(what = 'allowed'), false) AS allowed, coalesce(arg_max(value, rank) FILTER (what = 'country'), '') AS country
+        FROM a LEFT JOIN n ON a.version = n.version AND number BETWEEN low AND high GROUP BY ip
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         hunt_beaconing, hunt_dns_tunnel, hunt_dga, hunt_exfiltration, hunt_spray, hunt_brute_force, hunt_impossible_travel, hunt_lateral_fanout,
         hunt_process_rules, hunt_rare_process, hunt_cloud_abuse, coverage_blind, redact_secrets, adapt_records, adapt_feeds, hunt_beaconing_feeds, hunt_dns_feeds, hunt_leads,
+        baseline_days, hunt_exfiltration_stored, network_lookup,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -515,4 +595,7 @@ ORACLE_SQL: dict[str, str] = {
     "hunt_beaconing_feeds": _findings_sql(_BEACONING.replace("WHERE late)", f"WHERE late AND dst_ip NOT IN {ALLOWED_ADDRESSES})"), "beaconing"),
     "hunt_dns_feeds": " UNION ALL ".join(f"SELECT * FROM ({_known_domain(_findings_sql(sql.replace(_LOOKUPS, _LEFT_LOOKUPS), hunt))})" for sql, hunt in ((_TUNNEL, "dns_tunnel"), (_DGA, "dga"))),
     "hunt_leads": _leads_sql(),
+    "baseline_days": _DAYS,
+    "hunt_exfiltration_stored": _EXFILTRATION_WITH + ", " + _findings_sql(_EXFILTRATION, "exfiltration").strip().removeprefix("WITH "),
+    "network_lookup": _lookup_sql(),
 }

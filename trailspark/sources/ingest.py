@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.errors import IngestError
 from trailspark.operators.relations import first_by
-from trailspark.operators.scratch import written
+from trailspark.operators.scratch import removed, written
 from trailspark.schema import EVENT_SCHEMA
 from trailspark.sources.adapters import ADAPTERS, FIELDS, events
 
@@ -34,22 +34,24 @@ def adapted(rows: DataFrame, source: str, most_bytes: int = MOST_BYTES) -> DataF
 def load(spark: SparkSession, inputs: Sequence[tuple[str, str]], most_bytes: int = MOST_BYTES, most_lines: int = MOST_LINES) -> tuple[DataFrame, list[dict]]:
     """Events of (format, path) inputs, one an id, the first input's first line; and a report for each input.
 
-    A file of more than most_lines lines is refused before anything of it is adapted. Adapted lines are a table in the
-    shared scratch folder, so that reports and hunts don't parse them again.
+    The input is read once: adapted lines are a table in the shared scratch folder, counted while it is written, so that
+    reports and hunts don't parse them again. An input with a file of more than most_lines lines is refused.
     """
     for source, _ in inputs:
         if source not in ADAPTERS:
             raise IngestError(f"unknown source format {source!r}; choose from {', '.join(sorted(ADAPTERS))}")
     parts, reports = [], []
     for number, (source, path) in enumerate(inputs):
-        raw = lines(spark, path)
-        longest = raw.groupBy("file").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        seen = Observation("lines")
+        counts = F.count("*").alias("lines"), F.count_if(F.col("reason") != "").alias("rejected")
+        rows = written(adapted(lines(spark, path), source, most_bytes).observe(seen, *counts), "events")
+        longest = rows.groupBy("file").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0 if seen.get["lines"] > most_lines else 0
         if longest > most_lines:
+            removed(rows)
             raise IngestError(f"a file exceeds the limit of {most_lines} records")
-        rows = written(adapted(raw, source, most_bytes), "events")
-        total, rejected, accepted = rows.agg(F.count("*"), F.count_if(F.col("reason") != ""), F.count_distinct(F.when(F.col("reason") == "", F.col("id")))).first()
-        errors = rows.where("reason <> ''").orderBy("file", "place").limit(SHOWN_ERRORS).select("reason").collect()
-        reports.append({"source": source, "lines": total, "accepted": accepted, "rejected": rejected, "errors": [r.reason for r in errors]})
+        accepted = rows.where("reason = ''").select("id").distinct().count()
+        errors = rows.where("reason <> ''").orderBy("file", "place").limit(SHOWN_ERRORS).select("reason").collect() if seen.get["rejected"] else []
+        reports.append({"source": source, **seen.get, "accepted": accepted, "errors": [r.reason for r in errors]})
         parts.append(rows.where("reason = ''").withColumn("input", F.lit(number)))
     if not parts:
         return spark.createDataFrame([], EVENT_SCHEMA), reports
