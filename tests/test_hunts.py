@@ -21,8 +21,9 @@ from trailspark import cli, config, logs
 from trailspark.functions import text
 from trailspark.hunts import HUNTS, Hunt
 from trailspark.hunts import baseline as days
-from trailspark.hunts.context import address_facts, findings, gathered
-from trailspark.plans import detections, report
+from trailspark.hunts.context import Context, address_facts, findings, gathered
+from trailspark.operators.scratch import written
+from trailspark.plans import detections, report, spark_sql
 from trailspark.plans.engine import coverage, hunt
 from trailspark.schema import Suppression, Thresholds
 from trailspark.sources import ingest
@@ -98,6 +99,8 @@ def test_whole_result_as_tables_views_and_functions(spark, week, tmp_path):
     assert spark.read.json(str(tmp_path / "t/findings")).count() == 2 and spark.read.option("header", True).csv(str(tmp_path / "t/findings_csv")).columns == list(report.CSV_COLUMNS)
     result.register()
     assert spark.sql("SELECT count(*) FROM hunt_findings WHERE score >= 50").first()[0] == 2
+    again = spark.sql(detections.render("dga", "sql", Thresholds()))
+    assert [r.id for r in again.collect()] == [r.id for r in spark.sql("SELECT id FROM hunt_findings WHERE hunt = 'dga'").collect()]
     texts = spark.createDataFrame([("a.b.co.uk", "x --password hunter22 sk-ant-abcdefghijklmnopqrst"), ("", ""), ("Www.Example.COM.", "it's 'quoted' token: 'abcdef'"), (None, None)], "name string, line string")
     texts.createOrReplaceTempView("texts")
     got = spark.sql("SELECT text_entropy(name), registered_domain(name), redact_secrets(line) FROM texts").collect()
@@ -105,6 +108,20 @@ def test_whole_result_as_tables_views_and_functions(spark, week, tmp_path):
     assert [(round(r[0] or 0, 9), r[1], r[2]) for r in got] == [(round(r[0] or 0, 9), r[1], r[2]) for r in want]
 
 
+def test_spark_sql_reads_lists_and_digests(spark, week):
+    settings = simulated.example_config(noisy_users=("user02",), trusted_processes=("svch0st.exe",), scanner_ips=("198.51.100.7",), allow_domains=("tunnel-zone.net",), ioc_hashes=("ab" * 32,))
+    digest = F.create_map(F.lit("sha256"), F.lit("SHA256=" + "AB" * 32))
+    marked = written(week.withColumn("attrs", F.when(F.col("kind") == "process", digest).otherwise(F.col("attrs"))), "week")
+    ctx = Context(marked.where(F.col("time") >= F.lit(DAY)), marked.where(F.col("time") < F.lit(DAY)), settings)
+    spark_sql.register(ctx)
+    found = {}
+    for name in ("dns_tunnel", "password_attacks", "process_chains", "rare_process", "cloud_abuse"):
+        found[name] = spark.sql(detections.render(name, "sql", settings.thresholds)).select(*spark_sql.COLUMNS).orderBy("id").collect()
+        assert found[name] == HUNTS[name].plan(ctx).select(*spark_sql.COLUMNS).orderBy("id").collect(), name
+    assert {name: len(rows) for name, rows in found.items() if name != "rare_process"} == {"dns_tunnel": 0, "password_attacks": 0, "process_chains": 2, "cloud_abuse": 1}
+    assert all(r.ioc_match for r in found["process_chains"])
+
+
 def test_own_hunts(week):
     def plan(ctx):
         rows = gathered(ctx.kind("dns"), ["host"], ctx, F.count("*").alias("n"))
@@ -196,7 +213,7 @@ def test_summaries_bring_no_new_numbers(found):
 @pytest.mark.parametrize("name", HUNTS)
 def test_every_hunt_has_searches(name):
     t = Thresholds()
-    assert detections.render(name, "spl", t) and detections.render(name, "kql", t)
+    assert detections.render(name, "spl", t) and detections.render(name, "kql", t) and detections.render(name, "sql", t)
     if name in detections.SIGMA:
         assert all(r["detection"]["condition"] == "selection" for r in yaml.safe_load_all(detections.render(name, "sigma", t)))
     else:

@@ -58,7 +58,7 @@ def _parser() -> argparse.ArgumentParser:
     cover = commands.add_parser("coverage", help="which hunts have their data")
     cover.add_argument("--input", "-i", type=_input, action="append", metavar="FORMAT=PATH")
     cover.add_argument("--kinds", default="", help=f"comma list instead of files: {','.join(KINDS)}")
-    query = commands.add_parser("query", help="a hunt as SPL, KQL or Sigma rules")
+    query = commands.add_parser("query", help="a hunt as SPL, KQL, Sigma rules or Spark SQL")
     query.add_argument("hunt")
     query.add_argument("--lang", choices=detections.LANGUAGES, default="spl")
     query.add_argument("--thresholds")

@@ -6,6 +6,7 @@ import ipaddress
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from trailspark.hunts import HUNTS, cloud, endpoint, identity, network
 from trailspark.hunts.baseline import KEYS, Baseline, merged
 from trailspark.hunts.context import INTERNAL, Context, address_facts
 from trailspark.operators.scratch import scratch_path, written
+from trailspark.plans import spark_sql
 from trailspark.plans.engine import MOST_LINKED, coverage, leads, reviewed
 from trailspark.schema import EVENT_SCHEMA, TACTICS, HuntConfig, Thresholds
 from trailspark.sources import ingest
@@ -82,7 +84,8 @@ def _dns(spark: SparkSession, sf_dir: str, config: HuntConfig = CONFIG) -> Conte
 
 def _shown(found: DataFrame) -> DataFrame:
     lists = [F.array_join(c, ",").alias(c) for c in ("hosts", "users", "ips", "domains")]
-    return found.select("id", "hunt", "title", "score", "severity", "tactic", *lists, F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), F.size("event_ids").alias("cited"), "ioc_match")
+    cited = [F.size("event_ids").alias("cited")] if "event_ids" in found.columns else []
+    return found.select("id", "hunt", "title", "score", "severity", "tactic", *lists, F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), *cited, "ioc_match")
 
 
 def _events_sql(name: str, squeeze: int = 100) -> str:
@@ -458,17 +461,21 @@ def _named_sql(column: str, kind: str, most: int | None) -> str:
     return f"list_transform(CASE WHEN len({values}) <= {most or 10**9} THEN {values} ELSE {_NONE} END, lambda x: '{kind}:' || x)"
 
 
+def _every_sql() -> str:
+    """The findings of the hunts that read the squeezed events."""
+    of = {"beaconing": (_BEACONING,), "password_attacks": (_SPRAY, _BRUTE_FORCE), "impossible_travel": (_TRAVEL,), "lateral_fanout": (_FANOUT,), "process_chains": (_rules_sql(endpoint.EXECUTION_RULES),), "persistence": (_rules_sql(endpoint.PERSISTENCE_RULES),), "rare_process": (_RARE,), "cloud_abuse": (_CLOUD,)}
+    return " UNION ALL ".join(f"SELECT * FROM ({_findings_sql(rows, hunt)})" for hunt, sqls in of.items() for rows in sqls)
+
+
 def _leads_sql() -> str:
     """The findings of the hunts, suppressed by REVIEWED, linked in time by entity, and rolled up by reachability."""
-    of = {"beaconing": (_BEACONING,), "password_attacks": (_SPRAY, _BRUTE_FORCE), "impossible_travel": (_TRAVEL,), "lateral_fanout": (_FANOUT,), "process_chains": (_rules_sql(endpoint.EXECUTION_RULES),), "persistence": (_rules_sql(endpoint.PERSISTENCE_RULES),), "rare_process": (_RARE,), "cloud_abuse": (_CLOUD,)}
-    every = " UNION ALL ".join(f"SELECT * FROM ({_findings_sql(rows, hunt)})" for hunt, sqls in of.items() for rows in sqls)
     kinds = (("hosts", "host"), ("users", "user"), ("ips", "ip"), ("domains", "domain"))
     named = {most: ", ".join(_named_sql(column, kind, MOST_LINKED.get(kind) if most else None) for column, kind in kinds) for most in (True, False)}
     gone = " OR ".join(f"({'true' if hunt == '*' else f'hunt = {chr(39)}{hunt}{chr(39)}'} AND list_contains(list_concat({named[False]}), '{entity}'))" for hunt, entity in REVIEWED)
     union = lambda c: f"array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split({c}, ','))), lambda x: x <> ''))), ',') AS {c}"
     order = "list_position([" + ", ".join(f"'{t}'" for t in TACTICS) + "], t)"
     return f"""
-        WITH RECURSIVE f AS MATERIALIZED (SELECT * FROM ({every}) WHERE NOT ({gone})),
+        WITH RECURSIVE f AS MATERIALIZED (SELECT * FROM ({_every_sql()}) WHERE NOT ({gone})),
         e AS (SELECT id, first_us, last_us, unnest(list_concat({named[True]})) AS entity FROM f),
         l AS (SELECT id AS b, lag(id) OVER w AS a, first_us - lag(last_us) OVER w AS gap FROM e WINDOW w AS (PARTITION BY entity ORDER BY first_us, id)),
         g AS MATERIALIZED (SELECT a, b FROM l WHERE gap <= 0 AND a <> b UNION SELECT b, a FROM l WHERE gap <= 0 AND a <> b),
@@ -486,6 +493,33 @@ def _leads_sql() -> str:
     """
 
 
+#: The hunts that read the squeezed events.
+SQL_HUNTS = tuple(h for h in HUNTS if h not in ("exfiltration", "dns_tunnel", "dga"))
+
+
+def sql_hunts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Spark SQL of eight hunts, over events that are written once."""
+    ctx = _context(spark, sf_dir)
+    ctx = Context(written(ctx.window, "window"), written(ctx.history, "history"), ctx.config)
+    return _shown(reduce(DataFrame.unionByName, [written(spark_sql.run(ctx, name), f"sql-{name}") for name in SQL_HUNTS]))
+
+
+def sql_exfiltration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Spark SQL of exfiltration."""
+    return _shown(spark_sql.run(_context(spark, sf_dir, 1), "exfiltration"))
+
+
+def sql_dns_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Spark SQL of the hunts over lookups, with thousands of allowed and of known domains."""
+    ctx = _dns(spark, sf_dir, FEEDS)
+    return _shown(spark_sql.run(ctx, "dns_tunnel").unionByName(spark_sql.run(ctx, "dga")))
+
+
+def _uncited(sql: str) -> str:
+    """The rows of a hunt's SQL as its Spark SQL gives them."""
+    return f"SELECT * EXCLUDE (cited) FROM ({sql})"
+
+
 def _stored(spark: SparkSession, ctx: Context) -> tuple[Baseline, DataFrame]:
     """Day tables of all events, added in two batches that share every day; and the events."""
     events = written(ctx.history.unionByName(ctx.window), "events")
@@ -567,7 +601,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         hunt_beaconing, hunt_dns_tunnel, hunt_dga, hunt_exfiltration, hunt_spray, hunt_brute_force, hunt_impossible_travel, hunt_lateral_fanout,
         hunt_process_rules, hunt_rare_process, hunt_cloud_abuse, coverage_blind, redact_secrets, adapt_records, adapt_feeds, hunt_beaconing_feeds, hunt_dns_feeds, hunt_leads,
-        baseline_days, hunt_exfiltration_stored, network_lookup,
+        baseline_days, hunt_exfiltration_stored, network_lookup, sql_hunts, sql_exfiltration, sql_dns_feeds,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -598,4 +632,7 @@ ORACLE_SQL: dict[str, str] = {
     "baseline_days": _DAYS,
     "hunt_exfiltration_stored": _EXFILTRATION_WITH + ", " + _findings_sql(_EXFILTRATION, "exfiltration").strip().removeprefix("WITH "),
     "network_lookup": _lookup_sql(),
+    "sql_hunts": _uncited(_every_sql()),
 }
+ORACLE_SQL["sql_exfiltration"] = _uncited(ORACLE_SQL["hunt_exfiltration"])
+ORACLE_SQL["sql_dns_feeds"] = _uncited(ORACLE_SQL["hunt_dns_feeds"])
