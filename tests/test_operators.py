@@ -120,3 +120,23 @@ def test_suppression_and_first_wins(spark):
     assert relations.unsuppressed(found, rules.where("false")).count() == 4
     rows = spark.createDataFrame([(1, 2, "late"), (1, 1, "early"), (None, 1, "null"), (None, 0, "first")], "k int, seq int, what string")
     assert sorted(r.what for r in relations.first_by(rows, "k", ["seq"]).collect()) == ["early", "first"]
+
+
+@pytest.mark.parametrize("heavy_rows", [30, 10**6])
+def test_components_with_heavy_nodes(spark, heavy_rows):
+    rng = random.Random(3)
+    edges = [(0, n) for n in range(1, 400)] + [(9000, n) for n in range(1000, 1400)] + [(9000, 9000), (None, 5), (1000, 399), (1000, 399)]
+    edges += [(n, n + 1) for n in range(2000, 2020)] + [(5000, rng.randrange(4000, 5000)) for _ in range(200)] + [(rng.randrange(6000, 6050), rng.randrange(6000, 6050)) for _ in range(60)]
+    root: dict[int, int] = {}
+
+    def find(n: int) -> int:
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        if a is not None:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.u: r.v for r in relations.stars(spark.createDataFrame(edges, "a bigint, b bigint"), heavy_rows).collect()}
+    assert got == {n: find(n) for n in root if find(n) != n}

@@ -37,27 +37,53 @@ def consecutive_links(findings: DataFrame, gap_us: int) -> DataFrame:
     return near.select(F.col("before.id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
 
 
-def stars(edges: DataFrame) -> DataFrame:
+#: Rows of one node that a task may join; in large graphs, a thousandth of all rows.
+HEAVY_ROWS = 1_000_000
+MOST_HEAVY = 1000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, total: int, heavy_rows: int, made: list[DataFrame]) -> DataFrame:
+    """rows (u, v) with m, from least (u, m, n). Rows of a node with more than its share are joined where they lie, since at
+    most MOST_HEAVY nodes can have so many: those are broadcast. The others meet by node. made: gets the scratch table of this."""
+    most = max(heavy_rows, total // MOST_HEAVY)
+    if total <= most:
+        return rows.join(least.drop("n"), "u")
+    least = written(least, "least")
+    made.append(least)
+    heavy = F.broadcast(least.where(F.col("n") > most).drop("n"))
+    light = rows.join(heavy.select("u"), "u", "left_anti").join(least.where(F.col("n") <= most).drop("n"), "u")
+    return rows.join(heavy, "u").unionByName(light)
+
+
+def stars(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(u, v) for every node u of the undirected edges (a, b) but the smallest of its component, which is v.
 
     Alternating large-star and small-star steps until a round changes nothing. Each round is a table in the shared
     scratch folder, so a lost executor costs no more than a round; the table before it is deleted. Nodes and edges stay
-    in Spark: only a count and a hash reach the driver. Null ends and loops are no edges.
+    in Spark: only a count and a hash reach the driver. Null ends and loops are no edges. The rows of a node with more
+    than heavy_rows neighbours stay spread over tasks.
     """
+    smallest = F.min("v").alias("m"), F.count("*").alias("n")
     at = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct(), "edges")
-    seen = None
+    size, seen = at.count(), None
     while True:
+        made = [at]
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(*smallest).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both, least, 2 * size, heavy_rows, made).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        if 2 * size > heavy_rows:
+            large = written(large, "large")
+            made.append(large)
+        # A large-star step gives no more rows than the table has edges.
+        least = large.groupBy("u").agg(*smallest)
+        small = _with_least(large, least, size, heavy_rows, made).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         then = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        removed(at)
+        for table in made:
+            removed(table)
         at, state = then, tuple(then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             return at
-        seen = state
+        size, seen = state[0], state
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
