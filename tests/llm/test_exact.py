@@ -319,6 +319,23 @@ def test_token_files_match_plain_encoding(spark, tmp_path):
     assert dac.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_token_files_split_an_id_that_many_rows_share(spark, tmp_path):
+    rows = [(7, "one text", None, None)] * 600 + [(7, f"text {i}", None, None) for i in range(400)] + [(8, "last", None, None), (None, "first", None, None)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dac.write(documents(spark, rows), f"file://{tmp_path}/dac", WORD)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert spark.read.parquet(f"file://{tmp_path}/dac").select("pid").distinct().count() > 1
+    got = dac.read(spark, f"file://{tmp_path}/dac").orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] + [7] * 1000 + [8]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    tool = Tokenizer.from_file(WORD)
+    plain = sorted(zlib.crc32(np.array([*tool.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for _, t, _, _ in rows)
+    assert sorted(r.ids_crc32 for r in got) == plain
+
+
 def plain_neighbours(rows):
     """Rows in descending id order, null last, ties by the text's hash, then the text."""
     signed = lambda h: h - (1 << 64) if h >> 63 else h

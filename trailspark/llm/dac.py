@@ -13,7 +13,7 @@ Files lie as rows (pid, seq, start, ids, image) of a Parquet table, which gives
 Spark writes to. They are in ascending document order by (pid, seq).
 
 Edge cases: a null text counts as empty and gives the end id alone. Null document ids come first, kept as nulls; rows
-that repeat an id are ordered by text. A long text is one document of a file, however large. An empty table gives no
+that repeat an id are ordered by the text's first HEAD characters, then its hash, and may lie in several tasks. A long text is one document of a file, however large. An empty table gives no
 file. Other columns are not read.
 """
 
@@ -38,6 +38,8 @@ MAGIC = b"DAC1"
 BLOCK = 512
 #: Ids in a file; a document is never cut, so the last one may go beyond.
 FILE_IDS = 1 << 20
+#: Characters of a text that order the rows of one id: bounds of ranges pass through the driver, so keys stay short.
+HEAD = 200
 _HEAD = struct.Struct("<4sIQB")
 
 
@@ -124,7 +126,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_c
     """Encode every text, append end_id, and write the ids as files in ascending order of the document id."""
     content = docs.sparkSession.sparkContext.broadcast(read_file(tokenizer_path))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Equal rows have numbers of their own, so that ranges can split an id that many rows share.
+    order = "doc_id", "head", "hash", "row"
+    rows = rows.select("*", F.substring("text", 1, HEAD).alias("head"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
