@@ -14,11 +14,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import SF
 from tests.llm.fixtures import LONG, ROWS, documents
 from trailspark.llm import dac, packing, simhash, sketch, tokens, topk, urlfilter
+from trailspark.operators.scratch import written
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -442,3 +444,11 @@ def test_packing_covers_every_id(spark):
             at += n
         assert at <= 64 and at & (at - 1) == 0
     assert packing.pack(documents(spark).where("false"), BYTE).count() == 0
+
+
+def test_grid_join_is_by_shuffle_whatever_the_files_size(spark, capsys):
+    """Spark takes the grid points, up to 33 a fingerprint, for no larger than the fingerprints' files."""
+    prints = written(spark.range(1000).select(F.xxhash64("id").alias("fp")), "prints")
+    simhash.links(prints).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

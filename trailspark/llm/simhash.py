@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailspark.operators.relations import stars
-from trailspark.operators.scratch import small, written
+from trailspark.operators.scratch import small, spread, written
 
 from .common import parts
 
@@ -91,7 +91,7 @@ def _cells(prints: DataFrame, radius: int) -> DataFrame:
 
 def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """(a, b), a < b: every pair of different fingerprints at most max_bits apart, once."""
-    left = _cells(prints, (max_bits + 1) // 2).select(F.col("fp").alias("a"), "cell")
+    left = spread(_cells(prints, (max_bits + 1) // 2).select(F.col("fp").alias("a"), "cell"))
     right = _cells(prints, max_bits // 2).select(F.col("fp").alias("b"), "cell")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     if max_bits % 2 == 0:
@@ -112,11 +112,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     joined = components(links(distinct.select("fp"), max_bits))
-    grouped = joined.withColumnRenamed("node", "fp").join(distinct, "fp")
+    grouped = joined.withColumnRenamed("node", "fp").join(spread(distinct), "fp")
     ids = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = joined.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    moved = joined.join(spread(ids), "root").select(F.col("node").alias("fp"), "component_id")
+    classes = distinct.join(spread(moved), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    return prints.join(spread(classes), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: One document in SAMPLE is read for common shingles; COMMON of those at most come last in every prefix.
@@ -198,9 +198,9 @@ def _classes(rows: DataFrame, words: int, similarity: float, max_bits: int) -> t
     texts = table.join(small(exact.select(F.col("a").alias("row"))), "row", "left_anti")
 
     by_print = written(texts.groupBy("fp").agg(F.min("row").alias("first")), "prints")
-    equal = texts.select("row", "fp").join(by_print, "fp").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    equal = texts.select("row", "fp").join(spread(by_print), "fp").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
     linked = links(by_print.select("fp"), max_bits)
-    linked = linked.join(by_print.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(by_print.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    linked = linked.join(spread(by_print.select(F.col("fp").alias("a"), F.col("first").alias("x"))), "a").join(spread(by_print.select(F.col("fp").alias("b"), F.col("first").alias("y"))), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     shared = _shared(texts)
     first = written(equal.unionByName(linked).unionByName(_central(shared)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
@@ -250,7 +250,8 @@ def _crossing(shared: DataFrame, classes: DataFrame, similarity: float) -> DataF
     the rest, and a large class costs one row a member.
     """
     sizes = classes.groupBy("root").agg(F.count("*").alias("members"))
-    named = shared.select("token", "row", "n", "place", "common").join(classes.join(sizes, "root").select(F.col("node").alias("row"), "root", "members"), "row", "left")
+    sized = classes.join(spread(sizes), "root").select(F.col("node").alias("row"), "root", "members")
+    named = shared.select("token", "row", "n", "place", "common").join(spread(sized), "row", "left")
     named = named.select("token", "row", "n", "place", "common", F.coalesce("root", "row").alias("class"), F.coalesce("members", F.lit(1)).alias("members"))
     mixed = _per_token(written(named, "named"), least=F.min("class"), most=F.max("class"), largest=F.max(F.struct("members", "class"))).where("least <> most")
     mixed = written(mixed.select("token", "row", "n", "place", "class", F.col("largest.class").alias("largest")), "mixed")
@@ -259,7 +260,7 @@ def _crossing(shared: DataFrame, classes: DataFrame, similarity: float) -> DataF
     # The first shared hash of two like sets leaves enough hashes behind it in both.
     fits = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= least
     once = (F.col("y.class") == F.col("y.largest")) | (F.col("x.row") < F.col("y.row"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once & fits)
+    pairs = x.join(spread(y), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & once & fits)
     return written(pairs.select(F.greatest("x.row", "y.row").alias("a"), F.least("x.row", "y.row").alias("b")).distinct(), "crossing")
 
 
@@ -290,13 +291,13 @@ def _verified(rows: DataFrame, table: DataFrame, pairs: DataFrame, words: int, s
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     facts = table.select("row", "n", "counts")
-    both = pairs.join(facts.toDF("a", "n_a", "counts_a"), "a").join(facts.toDF("b", "n_b", "counts_b"), "b")
+    both = small(pairs).join(facts.toDF("a", "n_a", "counts_a"), "a").join(spread(facts.toDF("b", "n_b", "counts_b")), "b")
     likely = written(both.select("a", "b", "counts_a", "counts_b", (F.col("n_a") + F.col("n_b")).cast("double")).mapInArrow(bounded, "a long, b long"), "likely")
     wanted = likely.select(F.col("a").alias("row")).unionByName(likely.select(F.col("b").alias("row"))).distinct()
-    keys = written(wanted.join(table.select("row", "key"), "row"), "wanted")
+    keys = written(small(written(wanted, "asked")).join(table.select("row", "key"), "row"), "wanted")
     texts = rows.join(small(keys.select("key").distinct()), "key", "left_semi").select("key", F.col("text").cast("binary").alias("text")).dropDuplicates(["key"])
-    texts = written(texts.join(keys, "key").select("row", "text"), "texts")
-    whole = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    texts = written(texts.join(small(keys), "key").select("row", "text"), "texts")
+    whole = likely.join(spread(texts.toDF("a", "text_a")), "a").join(spread(texts.toDF("b", "text_b")), "b").select("a", "b", "text_a", "text_b")
     return written(whole.mapInArrow(compared, "a long, b long"), "verified")
 
 
@@ -323,7 +324,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 
 def _copies(table: DataFrame, classes: DataFrame) -> DataFrame:
-    members = written(table.select("row", "doc_id", "key").join(classes.withColumnRenamed("node", "row"), "row"), "members")
+    members = written(table.select("row", "doc_id", "key").join(spread(classes.withColumnRenamed("node", "row")), "row"), "members")
     keepers = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("keeper"))
     gone = members.join(small(keepers), "root").where("key <> keeper.key")
     return gone.select("doc_id", "key", F.col("keeper.doc_id").alias("keeper")).distinct()
@@ -335,7 +336,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     to broadcast."""
     table, classes = _classes(_keyed(docs, id_col, text_col), words, similarity, max_bits)
     gone = written(_copies(table, classes).select("key").distinct(), "gone")
-    twice = written(table.groupBy("key").count().where("count > 1").select("key").join(gone, "key", "left_anti"), "twice")
+    twice = written(table.groupBy("key").count().where("count > 1").select("key").join(small(gone), "key", "left_anti"), "twice")
     mark = "_key" + "_" * sum(c.startswith("_key") for c in docs.columns)
     keyed = docs.withColumn(mark, _key(id_col, text_col))
     out = keyed.join(small(gone.unionByName(twice).withColumnRenamed("key", mark)), mark, "left_anti")

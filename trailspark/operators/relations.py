@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailspark.operators.scratch import removed, written
+from trailspark.operators.scratch import BROADCAST_ROWS, removed, spread, written
 from trailspark.operators.windows import previous
 
 
@@ -47,11 +47,11 @@ def _with_least(rows: DataFrame, least: DataFrame, total: int, heavy_rows: int,
     most MOST_HEAVY nodes can have so many: those are broadcast. The others meet by node. made: gets the scratch table of this."""
     most = max(heavy_rows, total // MOST_HEAVY)
     if total <= most:
-        return rows.join(least.drop("n"), "u")
+        return rows.join(least.drop("n") if total <= BROADCAST_ROWS else spread(least.drop("n")), "u")
     least = written(least, "least")
     made.append(least)
     heavy = F.broadcast(least.where(F.col("n") > most).drop("n"))
-    light = rows.join(heavy.select("u"), "u", "left_anti").join(least.where(F.col("n") <= most).drop("n"), "u")
+    light = rows.join(heavy.select("u"), "u", "left_anti").join(spread(least.where(F.col("n") <= most).drop("n")), "u")
     return rows.join(heavy, "u").unionByName(light)
 
 

@@ -1,4 +1,4 @@
-"""Scratch tables in the shared folder that the cluster names, and broadcasts of a checked size."""
+"""Scratch tables in the shared folder that the cluster names, broadcasts of a checked size, and joins without one."""
 
 from __future__ import annotations
 
@@ -50,5 +50,11 @@ def removed(table: DataFrame) -> None:
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows; else Spark picks the join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df marked for broadcast if it has at most that many rows; else it is spread()."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else spread(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df whose next join is by shuffle. Spark takes an exploded table for no larger than the files it comes from, and
+    compressed files for their rows: what it would broadcast by that estimate can be beyond the driver's memory."""
+    return df.hint("merge")
