@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trailspark.functions import addresses, scores, text
 from trailspark.hunts.baseline import summaries
-from trailspark.operators.scratch import BROADCAST_ROWS, small, written
+from trailspark.operators.scratch import BROADCAST_ROWS, small, spread, written
 from trailspark.schema import HuntConfig
 
 MAX_EVIDENCE = 50
@@ -107,7 +107,7 @@ class Context:
         once an address and the plans of all hunts start from a table."""
         sides = F.explode(F.array("src_ip", "dst_ip")).alias("ip")
         ips = self.window.select(sides).unionByName(self.baseline["flows"].select(F.col("dst_ip").alias("ip"))).unionByName(self.baseline["origins"].select(F.col("src_ip").alias("ip")))
-        return written(address_facts(ips.where("ip <> ''").distinct(), self.config), "addresses")
+        return small(written(address_facts(ips.where("ip <> ''").distinct(), self.config), "addresses"))
 
     def with_address(self, events: DataFrame, column: str) -> DataFrame:
         return events.join(self.addresses.withColumnRenamed("ip", column), column)
@@ -162,7 +162,7 @@ def gathered(events: DataFrame, keys: list[str], ctx: Context, *sums: Column) ->
     first = events.select(*keys, "time", "id").withColumn("_n", place).where(F.col("_n") <= MAX_EVIDENCE)
     first = first.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.array_sort(F.collect_list(F.struct("time", "id"))).alias("evidence"))
     match = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-    return rows.join(first, match).drop(*[f"_of_{k}" for k in keys])
+    return rows.join(spread(first), match).drop(*[f"_of_{k}" for k in keys])
 
 
 def benign(*causes: str) -> Callable:

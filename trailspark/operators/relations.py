@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailspark.operators.scratch import BROADCAST_ROWS, removed, spread, written
+from trailspark.operators.scratch import BROADCAST_ROWS, removed, small, spread, written
 from trailspark.operators.windows import previous
 
 
@@ -20,11 +20,11 @@ def suppressed(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Ids of findings that a rule (hunt or `*`, entity as `kind:value`) matches; findings: (id, hunt, entities)."""
     named = findings.select("id", "hunt", F.explode("entities").alias("entity"))
     rules = rules.select(F.col("hunt").alias("rule_hunt"), F.col("entity").alias("rule_entity"))
-    return named.join(rules, (F.col("entity") == F.col("rule_entity")) & ((F.col("rule_hunt") == "*") | (F.col("rule_hunt") == F.col("hunt")))).select("id").distinct()
+    return named.join(small(rules), (F.col("entity") == F.col("rule_entity")) & ((F.col("rule_hunt") == "*") | (F.col("rule_hunt") == F.col("hunt")))).select("id").distinct()
 
 
 def unsuppressed(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    return findings.join(suppressed(findings, rules), "id", "left_anti")
+    return findings.join(spread(suppressed(findings, rules)), "id", "left_anti")
 
 
 def consecutive_links(findings: DataFrame, gap_us: int) -> DataFrame:

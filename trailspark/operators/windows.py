@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailspark.operators.scratch import spread
 
 #: Width of a slice of previous(): a key's events of these ten minutes are sorted in one task.
 SLICE_US = 600_000_000
@@ -39,7 +40,7 @@ def previous(events: DataFrame, keys: Sequence[str], time_us: Column, event_id:
 def _busy(events: DataFrame, keys: Sequence[str], item: str, least: int) -> DataFrame:
     """The events of keys that reach the threshold over all time: nothing else can reach it in a window."""
     enough = events.groupBy(*keys).agg(F.count_distinct(item).alias("_n")).where(F.col("_n") >= least).drop("_n")
-    return events.join(enough, list(keys), "left_semi")
+    return events.join(spread(enough), list(keys), "left_semi")
 
 
 def _block(us: Column, width_us: int) -> Column:
@@ -58,7 +59,7 @@ def _dealt(events: DataFrame, keys: Sequence[str], width_us: int, beside: int) -
 def _window_rows(events: DataFrame, chosen: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
     """The events of each key's chosen window (keys, _first, _last in time, other columns), looked up by key and block."""
     places = chosen.withColumn("_block", F.explode(F.array_distinct(F.array(_block(F.col("_first"), width_us), _block(F.col("_last"), width_us)))))
-    inside = events.withColumn("_block", _block(F.col("_us"), width_us)).join(places, [*keys, "_block"])
+    inside = events.withColumn("_block", _block(F.col("_us"), width_us)).join(spread(places), [*keys, "_block"])
     return inside.where(F.col("_us").between(F.col("_first"), F.col("_last"))).drop("_block")
 
 
