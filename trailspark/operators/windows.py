@@ -18,10 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailspark.operators.scratch import spread
+from trailspark.operators.scratch import spread, written
 
 #: Width of a slice of previous(): a key's events of these ten minutes are sorted in one task.
 SLICE_US = 600_000_000
+#: Rows that a task sorts, unless one block has more: memory of a task follows this and not the size of the input.
+TASK_ROWS = 400_000
 
 
 def previous(events: DataFrame, keys: Sequence[str], time_us: Column, event_id: str, value: Column, name: str, slice_us: int = SLICE_US) -> DataFrame:
@@ -49,11 +51,12 @@ def _block(us: Column, width_us: int) -> Column:
 
 
 def _dealt(events: DataFrame, keys: Sequence[str], width_us: int, beside: int) -> tuple[DataFrame, list[str]]:
-    """The events of each block and of the neighbour to which `beside` (1 or -1) leads, with `_own`; and the block's keys."""
+    """The events of each block and of the neighbour to which `beside` (1 or -1) leads, with `_own`; and the block's keys.
+    events: a scratch table, so that counting its rows reads no more than its footers."""
     own = _block(F.col("_us"), width_us)
     rows = events.withColumn("_block", F.explode(F.array(own, own + beside * width_us))).withColumn("_own", F.col("_block") == own)
     part = [*keys, "_block"]
-    return rows.repartition(*part), part
+    return rows.repartition(max(1, -(-2 * events.count() // TASK_ROWS)), *part), part
 
 
 def _window_rows(events: DataFrame, chosen: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
@@ -74,7 +77,7 @@ def best_window(events: DataFrame, keys: Sequence[str], time_us: str, event_id:
     left count the items of every window and those over the cap.
     """
     events = events.select(*keys, F.col(time_us).alias("_us"), F.col(event_id).alias("_id"), F.col(item).alias("_item")).where(F.col("_us").isNotNull() & F.col("_item").isNotNull())
-    events = _busy(events, keys, "_item", least)
+    events = written(_busy(events, keys, "_item", least), "busy")
     rows, part = _dealt(events, keys, width_us, 1)
     # Rows of one time, numbered: the chosen window ends at one of them.
     rows = rows.withColumn("_tie", F.row_number().over(Window.partitionBy(*part, "_us").orderBy("_id", "_item")))
@@ -111,6 +114,7 @@ def first_burst(events: DataFrame, keys: Sequence[str], time_us: str, event_id:
     """One row for each key: the first event with `least` events from it on within width_us, inclusive: (keys, size,
     start_us, end_us, ids). Events before it at the same microsecond are not counted."""
     events = events.select(*keys, F.col(time_us).alias("_us"), F.col(event_id).alias("_id")).where(F.col("_us").isNotNull())
+    events = written(events, "timed")
     rows, part = _dealt(events, keys, width_us, -1)
     reach = F.lead("_us", least - 1).over(Window.partitionBy(*part).orderBy("_us", "_id"))
     starts = rows.withColumn("_reach", reach).where(F.col("_own") & (F.col("_reach") - F.col("_us") <= width_us))
