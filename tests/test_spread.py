@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trailspark.hunts import identity
 from trailspark.hunts.context import Context
 from trailspark.operators.relations import suppressed
-from trailspark.operators.scratch import written
+from trailspark.operators.scratch import small, written
 from trailspark.schema import EVENT_SCHEMA, HuntConfig
 
 
@@ -27,3 +27,11 @@ def test_findings_meet_rules_where_they_lie(spark, capsys):
     found = written(spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit("h").alias("hunt"), F.array(F.lit("user:u")).alias("entities")), "found")
     suppressed(found, spark.createDataFrame([("*", "user:u")], "hunt string, entity string")).explain()
     assert "BuildRight" in capsys.readouterr().out
+
+
+def test_more_rows_than_small_allows_are_not_broadcast(spark, capsys):
+    """Not even where the files are smaller than Spark's own limit."""
+    rows = written(spark.range(100), "rows")
+    rows.join(small(rows, most=10), "id").explain()
+    out = capsys.readouterr().out
+    assert "SortMergeJoin" in out and "Broadcast" not in out
