@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +34,19 @@ def first_by_hash(rows: DataFrame, group: str, n: int, hash_col: str = "h", id_c
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(hash_col, id_col))).where(F.col("_r") <= n).drop("_r")
 
 
+def fitted(sample: DataFrame, fit: Callable[[list[dict]], Any]) -> Any:
+    """fit of a bounded sample's rows, run in a task: the driver gets neither the sample nor the memory that fitting takes,
+    only the model, pickled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit([row for batch in batches for row in batch.to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # Spark may cut a plan without rows down to no task.
+    made = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else fit([])
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of some rows, so that the Python objects of a whole Arrow batch never stand in memory at once."""
     for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from trailspark.operators.scratch import small, written
 
-from .common import first_by_hash, parts
+from .common import first_by_hash, fitted, parts
 
 FEATURES = 2048
 _PART = 1 << 20
@@ -102,12 +102,16 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     # Of rows that repeat an id the text that sorts first, so that the sample stays as small as it was chosen.
     sample = texts.join(small(chosen), "id").groupBy("id", "domain").agg(F.min("text").alias("text"))
-    rows = sorted(sample.mapInArrow(run, "id string, domain string, x binary").collect(), key=lambda r: (r.id, r.x))
-    x = np.stack([np.frombuffer(r.x, np.float32) for r in rows])
     shares = np.array([counts[d] for d in domains], float)
     shares /= shares.sum()
-    layer, bias = fit_softmax(x, np.array([domains.index(r.domain) for r in rows]), shares)
-    return DomainModel(domains, layer, bias, np.log(shares))
+
+    def learned(rows: list[dict]) -> DomainModel:
+        rows.sort(key=lambda r: (r["id"], r["x"]))
+        x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
+        layer, bias = fit_softmax(x, np.array([domains.index(r["domain"]) for r in rows]), shares)
+        return DomainModel(domains, layer, bias, np.log(shares))
+
+    return fitted(sample.mapInArrow(run, "id string, domain string, x binary"), learned)
 
 
 def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

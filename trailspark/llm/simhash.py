@@ -144,6 +144,19 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.uint64).view(np.int64))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> np.ndarray:
+    """The tokens of counts (token, count) whose counts are so high that at most `most` tokens have them. A sort with a limit
+    would send that many rows of every partition to the driver; this sends a row for each count and the tokens."""
+    least, total = None, 0
+    for row in sorted(counts.groupBy("count").agg(F.count("*").alias("tokens")).collect(), key=lambda r: -r["count"]):
+        total += row.tokens
+        if total > most:
+            break
+        least = row["count"]
+    chosen = [] if least is None else counts.where(F.col("count") >= least).select("token").collect()
+    return np.sort(np.array([r.token for r in chosen], np.int64))
+
+
 def _common(rows: DataFrame, words: int) -> np.ndarray:
     """Shingle hashes that several documents of a sample hold. Which count as common changes the cost only, no result."""
 
@@ -153,8 +166,8 @@ def _common(rows: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["token"])
 
     sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary"))
-    counts = sample.mapInArrow(run, "token long").groupBy("token").count()
-    return np.sort(np.array([r.token for r in counts.where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).collect()], np.int64))
+    counts = written(sample.mapInArrow(run, "token long").groupBy("token").count().where("count > 2"), "counts")
+    return _most_frequent(counts, COMMON)
 
 
 def _described(rows: DataFrame, words: int, similarity: float) -> DataFrame:

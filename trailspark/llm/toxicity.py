@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from trailspark.operators.scratch import small, written
 
-from .common import first_by_hash, held_out, in_steps, parts
+from .common import first_by_hash, fitted, held_out, in_steps, parts
 
 THRESHOLD = 0.3
 LEAST, MOST = 3, 6
@@ -299,7 +299,7 @@ def fit(texts: list[str], labels: list[int], shares: dict[int, float] | None = N
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", documents_per_label: int = 1500, longest: int = 12_000, **options) -> ToxicityModel:
     """Fit on at most documents_per_label texts of each label, the first by a hash of the id, of up to longest characters.
 
-    Held-out rows are never read. Only ids with such a text are ranked, so longer texts don't thin the sample out.
+    Held-out rows are never read. The driver gets the model alone. Only ids with such a text are ranked, so longer texts don't thin the sample out.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     marked = marked.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
@@ -308,10 +308,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = written(marked, "marked")
     total = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}
     chosen = written(first_by_hash(marked, "label", documents_per_label).select("id", "label"), "chosen")
-    rows = texts.join(small(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r.id)
     shares = {k: n / sum(total.values()) for k, n in total.items()} if len(total) == 2 else None
-    return fit([r.text for r in rows], [r.label for r in rows], shares, **options)
+
+    def learned(rows: list[dict]) -> ToxicityModel:
+        rows.sort(key=lambda r: r["id"])
+        return fit([r["text"] for r in rows], [r["label"] for r in rows], shares, **options)
+
+    return fitted(texts.join(small(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")), learned)
 
 
 def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailspark.operators.scratch import BROADCAST_ROWS, removed, small, spread, written
+from trailspark.operators.scratch import BROADCAST_ROWS, removed, small, spread, written, written_and_seen
 from trailspark.operators.windows import previous
 
 
@@ -64,10 +64,10 @@ def stars(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     than heavy_rows neighbours stay spread over tasks.
     """
     smallest = F.min("v").alias("m"), F.count("*").alias("n")
-    at = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct(), "edges")
-    size, seen = at.count(), None
+    state = {"rows": F.count("*"), "digest": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    at, seen = written_and_seen(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct(), "edges", **state)
     while True:
-        made = [at]
+        made, size = [at], seen["rows"]
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(*smallest).select("u", F.least("u", "m").alias("m"), "n")
         large = _with_least(both, least, 2 * size, heavy_rows, made).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -77,13 +77,12 @@ def stars(edges: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
         # A large-star step gives no more rows than the table has edges.
         least = large.groupBy("u").agg(*smallest)
         small = _with_least(large, least, size, heavy_rows, made).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        then = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        at, then = written_and_seen(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", **state)
         for table in made:
             removed(table)
-        at, state = then, tuple(then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
+        if then == seen:
             return at
-        size, seen = state[0], state
+        seen = then
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

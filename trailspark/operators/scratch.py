@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few plain columns that are broadcast at most.
@@ -41,6 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_and_seen(df: DataFrame, name: str, **seen: Column) -> tuple[DataFrame, dict]:
+    """written(df), and aggregates of its rows that Spark observes while it writes them: one query instead of two."""
+    watched = Observation(name)
+    table = written(df.observe(watched, *[c.alias(k) for k, c in seen.items()]), name)
+    return table, watched.get
+
+
 def removed(table: DataFrame) -> None:
     """Delete the files of a table that written() gave and that nothing reads any more."""
     spark = table.sparkSession
