@@ -20,13 +20,8 @@ _NUMBER = r"^\s*[+-]?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]+)?\s*$"
 
 
 def path(name: str) -> str:
-    """The variant path of a dotted name; a part may hold any character but a dot or a quote."""
-    return "$" + "".join(f"['{part}']" for part in name.split("."))
-
-
-def type_of(record: Column, name: str) -> Column:
-    """The SQL type of a value, VOID for a JSON null; null if it is missing."""
-    return F.schema_of_variant(F.try_variant_get(record, path(name), "variant"))
+    """The variant path of a dotted name, of the record itself for an empty one; a part may hold any character but a dot or a quote."""
+    return "$" + "".join(f"['{part}']" for part in name.split(".") if part)
 
 
 def moment(value: Column) -> Column:
